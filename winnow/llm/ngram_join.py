@@ -27,6 +27,7 @@ Null and empty texts, or those without words, have an empty set and link with no
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -250,18 +251,21 @@ def _block_links(k: int, percent: int):
 
 def _family_links(crowded: DataFrame, texts: DataFrame, k: int, percent: int, block_tokens: int) -> DataFrame:
     """crowded (key, n, c, centre) -> links between sets of one family that lie in different components."""
-    family = components(crowded.select(F.col("centre").alias("a"), F.col("key").alias("b")))
-    sets = crowded.select("key", "n", "c").distinct().join(family.select(F.col("node").alias("key"), F.col("component").alias("family")), "key")
-    size = sets.groupBy("family", "c").agg(F.sum("n").alias("tokens"), F.count("*").alias("sets"))
+    step = math.log(100 / percent) * (1 + 1e-9)  # sets that link differ by one size class at most
+    sets = crowded.select(F.col("centre").alias("family"), "key", "c", "n", F.floor(F.log("n") / step).alias("class"))
+    size = sets.groupBy("family", "class", "c").agg(F.sum("n").alias("tokens"), F.count("*").alias("sets"))
     # a component as large as a block gets blocks of its own; the others share theirs
-    own = size.select("family", "c", F.when(F.col("tokens") >= block_tokens, F.col("c")).alias("own"), "tokens", "sets")
-    pool = own.groupBy("family", "own").agg(F.ceil(F.greatest(F.sum("tokens") / block_tokens, F.sum("sets") / 700)).alias("blocks"))
-    deal = own.drop("tokens", "sets").join(pool.withColumnRenamed("own", "o").withColumnRenamed("family", "f"), F.expr("family = f and own <=> o")).select("family", "c", "own", "blocks")
-    dealt = store.saved(sets.join(deal, ["family", "c"]).select("family", "key", "c", "own", F.concat_ws("/", F.coalesce("own", F.lit(0)), F.pmod(F.xxhash64("key"), "blocks")).alias("block")), "dealt")
-    block = dealt.select("family", "block", "own").distinct()
-    other = block.select("family", F.col("block").alias("block2"), F.col("own").alias("own2"))
-    duels = block.join(other, "family").where("block <= block2 and not coalesce(own = own2, false)")
-    sides = duels.select("family", "block", F.concat_ws(" ", "block", "block2").alias("duel")).union(duels.where("block <> block2").select("family", "block2", F.concat_ws(" ", "block", "block2")))
+    size = size.select("family", "class", "c", F.when(F.col("tokens") >= block_tokens, F.col("c")).alias("own"), "tokens", "sets")
+    pool = size.groupBy("family", "class", "own").agg(F.ceil(F.greatest(F.sum("tokens") / block_tokens, F.sum("sets") / 700)).alias("blocks"))
+    pool = pool.select(F.col("family").alias("f"), F.col("class").alias("k"), F.col("own").alias("o"), "blocks")
+    deal = size.drop("tokens", "sets").join(pool, F.expr("family = f and class = k and own <=> o")).select("family", "class", "c", "own", "blocks")
+    name = F.concat_ws("/", "class", F.coalesce("own", F.lit(0)), F.pmod(F.xxhash64("key"), "blocks"))
+    dealt = store.saved(sets.join(deal, ["family", "class", "c"]).select("family", "class", "key", "c", "own", name.alias("block")), "dealt")
+    block = dealt.groupBy("family", "class", "block", "own").agg(F.min("c").alias("c1"), F.max("c").alias("c2"))
+    other = block.select("family", *[F.col(x).alias(f"{x}_") for x in ("class", "block", "own", "c1", "c2")])
+    apart = "least(c1, c1_) <> greatest(c2, c2_)"  # all in one component: nothing to find
+    duels = block.join(other, "family").where(f"block <= block_ and abs(class - class_) <= 1 and {apart}")
+    sides = duels.select("family", "block", F.concat_ws(" ", "block", "block_").alias("duel")).union(duels.where("block <> block_").select("family", "block_", F.concat_ws(" ", "block", "block_")))
     rows = dealt.join(sides, ["family", "block"]).join(texts, "key").select("family", "duel", "key", "c", "text")
     return rows.groupBy("family", "duel").applyInArrow(_block_links(k, percent), "a long, b long")
 
@@ -273,7 +277,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     return both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(k, percent), "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, k: int = 5, percent: int = 80, frequent: int = 64, count_bits: int = 28, star_rounds: int = 2, crowd: int = 32, block_tokens: int = 100_000) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, k: int = 5, percent: int = 80, frequent: int = 24, count_bits: int = 28, star_rounds: int = 2, crowd: int = 40, block_tokens: int = 100_000) -> DataFrame:
     """(id_col, n_shingles, set_key, component_id) for every row. component_id is the smallest id reachable by links.
 
     k: words of a shingle. percent: least Jaccard similarity. frequent: a token in more sets than this belongs to
