@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from winnow.llm import ngram_join
+from winnow.llm import cap_dedup, kd_search, line_dedup, mixing, ngram_join
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
+    "op2_cap_dedup": cap_dedup.op2_cap_dedup,
+    "op3_mixing": mixing.op3_mixing,
+    "op4_top_k": kd_search.op4_top_k,
+    "op7_line_dedup": line_dedup.op7_line_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_mixing": mixing.ORACLE_SQL,
+    "op4_top_k": kd_search.ORACLE_SQL,
+    "op7_line_dedup": line_dedup.ORACLE_SQL,
+}
