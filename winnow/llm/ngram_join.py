@@ -19,9 +19,11 @@ A text is the set of its distinct k-word shingles ("tokens"). Two texts link whe
    all pairs). Linked sets are merged into components; later rounds compare with other centres, and
    at the end all pairs of sets that still are in different components and whose sizes allow a link. No pair is dropped, except
    those whose ends are already known to be connected.
-5. Each candidate pair is verified on the whole texts.
+5. Candidate pairs whose sketches (tokens counted by 64 hash classes, a lower bound of the difference) rule a link out go;
+   the others are verified on the whole texts.
 
-Null and empty texts, or those without words, have an empty set and link with nothing. Repeated rows are equal sets.
+Null and empty texts, or those without words, have an empty set and link with nothing. Repeated rows are equal sets. Of rows that
+repeat an id with other texts, each has its own set. A null id is no id: it never names a component unless all ids are null.
 """
 
 from __future__ import annotations
@@ -51,14 +53,23 @@ def _digest(tokens: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+SKETCH = 64
+
+
+def _sketch(tokens: np.ndarray) -> bytes:
+    """Tokens counted by hash class. The counts of two sets differ by no more, in sum, than the sets do."""
+    return np.bincount((tokens & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH).astype("<u4").tobytes()
+
+
 def _sizes(k: int):
-    """(id, text) -> (id, n, key)."""
+    """(id, hash, text) -> (id, hash, n, key, sketch)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, texts in blocks(batch, "text"):
-                found = [(len(s), _digest(s) if len(s) else 0) for s in _sets(texts, k)]
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), pa.array([n for n, _ in found], pa.int64()), pa.array([d for _, d in found], pa.int64())], ["id", "n", "key"])
+                found = [(len(s), _digest(s) if len(s) else 0, _sketch(s)) for s in _sets(texts, k)]
+                kinds = (pa.int64(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(a, b - a) for c in ("id", "hash")], *[pa.array([f[i] for f in found], t) for i, t in enumerate(kinds)]], ["id", "hash", "n", "key", "sketch"])
 
     return run
 
@@ -92,7 +103,7 @@ def _bucket_counts(k: int, bits: int, parts: int):
                         seen.add(d)
                         held.append((s >> np.uint64(64 - bits)).astype(np.uint32))
                         size += len(s)
-                if size > 6_000_000:
+                if size > 3_000_000:
                     yield from out()
                     held.clear()
                     size = 0
@@ -270,14 +281,42 @@ def _family_links(crowded: DataFrame, texts: DataFrame, k: int, percent: int, bl
     return rows.groupBy("family", "duel").applyInArrow(_block_links(k, percent), "a long, b long")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """pairs (a, b) of set keys, a the one that more pairs share."""
-    b = pairs.join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
-    both = b.join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
+def _plausible(percent: int):
+    """Drops pairs whose sketches alone show that they cannot link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").astype(np.int64).reshape(-1, SKETCH) for c in ("sketch_a", "sketch_b"))
+                apart = np.abs(one - two).sum(axis=1)
+                fits = apart * (100 + percent) <= (one.sum(axis=1) + two.sum(axis=1)) * (100 - percent)
+                yield batch.select(["a", "b"]).filter(pa.array(fits))
+
+    return run
+
+
+def _candidates(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The distinct pairs (a, b) of set keys that can link."""
+    both = pairs.distinct().join(nodes.select(F.col("key").alias("a"), F.col("sketch").alias("sketch_a")), "a").join(nodes.select(F.col("key").alias("b"), F.col("sketch").alias("sketch_b")), "b")
+    return store.saved(both.select("a", "b", "sketch_a", "sketch_b").mapInArrow(_plausible(percent), "a long, b long"), "pairs")
+
+
+def _texts_of(keys: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(key, text) of the named sets. Few ids go to the texts, many meet them in a shuffle."""
+    wanted = store.saved(keys.distinct().join(nodes.select("key", F.col("id").alias("id1"), F.col("hash").alias("hash1")), "key"), "wanted")
+    found = texts.join(store.small(wanted, 200_000), F.expr("hash = hash1 and id <=> id1"))
+    return store.saved(found.select("key", "text").dropDuplicates(["key"]), "texts")
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Of pairs (a, b) of set keys, a being the one that more pairs share, those that link."""
+    kept = _texts_of(pairs.select(F.col("a").alias("key")).union(pairs.select("b")), nodes, texts)
+    b = pairs.join(kept.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
+    both = b.join(kept.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(k, percent), "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, k: int = 5, percent: int = 80, frequent: int = 24, count_bits: int = 28, star_rounds: int = 2, crowd: int = 40, block_tokens: int = 100_000) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, k: int = 5, percent: int = 80, frequent: int = 24, count_bits: int = 28, star_rounds: int = 1, crowd: int = 40, block_tokens: int = 100_000) -> DataFrame:
     """(id_col, n_shingles, set_key, component_id) for every row. component_id is the smallest id reachable by links.
 
     k: words of a shingle. percent: least Jaccard similarity. frequent: a token in more sets than this belongs to
@@ -286,8 +325,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     block_tokens: tokens of a block of a family.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    base = store.saved(texts.mapInArrow(_sizes(k), "id long, n long, key long"), "sets")
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("hash"), F.col(f"`{text_col}`").alias("text"))
+    id_type = texts.schema["id"].dataType.simpleString()
+    base = store.saved(texts.mapInArrow(_sizes(k), f"id {id_type}, hash long, n long, key long, sketch binary"), "sets")
 
     many, often = token_classes(texts.select("text"), k, count_bits, frequent)
     maps = spark.sparkContext.broadcast((many, often))
@@ -296,9 +336,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     every, index = index, store.saved(_shared_entries(index), "index")
     store.forget(every)
 
-    firsts = base.where("n > 0").groupBy("key").agg(F.min("id").alias("id"))
-    wanted = index.select("key").distinct().join(firsts, "key")
-    kept = store.saved(texts.join(wanted, "id").select("key", "text"), "texts")
+    nodes = store.saved(base.where("n > 0").groupBy("key").agg(F.min(F.struct("id", "hash")).alias("one"), F.first("sketch").alias("sketch")).select("key", "one.id", "one.hash", "sketch"), "nodes")
 
     size_ok = f"100 * least(n, n2) >= {percent} * greatest(n, n2)"
     links, comp = None, None
@@ -320,9 +358,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         star = rows.groupBy("sig").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), centre.alias("p")).where("c1 <> c2")
         star = star.select("sig", F.col("p.key").alias("key2"), F.col("p.n").alias("n2"), F.col("p.c").alias("cc"))
         pairs = rows.join(star, "sig").where(f"c <> cc and {size_ok}").select(F.col("key2").alias("a"), F.col("key").alias("b"))
-        pairs = store.saved(pairs.distinct(), "pairs")
+        pairs = _candidates(pairs, nodes, percent)
         if not pairs.isEmpty():
-            more(store.saved(_verified(pairs, kept, k, percent), "links"))
+            more(store.saved(_verified(pairs, nodes, texts, k, percent), "links"))
 
     rows = store.saved(entries(), "rows")
     open_ = rows.groupBy("sig").agg(F.count("*").alias("members"), F.min("c").alias("c1"), F.max("c").alias("c2"), F.min("key").alias("centre")).where("c1 <> c2")
@@ -330,11 +368,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     left = rows.join(open_.where(f"members <= {crowd}").select("sig"), "sig", "left_semi")
     other = left.select("sig", F.col("key").alias("key2"), F.col("n").alias("n2"), F.col("c").alias("cc"))
     pairs = left.join(other, "sig").where(f"c < cc and {size_ok}").select(F.least("key", "key2").alias("a"), F.greatest("key", "key2").alias("b"))
-    found = _verified(store.saved(pairs.distinct(), "pairs"), kept, k, percent)
+    found = _verified(_candidates(pairs, nodes, percent), nodes, texts, k, percent)
     crowded = rows.join(open_.where(f"members > {crowd}").select("sig", "centre"), "sig")
     crowded = store.saved(crowded.groupBy("key", "n", "c", "centre").agg(F.lit(1).alias("one")).drop("one"), "crowded")
     if not crowded.isEmpty():
-        found = found.unionByName(_family_links(crowded, kept, k, percent, block_tokens))
+        found = found.unionByName(_family_links(crowded, _texts_of(crowded.select("key"), nodes, texts), k, percent, block_tokens))
     found = store.saved(found, "links")
     if not found.isEmpty():
         more(found)

@@ -19,7 +19,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _pow: list[np.ndarray] = []
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -80,7 +80,12 @@ class Words:
         offsets = np.cumsum([0, *[len(t) + 1 for t in texts]])
         self.count = np.diff(np.searchsorted(self.start, offsets))
         self.doc = np.repeat(np.arange(len(texts)), self.count)
-        self.hash = span_hash(prefix_hash(byte_codes(self.buf)), self.start, self.end)
+        self.prefix = prefix_hash(byte_codes(self.buf))
+        self.hash = span_hash(self.prefix, self.start, self.end)
+
+    def stems(self, size: int) -> np.ndarray:
+        """The hash of the first ``size`` bytes of each word."""
+        return span_hash(self.prefix, self.start, np.minimum(self.start + size, self.end))
 
     def text(self, i: int) -> bytes:
         return self.buf[self.start[i] : self.end[i]].tobytes()
