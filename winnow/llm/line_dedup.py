@@ -25,12 +25,19 @@ def _row_key(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
 
 
+def masked_line(line: Column) -> Column:
+    """Tokens with one blank between them, those with a digit as <*>. Regular expressions replace only where there is something to replace."""
+    untidy = F.contains(line, F.lit("  ")) | F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" ")) | F.rlike(line, F.lit(r"[\x09-\x0D]"))
+    plain = F.when(untidy, F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " "))).otherwise(line)
+    return F.when(F.rlike(line, F.lit("[0-9]")), F.regexp_replace(plain, "[^ ]*[0-9][^ ]*", "<*>")).otherwise(plain)
+
+
 def parsed_lines(docs: DataFrame, id_col: str, text_col: str, depth: int, min_tokens: int) -> DataFrame:
     """(row, id, pos, masked, n, leaf, exact): one row for each line of min_tokens tokens or more."""
-    lines = docs.select(_row_key(id_col, text_col).alias("row"), F.col(f"`{id_col}`").alias("id"), F.posexplode(F.split(F.col(f"`{text_col}`"), "\n")).alias("pos", "line"))
-    plain = F.trim(F.regexp_replace("line", r"[\x20\x09-\x0D]+", " "))
-    lines = lines.select("row", "id", "pos", F.regexp_replace(plain, "[^ ]*[0-9][^ ]*", "<*>").alias("masked"))
-    lines = lines.withColumn("n", F.length("masked") - F.length(F.regexp_replace("masked", " ", "")) + 1).where(F.col("n") >= min_tokens)
+    # inside transform() a line is parsed once; as a projection it would be parsed again for the filter on n
+    masked = F.transform(F.split(F.col(f"`{text_col}`"), "\n"), masked_line)
+    lines = docs.select(_row_key(id_col, text_col).alias("row"), F.col(f"`{id_col}`").alias("id"), F.posexplode(masked).alias("pos", "masked"))
+    lines = lines.withColumn("n", F.length("masked") - F.length(F.replace("masked", F.lit(" "), F.lit(""))) + 1).where(F.col("n") >= min_tokens)
     leaf = F.xxhash64("n", F.substring_index("masked", " ", depth))
     return lines.withColumn("leaf", leaf).withColumn("exact", F.xxhash64("masked"))
 
