@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from winnow.llm import cap_dedup, kd_search, line_dedup, mixing, nbest_pieces, ngram_join, toxicity, warc_zip
+from winnow.llm import cap_dedup, kd_search, lattice_lm, line_dedup, mixing, nbest_pieces, ngram_join, suffix_dedup, toxicity, warc_zip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
     "op2_cap_dedup": cap_dedup.op2_cap_dedup,
     "op3_mixing": mixing.op3_mixing,
     "op4_top_k": kd_search.op4_top_k,
+    "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_line_dedup": line_dedup.op7_line_dedup,
+    "op8_lattice_lm": lattice_lm.op8_lattice_lm,
     "op9_warc_zip": warc_zip.op9_warc_zip,
     "op10_nbest_pieces": nbest_pieces.op10_nbest_pieces,
 }
