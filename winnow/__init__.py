@@ -1 +1 @@
-
+"""Duplicate detection and cleanup planning on Spark."""

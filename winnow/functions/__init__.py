@@ -1 +1 @@
-
+"""Column functions over inventories."""

@@ -1 +1 @@
-
+"""Grouping, digests, plans and ledgers over inventories."""

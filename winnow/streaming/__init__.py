@@ -1 +1 @@
-
+"""Inventories that arrive as streams."""
