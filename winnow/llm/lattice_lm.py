@@ -4,7 +4,12 @@ A text is a sequence of words and its end. Each word is drawn as a lattice: one
 share of the word in the training part; the others are the pieces of an existing vocabulary (and bytes, for
 characters that no piece is), reached with the mass that the discount frees. The word's probability is the sum over all paths,
 by a forward recursion in log space. A word starts with U+2581, so its first piece is drawn from the pieces that start with it, and
-the others from the rest together with "the word ends". These are distributions, so the probabilities of all texts sum to one at most.
+the others from the rest together with "the word ends".
+
+Texts come from a few classes (by default the languages of the training texts). A class has word shares of its own and falls back to the
+shares of all. The probability of a text is the sum over the classes, and over "no class", of their shares times the product of its
+words' probabilities; the class of the text to be scored is never looked at. All these are distributions, so the probabilities of
+all texts sum to one at most.
 
 Piece probabilities start from the vocabulary's scores (ranks, so p ~ 1 / (rank + 2)) and are re-estimated on the distinct
 words of the training texts by expectation maximisation: expected uses of each piece over all segmentations. The
@@ -126,26 +131,62 @@ class LatticeModel:
 
 
 class WordShare:
-    """How a word's edge and its spelling share the probability."""
+    """How a word's edge and its spelling share the probability, in each class and (last) in none."""
 
-    def __init__(self, tokens: int, distinct: int, discount: float = 0.75):
-        self.tokens, self.discount = tokens, discount
+    def __init__(self, tokens: int, distinct: int, by_class: list[tuple[int, int]], discount: float = 0.75):
+        self.tokens, self.discount, self.by_class = tokens, discount, by_class
         self.free = discount * distinct / tokens if tokens else 1.0
 
-    def log10(self, spelt: np.ndarray, c: np.ndarray) -> np.ndarray:
-        """c: the word's training count, 0 if unknown. spelt: natural log of its spelling's probability."""
-        by_pieces = spelt / math.log(10) + math.log10(self.free)
+    def logs(self, spelt: np.ndarray, c: np.ndarray, each: np.ndarray) -> list[np.ndarray]:
+        """Base-10 logs of the words' probabilities. c: training counts, 0 if unknown; each: those by class. spelt: natural log of the spelling."""
+        spelling = spelt / math.log(10) + math.log10(self.free)
         whole = np.log10(np.maximum(c - self.discount, 1e-300) / max(self.tokens, 1))
-        return np.where(c > 0, np.logaddexp(by_pieces * math.log(10), whole * math.log(10)) / math.log(10), by_pieces)
+        general = np.where(c > 0, np.logaddexp(spelling * math.log(10), whole * math.log(10)) / math.log(10), spelling)
+        out = []
+        for k, (tokens, distinct) in enumerate(self.by_class):
+            if not tokens:
+                out.append(general)
+                continue
+            back = general + math.log10(self.discount * distinct / tokens)
+            own = np.log10(np.maximum(each[:, k] - self.discount, 1e-300) / tokens)
+            out.append(np.where(each[:, k] > 0, np.logaddexp(back * math.log(10), own * math.log(10)) / math.log(10), back))
+        return [*out, general]
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text) -> (h, word, n): the words of each block with their counts."""
+    """(text, k) -> (h, word, k, n): the words of each block and class with their counts."""
     for batch in batches:
-        for _, _, texts in blocks(batch, "text", COUNT_BLOCK):
+        for a, b, texts in blocks(batch, "text", COUNT_BLOCK):
             words = Words(texts)
-            h, pick, n = np.unique(words.hash, return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array([words.text(i) for i in pick], pa.binary()), pa.array(n)], ["h", "word", "n"])
+            classes = batch.column("k").to_numpy()[a:b][words.doc]
+            for k in np.unique(classes):
+                own = np.flatnonzero(classes == k)
+                h, pick, n = np.unique(words.hash[own], return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array([words.text(i) for i in own[pick]], pa.binary()), pa.array(np.full(len(h), k, np.int32)), pa.array(n)], ["h", "word", "k", "n"])
+
+
+class Spelling:
+    """Spelling probabilities of words, remembered within a task up to ``most`` words."""
+
+    def __init__(self, model: LatticeModel, most: int = 1_000_000):
+        self.model, self.most = model, most
+        self.h, self.spelt = np.zeros(0, np.uint64), np.zeros(0)
+
+    def of(self, h: np.ndarray, word) -> np.ndarray:
+        """h: sorted distinct hashes; word(i): the bytes of the i-th."""
+        at = np.searchsorted(self.h, h)
+        at[at == len(self.h)] = 0
+        known = self.h[at] == h if len(self.h) else np.zeros(len(h), bool)
+        out = np.where(known, self.spelt[at], 0.0) if len(self.h) else np.zeros(len(h))
+        new = np.flatnonzero(~known)
+        out[new] = self.model.log_prob([word(i) for i in new])
+        if len(self.h) + len(new) > self.most:
+            self.h, self.spelt = h, out
+        elif len(new):
+            both = np.concatenate((self.h, h[new]))
+            order = np.argsort(both)
+            self.h, self.spelt = both[order], np.concatenate((self.spelt, out[new]))[order]
+        return out
 
 
 def _expected(model):
@@ -165,25 +206,27 @@ def _expected(model):
     return run
 
 
-def _scores(model, share: WordShare, frequent):
-    """(row, id, held_out, text) -> what a task can tell of each text alone."""
+def _frequent_scores(model, share: WordShare, frequent):
+    """(row, id, held_out, text) -> number of words, and what the frequent words give: known, base, score of each class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, (often, counts) = model.value, frequent.value
+        often, counts, each = frequent.value
+        spelling = Spelling(model.value)
         for batch in batches:
             for a, b, texts in blocks(batch, "text", COUNT_BLOCK):
                 words = Words(texts)
-                h, pick, which = np.unique(words.hash, return_index=True, return_inverse=True)
-                spelt = m.log_prob([words.text(i) for i in pick])
-                at = np.searchsorted(often, h)
+                at = np.searchsorted(often, words.hash)
                 at[at == len(often)] = 0
-                known = (often[at] == h) if len(often) else np.zeros(len(h), bool)
-                c = np.where(known, counts[at], 0.0) if len(often) else np.zeros(len(h))
-                score, base = share.log10(spelt, c), np.log10(c + 0.1)
-                per = [np.bincount(words.doc, weights=v[which], minlength=len(texts)) for v in (score, base, known.astype(float))]
+                use = np.flatnonzero(often[at] == words.hash) if len(often) else np.zeros(0, np.int64)
+                h, pick, which = np.unique(words.hash[use], return_index=True, return_inverse=True)
+                row = at[use][pick]
+                spelt = spelling.of(h, lambda i, use=use, pick=pick, words=words: words.text(use[pick[i]]))
+                values = [np.ones(len(h)), np.log10(counts[row] + 0.1), *share.logs(spelt, counts[row], each[row])]
+                sums = [np.bincount(words.doc[use], weights=v[which], minlength=len(texts)) for v in values]
                 part = batch.slice(a, b - a)
                 out = [part.column(c) for c in ("row", "id", "held_out")]
-                yield pa.RecordBatch.from_arrays([*out, pa.array(words.count), pa.array(per[2].astype(np.int64)), pa.array(per[1]), pa.array(per[0])], ["row", "id", "held_out", "words", "known", "base", "score"])
+                names = ["row", "id", "held_out", "words", "known", "base", *[f"s{k}" for k in range(len(sums) - 2)]]
+                yield pa.RecordBatch.from_arrays([*out, pa.array(words.count), pa.array(sums[0].astype(np.int64)), *map(pa.array, sums[1:])], names)
 
     return run
 
@@ -192,13 +235,16 @@ def _rare_blocks(parts: int, model, frequent):
     """(row, text) -> packed words of each block that are not frequent, by hash range: (part, words, spelling, rows, pairs)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, (often, _) = model.value, frequent.value
+        often = frequent.value[0]
+        spelling = Spelling(model.value)
         for batch in batches:
             for a, _, texts in blocks(batch, "text", COUNT_BLOCK):
                 words = Words(texts)
-                keep = ~np.isin(words.hash, often)
+                at = np.searchsorted(often, words.hash)
+                at[at == len(often)] = 0
+                keep = np.flatnonzero(often[at] != words.hash) if len(often) else np.arange(len(words.hash))
                 h, pick, which = np.unique(words.hash[keep], return_index=True, return_inverse=True)
-                spelt = m.log_prob([words.text(i) for i in np.flatnonzero(keep)[pick]]).astype("<f4")
+                spelt = spelling.of(h, lambda i, keep=keep, pick=pick, words=words: words.text(keep[pick[i]])).astype("<f4")
                 pair, times = np.unique(which.astype(np.int64) * len(texts) + words.doc[keep], return_counts=True)
                 word, doc = pair // len(texts), pair % len(texts)
                 part = (h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
@@ -207,11 +253,13 @@ def _rare_blocks(parts: int, model, frequent):
                 row = batch.column("row").slice(a, len(texts)).to_numpy()
                 out = []
                 for p in range(parts):
-                    if cut[p + 1] > cut[p]:
-                        w, d, t = word[edge[p] : edge[p + 1]] - cut[p], doc[edge[p] : edge[p + 1]], times[edge[p] : edge[p + 1]]
-                        each = np.bincount(w, minlength=cut[p + 1] - cut[p])  # texts of each word; the pairs follow by word
-                        docs, at = np.unique(d, return_inverse=True)
-                        out.append((p, h[cut[p] : cut[p + 1]].tobytes(), spelt[cut[p] : cut[p + 1]].tobytes(), row[docs].tobytes(), each.astype("<u4").tobytes(), at.astype("<u4" if len(docs) > 65535 else "<u2").tobytes(), np.minimum(t, 65535).astype("<u2" if t.max() > 255 else "u1").tobytes()))
+                    i, j = cut[p], cut[p + 1]
+                    if j > i:
+                        w, d, t = word[edge[p] : edge[p + 1]] - i, doc[edge[p] : edge[p + 1]], times[edge[p] : edge[p + 1]]
+                        each = np.bincount(w, minlength=j - i)  # texts of each word; the pairs follow by word
+                        docs, where = np.unique(d, return_inverse=True)
+                        packed = (h[i:j], spelt[i:j], row[docs], each.astype("<u4"), where.astype("<u4" if len(docs) > 65535 else "<u2"), t.astype("<u4" if t.max() > 255 else "u1"))
+                        out.append((p, *[x.tobytes() for x in packed]))
                 kinds = [("part", pa.int32()), *[(c, pa.binary()) for c in ("words", "spelt", "rows", "each", "docs", "times")]]
                 yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, (_, k) in enumerate(kinds)], [c for c, _ in kinds])
 
@@ -219,88 +267,112 @@ def _rare_blocks(parts: int, model, frequent):
 
 
 def _rare_scores(share: WordShare):
-    """One hash range -> (row, base, gain, known): what knowing its rare words adds to each text's baseline and score."""
+    """One hash range -> (row, rare_known, rare_base, r0, r1 ..): what its words give to each text."""
+    classes = len(share.by_class)
+    names = ["row", "rare_known", "rare_base", *[f"r{k}" for k in range(classes + 1)]]
 
     def run(counts: pa.Table, packed: pa.Table) -> pa.Table:
         h = counts.column("h").to_numpy().view(np.uint64)
         order = np.argsort(h)
         h, c = h[order], counts.column("c").to_numpy()[order].astype(float)
+        by = np.stack([counts.column(f"c{k}").to_numpy()[order] for k in range(classes)], axis=1).astype(float)
         rows: list[np.ndarray] = []
-        sums: list[list[np.ndarray]] = [[], [], []]
-        for r in range(packed.num_rows if len(h) else 0):
+        sums: list[list[np.ndarray]] = [[] for _ in names[1:]]
+        for r in range(packed.num_rows):
             words, spelt, row, each, docs, times = (packed.column(x)[r].as_py() for x in ("words", "spelt", "rows", "each", "docs", "times"))
             words, row, each = np.frombuffer(words, np.uint64), np.frombuffer(row, np.int64), np.frombuffer(each, "<u4")
             spelt = np.frombuffer(spelt, "<f4").astype(float)
             n = int(each.sum())
             docs = np.frombuffer(docs, f"<u{len(docs) // n}").astype(np.int64)
             times = np.frombuffer(times, f"<u{len(times) // n}").astype(float)
-            at = np.searchsorted(h, words)
-            at[at == len(h)] = 0
-            known = h[at] == words
-            seen = np.where(known, c[at], 0.0)
-            adds = (np.log10(seen + 0.1) + 1, share.log10(spelt, seen) - share.log10(spelt, np.zeros(len(seen))), known)
+            seen, seen_by, known = np.zeros(len(words)), np.zeros((len(words), classes)), np.zeros(len(words), bool)
+            if len(h):
+                at = np.searchsorted(h, words)
+                at[at == len(h)] = 0
+                known = h[at] == words
+                seen[known], seen_by[known] = c[at[known]], by[at[known]]
             rows.append(row)
-            for total, add in zip(sums, adds, strict=True):
+            for total, add in zip(sums, (known, np.log10(seen + 0.1), *share.logs(spelt, seen, seen_by)), strict=True):
                 total.append(np.bincount(docs, weights=np.repeat(add, each) * times, minlength=len(row)))
         if not rows:
-            return pa.table({"row": pa.array([], pa.int64()), "base_gain": pa.array([], pa.float64()), "gain": pa.array([], pa.float64()), "rare_known": pa.array([], pa.int64())})
+            return pa.table({n: pa.array([], pa.int64() if n in ("row", "rare_known") else pa.float64()) for n in names})
         row, which = np.unique(np.concatenate(rows), return_inverse=True)
-        base, gain, known = (np.bincount(which, weights=np.concatenate(v), minlength=len(row)) for v in sums)
-        use = known > 0
-        return pa.table({"row": row[use], "base_gain": base[use], "gain": gain[use], "rare_known": known[use].astype(np.int64)})
+        out = [np.bincount(which, weights=np.concatenate(v), minlength=len(row)) for v in sums]
+        return pa.table(dict(zip(names, [row, out[0].astype(np.int64), *out[1:]], strict=True)))
 
     return run
 
 
-def score_documents(docs: DataFrame, train_on: Column, id_col: str = "doc_id", text_col: str = "text", *, model: str | None = None, rounds: int = 2, frequent: int = 100_000, words_per_part: int = 1_000_000) -> DataFrame:
+def score_documents(docs: DataFrame, train_on: Column, id_col: str = "doc_id", text_col: str = "text", class_col: str | None = "lang", *, model: str | None = None, rounds: int = 1, frequent: int = 100_000, classes: int = 5, words_per_part: int = 400_000) -> DataFrame:
     """(id_col, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row; logs are to base 10.
 
-    train_on: condition on the rows to learn from. rounds: of expectation maximisation.
+    train_on: condition on the rows to learn from. class_col: what divides the training texts into classes (null: nothing does); its
+    most frequent values become ``classes`` classes at most. rounds: of expectation maximisation.
     """
     spark = docs.sparkSession
     path = model or default_model()
     text = F.col(f"`{text_col}`")
-    rows = docs.select(F.xxhash64(F.col(f"`{id_col}`"), text).alias("row"), F.col(f"`{id_col}`").alias("id"), F.coalesce(~train_on, F.lit(True)).alias("held_out"), text.alias("text"))
+    group = (F.col(f"`{class_col}`") if class_col else F.lit(None)).cast("string")
+    rows = docs.select(F.xxhash64(F.col(f"`{id_col}`"), text).alias("row"), F.col(f"`{id_col}`").alias("id"), F.coalesce(~train_on, F.lit(True)).alias("held_out"), text.alias("text"), group.alias("group"))
     id_type = rows.schema["id"].dataType.simpleString()
     learn = rows.where("NOT held_out")
+    sizes = {r.group: r["count"] for r in learn.groupBy("group").count().orderBy(F.desc("count"), "group").limit(classes).collect()}
+    names = list(sizes) or [None]
     ends = learn.count()
-    found = learn.select("text").mapInArrow(_counts, "h long, word binary, n long")
-    table = store.saved(found.groupBy("h").agg(F.min("word").alias("word"), F.sum("n").alias("c")), "words")
-    distinct, tokens = table.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
+    number = F.coalesce(*[F.when(F.col("group").eqNullSafe(g), k) for k, g in enumerate(names)], F.lit(len(names)))  # the last: none of them
+    found = learn.select("text", number.alias("k")).mapInArrow(_counts, "h long, word binary, k int, n long")
+    by = [F.coalesce(F.sum(F.when(F.col("k") == k, F.col("n"))), F.lit(0)).alias(f"c{k}") for k in range(len(names))]
+    table = store.saved(found.groupBy("h").agg(F.min("word").alias("word"), F.sum("n").alias("c"), *by), "words")
+    per = [x for k in range(len(names)) for x in (F.coalesce(F.sum(f"c{k}"), F.lit(0)), F.count_if(F.col(f"c{k}") > 0))]
+    distinct, tokens, *totals = table.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0)), *per).first()
     n, v = tokens + ends, distinct + (1 if ends else 0)
+    by_class = list(zip(totals[0::2], totals[1::2], strict=True))
+    share = WordShare(tokens, distinct, by_class)
 
     m = LatticeModel.initial(path)
-    for _ in range(rounds if n else 0):
+    for _ in range(rounds if tokens else 0):
         held = spark.sparkContext.broadcast(m)
         uses = table.select("word").mapInArrow(_expected(held), "piece long, uses double").groupBy("piece").agg(F.sum("uses").alias("uses"))
         total = np.zeros(len(m.piece) + 256)
         for r in uses.collect():  # one row for each piece of the vocabulary
             total[r.piece] = r.uses
         m = m.updated(total, distinct)
+    held = spark.sparkContext.broadcast(m)
 
-    often = sorted((r.h & (1 << 64) - 1, r.c) for r in table.where(F.col("c") * frequent > n).select("h", "c").collect())  # at most ``frequent`` rows
-    lists = spark.sparkContext.broadcast((np.array([h for h, _ in often], np.uint64), np.array([c for _, c in often], float)))
-    held, share = spark.sparkContext.broadcast(m), WordShare(tokens, distinct)
-    alone = rows.mapInArrow(_scores(held, share, lists), f"row long, id {id_type}, held_out boolean, words long, known long, base double, score double")
+    every = [f"c{k}" for k in range(len(names))]
+    often = sorted(((r.h & (1 << 64) - 1, r.c, [r[x] for x in every]) for r in table.where(F.col("c") * frequent > n).select("h", "c", *every).collect()), key=lambda r: r[0])  # at most ``frequent`` rows
+    lists = spark.sparkContext.broadcast((np.array([r[0] for r in often], np.uint64), np.array([r[1] for r in often], float), np.array([r[2] for r in often], float).reshape(len(often), len(names))))
+    marks = [f"s{k}" for k in range(len(names) + 1)]
+    alone = rows.drop("group").mapInArrow(_frequent_scores(held, share, lists), f"row long, id {id_type}, held_out boolean, words long, known long, base double, " + ", ".join(f"{x} double" for x in marks))
 
-    parts = max(store.partitions(spark), -(-distinct // words_per_part))
+    parts = max(1, -(-distinct // words_per_part))
     packed = rows.select("row", "text").mapInArrow(_rare_blocks(parts, held, lists), "part int, words binary, spelt binary, rows binary, each binary, docs binary, times binary")
-    rare = table.where(F.col("c") * frequent <= n).select(F.shiftrightunsigned(F.shiftrightunsigned("h", 32) * parts, 32).cast("int").alias("part"), "h", "c")
-    gains = rare.groupBy("part").cogroup(packed.groupBy("part")).applyInArrow(_rare_scores(share), "row long, base_gain double, gain double, rare_known long")
-    gains = gains.groupBy("row").agg(*[F.sum(x).alias(x) for x in ("base_gain", "gain", "rare_known")])
-    # rows that repeat id and text add up in gains
+    rare = table.where(F.col("c") * frequent <= n).select(F.shiftrightunsigned(F.shiftrightunsigned("h", 32) * parts, 32).cast("int").alias("part"), "h", "c", *every)
+    adds = ["rare_base", *[f"r{k}" for k in range(len(names) + 1)]]
+    gains = rare.groupBy("part").cogroup(packed.groupBy("part")).applyInArrow(_rare_scores(share), "row long, rare_known long, " + ", ".join(f"{x} double" for x in adds))
+    gains = gains.groupBy("row").agg(*[F.sum(x).alias(x) for x in ("rare_known", *adds)])
     same = store.saved(alone, "alone")
-    copies = same.groupBy("row").agg(F.count("*").alias("copies")).where("copies > 1")
+    copies = same.groupBy("row").agg(F.count("*").alias("copies")).where("copies > 1")  # rows that repeat id and text add up in gains
     out = same.join(gains, "row", "left").join(copies, "row", "left")
     times = F.coalesce("copies", F.lit(1))
+
+    def rest(x: str) -> Column:
+        return F.coalesce(F.col(x) / times, F.lit(0.0))
+
     scale = math.log10(n + 0.1 * (v + 1))
-    base = F.col("base") + F.coalesce(F.col("base_gain") / times, F.lit(0.0)) + math.log10(ends + 0.1) - (F.col("words") + 1) * scale
-    known = F.col("known") + F.coalesce((F.col("rare_known") / times).cast("long"), F.lit(0)) + (1 if ends else 0)
-    end = (ends + 0.1) / (n + 0.2)
-    score = F.col("score") + F.coalesce(F.col("gain") / times, F.lit(0.0)) + math.log10(end) + F.col("words") * math.log10(1 - end)
+    base = F.col("base") + rest("rare_base") + math.log10(ends + 0.1) - (F.col("words") + 1) * scale
+    known = F.col("known") + rest("rare_known").cast("long") + (1 if ends else 0)
+    parts_ = []
+    weights = [sizes.get(g, 0) for g in names]
+    for k, (weight, (own, _)) in enumerate(zip([*weights, max(1.0, 0.1 * ends)], [*by_class, (tokens, distinct)], strict=True)):
+        end = ((weight if k < len(names) else ends) + 0.1) / (own + (weight if k < len(names) else ends) + 0.2)
+        prior = (weight + 0.01) / (sum(weights) + max(1.0, 0.1 * ends) + 0.01 * (len(names) + 1))
+        parts_.append(F.col(f"s{k}") + rest(f"r{k}") + math.log10(end) + F.col("words") * math.log10(1 - end) + math.log10(prior))
+    best = F.greatest(*parts_) if len(parts_) > 1 else parts_[0]
+    score = best + F.log10(sum((F.pow(F.lit(10.0), p - best) for p in parts_), F.lit(0.0)))
     return out.select(F.col("id").alias(id_col), "held_out", (F.col("words") + 1).alias("n_tokens"), known.cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), score.alias("score"))
 
 
 def op8_lattice_lm(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     return score_documents(docs, F.crc32(F.col("doc_id").cast("string")) % 10 != 0)
