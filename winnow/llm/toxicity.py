@@ -4,8 +4,9 @@ Features of a text are its distinct words, their first four and five bytes, word
 them, hashed to 2**bits coordinates; a feature counts once. ASCII punctuation separates words here. Training follows FTRL-proximal: a learning rate for each coordinate and an L1 penalty that
 keeps most weights at exactly zero, so the model is a small table that every task can hold.
 
-Training rows are a bounded sample (``train_rows`` labelled documents, chosen by a hash of the id). They are dealt to shards; in each
-round every shard runs over its rows from the shared state, and the states are averaged, as arrays of a fixed size.
+Training rows are a bounded sample: ``train_rows`` labelled documents, chosen by a hash of the id, half of them toxic if there are as many, so that
+0.5 is the point where either label is as likely if toxic and clean texts were equally frequent. They are dealt to shards; in each
+round every shard runs a few times over its rows from the shared state, and the states are averaged, as arrays of a fixed size.
 
 Scoring covers every whole text. Null and empty texts have no features and get the score of the intercept. Without any labelled
 row every score is 0. Null labels are ignored; rows with a null id are scored but never trained on.
@@ -47,7 +48,7 @@ def features(words: Words, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(docs), np.maximum(x, 1)
 
 
-def _training_rows(bits: int, shards: int):
+def _training_rows(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, labels = batch.column("place").to_numpy(), batch.column("label").to_pylist()
@@ -57,7 +58,7 @@ def _training_rows(bits: int, shards: int):
                 doc, x = doc[order], x[order]
                 cut = np.searchsorted(doc, np.arange(len(texts) + 1))
                 sets = [np.unique(x[i:j]).astype("<u4").tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[a:b] % shards, pa.int32()), pa.array(ids[a:b]), pa.array(labels[a:b], pa.int32()), pa.array(sets, pa.binary())], ["shard", "place", "label", "x"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a:b]), pa.array(labels[a:b], pa.int32()), pa.array(sets, pa.binary())], ["place", "label", "x"])
 
     return run
 
@@ -70,14 +71,17 @@ def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def _shard_pass(state, size: int, alpha: float, beta: float, l1: float, l2: float):
-    def run(table: pa.Table) -> pa.Table:
+def _shard_pass(state, size: int, passes: int, alpha: float, beta: float, l1: float, l2: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if not sum(b.num_rows for b in held):
+            return
+        table = pa.Table.from_batches(held)
         z, n = (a.astype(np.float64) for a in state.value)
-        place = table.column("place").to_numpy()
-        label = table.column("label").to_numpy()
-        sets = table.column("x").to_pylist()
-        for i in np.lexsort((label, place)):
-            x = np.concatenate((np.zeros(1, np.int64), np.frombuffer(sets[i], "<u4").astype(np.int64)))
+        place, label = table.column("place").to_numpy(), table.column("label").to_numpy()
+        sets = [np.concatenate((np.zeros(1, np.int64), np.frombuffer(x, "<u4").astype(np.int64))) for x in table.column("x").to_pylist()]
+        for i in np.tile(np.lexsort((label, place)), passes):
+            x = sets[i]
             zx, nx = z[x], n[x]
             penalty = np.full(len(x), l1)
             penalty[0] = 0  # the intercept is not made sparse
@@ -87,7 +91,8 @@ def _shard_pass(state, size: int, alpha: float, beta: float, l1: float, l2: floa
             n[x] = nx + g * g
         per = size // SLICES
         cut = [slice(i * per, (i + 1) * per) for i in range(SLICES)]
-        return pa.table({"slice": pa.array(range(SLICES), pa.int32()), "z": pa.array([z[c].astype("<f4").tobytes() for c in cut], pa.binary()), "n": pa.array([n[c].astype("<f4").tobytes() for c in cut], pa.binary())})
+        parts = [pa.array([a[c].astype("<f4").tobytes() for c in cut], pa.binary()) for a in (z, n)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), *parts], ["slice", "z", "n"])
 
     return run
 
@@ -113,26 +118,26 @@ class Model:
         return sigmoid(total + float(self.w[0]))
 
 
-def train(docs: DataFrame, labels: DataFrame, *, usable: Column | None = None, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", train_rows: int = 20_000, bits: int = 20, rounds: int = 4, shards: int = 4, alpha: float = 0.3, beta: float = 1.0, l1: float = 1.5, l2: float = 0.1) -> Model:
+def train(docs: DataFrame, labels: DataFrame, *, usable: Column | None = None, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", train_rows: int = 12_000, bits: int = 20, rounds: int = 2, passes: int = 3, shards: int = 4, alpha: float = 0.3, beta: float = 1.0, l1: float = 1.5, l2: float = 0.1) -> Model:
     """Fits on at most about ``train_rows`` of the labelled rows whose id meets ``usable`` (a condition on the id column)."""
     spark = docs.sparkSession
     named = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("label")).where("id is not null and label is not null")
     if usable is not None:
         named = named.withColumnRenamed("id", id_col).where(usable).withColumnRenamed(id_col, "id")
     named = store.saved(named, "labels")
-    n = named.count()
-    if n > train_rows:
-        named = named.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.lit(1_000_000 * train_rows // n))
-    named = F.broadcast(named)  # bounded by train_rows
+    counts = {r.label: r["count"] for r in named.where("label in (0, 1)").groupBy("label").count().collect()}
+    taken = {k: min(1.0, train_rows / 2 / v) for k, v in counts.items()}
+    share = F.coalesce(*[F.when(F.col("label") == k, int(1_000_000 * v)) for k, v in taken.items()], F.lit(0))
+    named = F.broadcast(named.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share))  # bounded by train_rows
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).join(named, "id")
     rows = rows.select(F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(3)), F.lit(1 << 40)).alias("place"), "label", "text")
-    rows = store.saved(rows.mapInArrow(_training_rows(bits, shards), "shard int, place long, label int, x binary"), "training")
+    rows = store.saved(rows.repartition(shards, "place").mapInArrow(_training_rows(bits), "place long, label int, x binary"), "training")
     size = 1 << bits
     z, n_ = np.zeros(size, np.float32), np.zeros(size, np.float32)
     trained = rows.count()
     for _ in range(rounds if trained else 0):
         state = spark.sparkContext.broadcast((z, n_))
-        states = rows.groupBy("shard").applyInArrow(_shard_pass(state, size, alpha, beta, l1, l2), "slice int, z binary, n binary")
+        states = rows.mapInArrow(_shard_pass(state, size, passes, alpha, beta, l1, l2), "slice int, z binary, n binary")
         mean = states.groupBy("slice").applyInArrow(_average, "slice int, z binary, n binary").collect()  # fixed size
         for r in mean:
             part = slice(r["slice"] * (size // SLICES), (r["slice"] + 1) * (size // SLICES))
