@@ -49,7 +49,7 @@ def _sphere_height(p: float, dim: int) -> float:
     u = np.linspace(-1, 1, 200_001)
     density = np.power(np.maximum(1 - u * u, 0), (dim - 3) / 2) if dim > 2 else 1 / np.sqrt(np.maximum(1 - u * u, 1e-9))
     tail = np.cumsum(density[::-1])[::-1]
-    return float(u[np.searchsorted(-tail, -p * tail[0])])
+    return float(u[min(np.searchsorted(-tail, -p * tail[0]), len(u) - 1)])
 
 
 class ProductCode:

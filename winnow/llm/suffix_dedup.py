@@ -4,17 +4,18 @@ A byte goes if a string of ``length`` bytes that covers it also starts anywhere
 
 Suffix arrays. Only suffixes at anchors are kept: in each window of ``length`` bytes the gram with the smallest hash (the leftmost
 of equals). Equal windows have their anchor at the same place, so every repeated window is found from an anchor, at a
-small part of the positions. An anchor's entry is a pointer (row, position) with two keys: a hash of the ``length`` / 2 bytes
-from it on, and one of as many bytes before it; a repeated window shares one of them with its twin. ``around`` is a hash
-of all bytes that a window through the anchor can have.
+small part of the positions. An anchor has two entries, each a pointer (row, position) to a core of ``length`` / 2 bytes with a hash of
+it as the key: the core that starts at the anchor, and the one that ends there. A repeated window shares one of them with its
+twin and reaches x bytes before the core and ``length`` / 2 - x bytes behind it. ``around`` is a hash of all bytes
+that such windows can have.
 
 Index family. Texts come in batches. A new batch's keys are merge-scanned against every level for keys that occur twice; the batch then
 becomes a level, and levels of equal size merge, so there are logarithmically many. Levels are saved tables.
 
 Matches. Entries whose keys repeat are collected. Entries with equal surroundings repeat as a whole. Of each key with different surroundings
-one entry for each kind fetches its bytes; the kinds are sorted by the bytes from the anchor on (a suffix array) and by those before it, read
-backwards, with the lengths of common prefixes of neighbours. For each place o of the anchor in a window, entries repeat when they share both
-the class of ``length`` - o bytes on and the class of o bytes before. A key with more than ``crowd`` kinds (a phrase in very many
+one entry for each kind fetches its bytes around the core; the kinds are sorted by the bytes behind the core (a suffix array) and by those
+before it, read backwards, with the lengths of common prefixes of neighbours. For each x, entries repeat when they share both
+the class of the bytes behind and the class of the x bytes before. A key with more than ``crowd`` kinds (a phrase in very many
 contexts) is not gathered: each of its windows becomes a hash, and the hashes are counted by a plain aggregation.
 
 Null texts are empty. Texts shorter than ``length`` lose nothing. Repeated rows repeat each other.
@@ -95,20 +96,25 @@ def _entries(length: int, segment: int = SEGMENT):
                     mine = (p - border[doc] >= move[:, 1]) & (p - border[doc] < move[:, 2])
                     doc, p, move = doc[mine], p[mine], move[mine]
                     start, end = border[doc], border[doc + 1]
-                    left, right = np.maximum(p - (length - GRAM), start), np.minimum(p + length, end)
-                    around = mix(span_hash(prefix, left, right) + (p - left).astype(np.uint64) * np.uint64(1000003))
-                    on, before = p + half <= end, p - half >= start
-                    key_on = span_hash(prefix, p[on], p[on] + half)
-                    key_before = mix(span_hash(prefix, p[before] - half, p[before]) * np.uint64(3) + span_hash(prefix, p[before], p[before] + GRAM))
-                    pos = p - start + move[:, 0]
                     ids = batch.column("row").to_numpy()[np.array(rows[lo:hi])][doc]
-                    key = np.concatenate((key_on, key_before)).view(np.int64)
-                    pick = np.concatenate((np.flatnonzero(on), np.flatnonzero(before)))
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(around[pick].view(np.int64)), pa.array(ids[pick]), pa.array(pos[pick])], ["key", "around", "row", "pos"])
+                    gram = span_hash(prefix, p, p + GRAM)
+                    for side, core, use in ((0, p, p + half <= end), (1, p - half, p - half > start)):
+                        first, last = start[use], end[use]
+                        at, least, most = core[use], *_reach(side, length)
+                        left, right = np.maximum(at - most, first), np.minimum(at + length - least, last)
+                        around = mix(span_hash(prefix, left, right) + (at - left).astype(np.uint64) * np.uint64(1000003))
+                        key = mix(span_hash(prefix, at, at + half) * np.uint64(3) + gram[use]) & ~np.uint64(1) | np.uint64(side)
+                        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(around.view(np.int64)), pa.array(ids[use]), pa.array(at - first + move[use, 0])], ["key", "around", "row", "pos"])
 
     return run
 
 
+def _reach(side: int, length: int) -> tuple[int, int]:
+    """The least and most bytes before the core of a window whose anchor is where the core starts (side 0) or ends (side 1)."""
+    half = length // 2
+    return (0, length - half) if side == 0 else (1, length - GRAM - half)
+
+
 def _spans(parts: list[bytes], limit: int) -> Iterator[tuple[int, int]]:
     at, size = 0, 0
     for i, t in enumerate(parts):
@@ -159,7 +165,8 @@ class SuffixFamily:
 
 
 def _surroundings(length: int):
-    """(text, wanted) -> (key, around, times, left, right): the bytes before and from each wanted position on."""
+    """(text, wanted) -> (key, kinds, around, times, left, right): the bytes before and behind each wanted core."""
+    half = length // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,8 +174,8 @@ def _surroundings(length: int):
                 out = []
                 for text, wanted in zip(texts, batch.column("wanted").slice(a, b - a).to_pylist(), strict=True):
                     for w in wanted:
-                        p = w["pos"]
-                        out.append((w["key"], w["around"], w["times"], text[max(0, p - (length - GRAM)) : p], text[p : p + length]))
+                        p, (least, most) = w["pos"], _reach(w["key"] & 1, length)
+                        out.append((w["key"], w["kinds"], w["around"], w["times"], text[max(0, p - most) : p], text[p + half : p + length - least]))
                         if len(out) == 5000:
                             yield _packed(out)
                             out = []
@@ -179,7 +186,7 @@ def _surroundings(length: int):
 
 
 def _packed(out: list[tuple]) -> pa.RecordBatch:
-    kinds = [("key", pa.int64()), ("around", pa.int64()), ("times", pa.int64()), ("left", pa.binary()), ("right", pa.binary())]
+    kinds = [("key", pa.int64()), ("kinds", pa.int64()), ("around", pa.int64()), ("times", pa.int64()), ("left", pa.binary()), ("right", pa.binary())]
     return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, (_, k) in enumerate(kinds)], [k for k, _ in kinds])
 
 
@@ -196,28 +203,31 @@ def _sorted_classes(strings: list[bytes], group: np.ndarray, width: int) -> tupl
     return order, np.concatenate(([-1], np.where(same[:, :4].all(axis=1), np.maximum(common, 0), -1)))
 
 
-def repeats(group: np.ndarray, times: np.ndarray, left: list[bytes], right: list[bytes], length: int) -> np.ndarray:
-    """For each entry and each place o of the anchor in a window: does the window repeat? Groups are entries of one key."""
-    most = length - GRAM
+def repeats(group: np.ndarray, times: np.ndarray, least: np.ndarray, left: list[bytes], right: list[bytes], length: int) -> np.ndarray:
+    """For each entry and each number of bytes before the core: does that window repeat? Groups are entries of one key.
+
+    A window has ``length`` bytes besides the core, ``least`` of them before it or more.
+    """
     n_left, n_right = np.array([len(x) for x in left]), np.array([len(x) for x in right])
-    places = np.arange(most + 1)
-    valid = (places[None, :] <= n_left[:, None]) & (length - places[None, :] <= n_right[:, None])
+    places = np.arange(length + 1)[None, :]
+    valid = (places <= n_left[:, None]) & (length - places <= n_right[:, None]) & (places >= least[:, None])
     found = valid & (times > 1)[:, None]
     on_order, on_common = _sorted_classes(right, group, length)
-    back_order, back_common = _sorted_classes([x[::-1] for x in left], group, max(most, 1))
+    back_order, back_common = _sorted_classes([x[::-1] for x in left], group, length)
     n = len(group)
     on, back = np.empty(n, np.int64), np.empty(n, np.int64)
-    for o in range(most + 1):
-        use = np.flatnonzero(valid[:, o])
+    for x in range(length + 1):
+        use = np.flatnonzero(valid[:, x])
         if len(use) < 2:
             continue
-        on[on_order] = np.cumsum(on_common < length - o)
-        back[back_order] = np.cumsum(back_common < o)
+        on[on_order] = np.cumsum(on_common < length - x)
+        back[back_order] = np.cumsum(back_common < x)
         both = on[use] * (n + 1) + back[use]
         order = np.argsort(both, kind="stable")
-        twin = both[order][1:] == both[order][:-1]
-        found[use[order[1:][twin]], o] = True
-        found[use[order[:-1][twin]], o] = True
+        both = both[order]
+        twin = both[1:] == both[:-1]
+        found[use[order[1:][twin]], x] = True
+        found[use[order[:-1][twin]], x] = True
     return found
 
 
@@ -231,12 +241,13 @@ def _ranges(found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _matches(length: int):
-    """Runs of one key, (key, around, times, left, right) -> (key, around, from, to): repeated bytes, relative to the anchor."""
+    """Runs of one key, (key, around, times, left, right) -> (key, around, from, to): repeated bytes, relative to the core."""
 
     def out(tables: list[pa.Table]) -> pa.RecordBatch:
         table = pa.concat_tables(tables)
         group = np.repeat(np.arange(len(tables)), [t.num_rows for t in tables])
-        found = repeats(group, table.column("times").to_numpy(), table.column("left").to_pylist(), table.column("right").to_pylist(), length)
+        least = table.column("key").to_numpy() & 1
+        found = repeats(group, table.column("times").to_numpy(), least, table.column("left").to_pylist(), table.column("right").to_pylist(), length - length // 2)
         entry, first, last = _ranges(found)
         key, around = table.column("key").to_numpy()[entry], table.column("around").to_numpy()[entry]
         return pa.RecordBatch.from_arrays([pa.array(key), pa.array(around), pa.array(-last), pa.array(length - first)], ["key", "around", "from", "to"])
@@ -257,23 +268,20 @@ def _matches(length: int):
 
 
 def _windows(length: int):
-    """(key, around, times, left, right) -> (key, around, place, times, window): a hash of each window through the anchor."""
+    """(key, around, times, left, right) -> (key, around, place, times, window): a hash of each window around the core."""
+    beside = length - length // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                left, right = part.column("left").to_pylist(), part.column("right").to_pylist()
+                left, right, keys = (part.column(c).to_pylist() for c in ("left", "right", "key"))
                 prefix = prefix_hash(byte_codes(np.frombuffer(b"".join(x + y for x, y in zip(left, right, strict=True)), np.uint8)))
                 end = np.cumsum([len(x) + len(y) for x, y in zip(left, right, strict=True)])
                 p = end - np.array([len(y) for y in right])
-                entry, place = [], []
-                for i, (x, y) in enumerate(zip(left, right, strict=True)):
-                    o = np.arange(max(0, length - len(y)), min(len(x), length - GRAM) + 1)
-                    entry.append(np.full(len(o), i))
-                    place.append(o)
-                entry, place = np.concatenate(entry), np.concatenate(place)
-                h = span_hash(prefix, p[entry] - place, p[entry] - place + length)
+                places = [np.arange(max(k & 1, beside - len(y)), min(len(x), beside) + 1) for k, x, y in zip(keys, left, right, strict=True)]
+                entry, place = np.repeat(np.arange(len(places)), [len(o) for o in places]), np.concatenate(places)
+                h = span_hash(prefix, p[entry] - place, p[entry] - place + beside)
                 take = pa.array(entry)
                 yield pa.RecordBatch.from_arrays([part.column("key").take(take), part.column("around").take(take), pa.array(place), part.column("times").take(take), pa.array(h.view(np.int64))], ["key", "around", "place", "times", "window"])
 
@@ -314,25 +322,28 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     kinds = cand.groupBy("key", "around").agg(F.count("*").alias("times"), F.min(F.struct("row", "pos")).alias("one"))
     kinds = store.saved(kinds.select("key", "around", "times", "one.row", "one.pos"), "kinds")
-    several = store.saved(kinds.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1"), "several")
-    fetch = kinds.join(several, "key")
-    wanted = fetch.groupBy("row").agg(F.collect_list(F.struct("key", "around", "times", "pos")).alias("wanted"))
+    number = store.saved(kinds.groupBy("key").agg(F.count("*").alias("kinds"), F.max("times").alias("most")), "numbers")
+    fetch = kinds.join(number.where("kinds > 1").select("key", "kinds"), "key")
+    wanted = fetch.groupBy("row").agg(F.collect_list(F.struct("key", "kinds", "around", "times", "pos")).alias("wanted"))
     one_text = long.select("row", "text").join(wanted, "row").dropDuplicates(["row"])
-    bytes_ = one_text.select("text", "wanted").mapInArrow(_surroundings(length), "key long, around long, times long, left binary, right binary")
-    bytes_ = store.saved(bytes_, "surroundings")
-    crowded = several.where(F.col("kinds") > crowd).select("key")
-    few = bytes_.join(store.small(crowded), "key", "left_anti").repartition("key").sortWithinPartitions("key")
-    match_schema = "key long, around long, from long, to long"
-    spans = few.mapInArrow(_matches(length), match_schema)
-    many = bytes_.join(store.small(crowded), "key", "left_semi").mapInArrow(_windows(length), "key long, around long, place long, times long, window long")
-    twice = many.groupBy("key", "place", "window").agg(F.sum("times").alias("times")).where("times > 1").select("key", "place", "window")
-    hits = many.join(twice, ["key", "place", "window"], "left_semi")
-    spans = spans.unionByName(hits.select("key", "around", (-F.col("place")).alias("from"), (F.lit(length) - F.col("place")).alias("to")))
-    alone = kinds.join(several, "key", "left_anti").where("times > 1")  # all surroundings equal: every window through the anchor repeats
+    bytes_ = one_text.select("text", "wanted").mapInArrow(_surroundings(length), "key long, kinds long, around long, times long, left binary, right binary")
+    crowded = not number.where(F.col("kinds") > crowd).isEmpty()
+    if crowded:  # read twice
+        bytes_ = store.saved(bytes_, "surroundings")
+    few = bytes_.where(F.col("kinds") <= crowd).repartition("key").sortWithinPartitions("key")
+    spans = few.mapInArrow(_matches(length), "key long, around long, from long, to long")
+    if crowded:
+        many = bytes_.where(F.col("kinds") > crowd).drop("kinds").mapInArrow(_windows(length), "key long, around long, place long, times long, window long")
+        twice = many.groupBy("key", "place", "window").agg(F.sum("times").alias("times")).where("times > 1").select("key", "place", "window")
+        hits = many.join(twice, ["key", "place", "window"], "left_semi")
+        spans = spans.unionByName(hits.select("key", "around", (-F.col("place")).alias("from"), (F.lit(length) - F.col("place")).alias("to")))
+    # one kind, several times: every window around the core repeats
+    alone = number.where("kinds = 1 and most > 1").select("key")
     spans = store.saved(spans, "matches")
     found = cand.join(spans, ["key", "around"]).select("row", (F.col("pos") + F.col("from")).alias("from"), (F.col("pos") + F.col("to")).alias("to"))
-    wide = cand.join(alone.select("key", "around"), ["key", "around"], "left_semi")
-    wide = wide.select("row", F.greatest(F.col("pos") - (length - GRAM), F.lit(0)).alias("from"), (F.col("pos") + length).alias("to"))
+    before, behind = (F.when(F.col("key").bitwiseAND(1) == 0, _reach(0, length)[i]).otherwise(_reach(1, length)[i]) for i in (1, 0))
+    wide = cand.join(alone, "key", "left_semi")
+    wide = wide.select("row", F.greatest(F.col("pos") - before, F.lit(0)).alias("from"), (F.col("pos") + length - behind).alias("to"))
     spans = found.unionByName(wide).groupBy("row").agg(F.collect_set(F.struct("from", "to")).alias("spans"))
     spans = store.saved(spans, "spans")
     joined = rows.join(spans, "row", "left").select("id", "text", "spans")
