@@ -33,39 +33,43 @@ from winnow.llm.vectors import runs, usable
 BLOCK_ROWS = 800
 
 
-def _gauss_tail(z: np.ndarray | float) -> np.ndarray:
-    return 0.5 * np.vectorize(math.erfc)(np.asarray(z, float) / math.sqrt(2))
-
-
-def _both_caps(z: float, rho: float) -> float:
-    """Chance that the second of two unit-variance normals with correlation rho exceeds z if the first does."""
-    x = np.linspace(z, z + 8, 4001)
-    y = np.exp(-x * x / 2) / math.sqrt(2 * math.pi) * _gauss_tail((z - rho * x) / math.sqrt(1 - rho * rho))
-    return float(((y[1:] + y[:-1]) / 2).sum() * (x[1] - x[0]) / _gauss_tail(z))
-
-
-def _sphere_height(p: float, dim: int) -> float:
-    """The height that a random unit vector's product with a fixed one exceeds with chance p."""
-    u = np.linspace(-1, 1, 200_001)
-    density = np.power(np.maximum(1 - u * u, 0), (dim - 3) / 2) if dim > 2 else 1 / np.sqrt(np.maximum(1 - u * u, 1e-9))
-    tail = np.cumsum(density[::-1])[::-1]
-    return float(u[min(np.searchsorted(-tail, -p * tail[0]), len(u) - 1)])
+def _heights(dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """(u, tail): the chance that a random unit vector's product with a fixed one is u or more."""
+    u = np.linspace(-1, 1, 200_001)[1:-1]
+    tail = np.cumsum(np.power(1 - u * u, (dim - 3) / 2)[::-1])[::-1]
+    return u, tail / tail[0]
+
+
+def _cap(p: float, cosine: float, dim: int, rng: np.random.Generator) -> tuple[float, float]:
+    """(height, chance): the height of caps that hold a part p of the sphere, and the chance that such a cap holds a vector's
+    partner at the given cosine if it holds the vector."""
+    if dim == 1:
+        return 0.5, 1.0
+    u, tail = _heights(dim)
+    at = min(int(np.searchsorted(-tail, -p)), len(u) - 2)
+    own = u[np.minimum(np.searchsorted(-tail, -tail[at] * rng.random(20_000)), len(u) - 1)]
+    own = np.maximum(own, u[at])
+    side = rng.standard_normal((20_000, dim - 1))
+    side = side[:, 0] / np.linalg.norm(side, axis=1)
+    partner = cosine * own + math.sqrt(1 - cosine * cosine) * np.sqrt(1 - own * own) * side
+    return float(u[at]), float((partner >= u[at]).mean())
 
 
 class ProductCode:
     """The filters for vectors of one length, given how many vectors there are."""
 
     def __init__(self, dim: int, vectors: int, cosine: float, bucket: int, overlap: float, seed: int):
-        p = min(0.01, max(bucket / max(vectors, 1), 1e-12))
-        low, high = 0.0, 8.0
-        for _ in range(60):
-            mid = (low + high) / 2
-            low, high = (mid, high) if _gauss_tail(mid) > p else (low, mid)
-        filters = overlap / _both_caps(low, min(cosine, 0.999)) / p
+        rng = np.random.default_rng([seed, dim])
+        p = max(bucket / max(vectors, 1), 1e-12)
+        self.single = p >= 0.5  # one filter for all
+        self.height, both = _cap(min(p, 0.5), cosine, dim, rng)
+        while both < 0.05 and p < 0.5:  # in few dimensions small caps would part neighbours
+            p *= 2
+            self.height, both = _cap(min(p, 0.5), cosine, dim, rng)
+        filters = overlap / max(both, 0.05) / min(p, 0.5)
         self.blocks = min(max(1, dim // 2), 2 if filters <= 1 << 18 else 3 if filters <= 1 << 27 else 4)
         self.words = max(2, math.ceil(filters ** (1 / self.blocks)))
-        self.height = _sphere_height(p, dim)
-        rng = np.random.default_rng([seed, dim])
+        self.width = "<u4" if self.words**self.blocks < 1 << 32 else "<i8"  # of a filter's number
         self.rotation = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
         self.code = []
         self.cut = [a for a in np.array_split(np.arange(dim), self.blocks)]
@@ -75,6 +79,8 @@ class ProductCode:
 
     def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, filter) of every filter that unit vectors x lie in."""
+        if self.single:
+            return np.arange(len(x)), np.zeros(len(x), np.int64)
         x = x @ self.rotation
         dots = [x[:, part] @ c.T for part, c in zip(self.cut, self.code, strict=True)]
         rest = np.zeros((len(dots) + 1, len(x)))
@@ -130,14 +136,29 @@ def _filters(codes: dict[int, ProductCode], dtype: str):
                     order = np.lexsort((word, row))
                     row, word = row[order], word[order]
                     cut = np.searchsorted(row, np.arange(len(rows) + 1))
-                    lists = [word[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+                    lists = [(word[a:b] // 4096).astype(codes[dim].width).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
                     take = pa.array(rows[row])
                     yield pa.RecordBatch.from_arrays([pa.array(word), batch.column("key").take(take), batch.column("copies").take(take), batch.column("vec").take(take), pa.array([lists[r] for r in row], pa.binary())], ["filter", "key", "copies", "vec", "filters"])
 
     return run
 
 
-def _compare(cosine: float, dtype: str):
+def _filter_names(codes: dict[int, ProductCode], dtype: str):
+    """(dim, vec) -> (filter), one row for each filter of each vector."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                dims, vecs = np.array(batch.column("dim").to_pylist()), batch.column("vec").to_pylist()
+                for dim in np.unique(dims).tolist():
+                    _, word = codes[dim].decode(_unit([vecs[i] for i in np.flatnonzero(dims == dim)], dtype))
+                    yield pa.RecordBatch.from_arrays([pa.array(word * 4096 + dim)], ["filter"])
+
+    return run
+
+
+def _compare(codes: dict[int, ProductCode], cosine: float, dtype: str):
     """Runs of (filter, duel) -> (key, links, root): links found here first, and the local component's first key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,10 +174,10 @@ def _compare(cosine: float, dtype: str):
                 linked &= side[:, None] != side[None, :]
             if not linked.any():
                 continue
-            own = table.column("filter")[0].as_py()
-            lists = [np.frombuffer(f, np.int64) for f in table.column("filters").to_pylist()]
-            row = np.repeat(np.arange(len(lists)), [int(np.searchsorted(f, own)) for f in lists])
-            before = np.concatenate([f[: np.searchsorted(f, own)] for f in lists])
+            own, dim = divmod(table.column("filter")[0].as_py(), 4096)
+            lists = [np.frombuffer(f, codes[dim].width) for f in table.column("filters").to_pylist()]
+            row = np.repeat(np.arange(len(lists)), [int(np.searchsorted(f, f.dtype.type(own))) for f in lists])
+            before = np.concatenate([f[: np.searchsorted(f, f.dtype.type(own))] for f in lists])
             names, col = np.unique(before, return_inverse=True)
             member = np.zeros((len(lists), len(names)), np.float32)
             member[row, col] = 1
@@ -177,7 +198,7 @@ def _compare(cosine: float, dtype: str):
     return run
 
 
-def cap_near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", *, cosine: float = 0.9, bucket: int = 48, overlap: float = 12, seed: int = 11) -> DataFrame:
+def cap_near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", *, cosine: float = 0.9, bucket: int = 48, overlap: float = 18, seed: int = 11) -> DataFrame:
     """(id_col, n_links, component_id, kept) for every row.
 
     cosine: least similarity of a link. bucket: distinct vectors that a filter should hold. overlap: filters that two vectors
@@ -192,13 +213,13 @@ def cap_near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col:
     sizes = {r.dim: r["count"] for r in nodes.groupBy("dim").count().toLocalIterator()}
     codes = {d: ProductCode(d, n, cosine, bucket, overlap, seed) for d, n in sizes.items()}
     put = nodes.select("key", "dim", "vec", "copies").mapInArrow(_filters(codes, dtype), "filter long, key long, copies long, vec binary, filters binary")
-    put = store.saved(put, "filters")
-    load = put.groupBy("filter").agg(F.count("*").alias("held")).where("held > 1").select("filter", F.ceil(F.col("held") / BLOCK_ROWS).cast("int").alias("n"))
-    dealt = put.join(load, "filter").withColumn("i", F.pmod(F.xxhash64("key"), "n").cast("int"))
+    names = nodes.select("dim", "vec").mapInArrow(_filter_names(codes, dtype), "filter long")  # decoding again costs less than keeping the vectors of each filter
+    load = names.groupBy("filter").agg(F.count("*").alias("held")).where("held > 1").select("filter", F.ceil(F.col("held") / BLOCK_ROWS).cast("int").alias("n"))
+    dealt = put.join(store.small(store.saved(load, "load")), "filter").withColumn("i", F.pmod(F.xxhash64("key"), "n").cast("int"))
     duels = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     duels = duels.withColumn("duel", F.least("i", "j") * F.col("n") + F.greatest("i", "j")).withColumn("side", (F.col("i") > F.col("j")).cast("int"))
     duels = duels.select("filter", "duel", "side", "key", "copies", "vec", "filters").repartition("filter", "duel").sortWithinPartitions("filter", "duel")
-    found = store.saved(duels.mapInArrow(_compare(cosine, dtype), "key long, links long, root long"), "found")
+    found = store.saved(duels.mapInArrow(_compare(codes, cosine, dtype), "key long, links long, root long"), "found")
     comp = components(found.select(F.col("key").alias("a"), F.col("root").alias("b")))
     linked = found.groupBy("key").agg(F.sum("links").alias("links"))
     # components are named by their smallest vec_id, not by a key
