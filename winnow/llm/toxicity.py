@@ -118,7 +118,7 @@ class Model:
         return sigmoid(total + float(self.w[0]))
 
 
-def train(docs: DataFrame, labels: DataFrame, *, usable: Column | None = None, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", train_rows: int = 12_000, bits: int = 20, rounds: int = 2, passes: int = 3, shards: int = 4, alpha: float = 0.3, beta: float = 1.0, l1: float = 1.5, l2: float = 0.1) -> Model:
+def train(docs: DataFrame, labels: DataFrame, *, usable: Column | None = None, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", train_rows: int = 12_000, bits: int = 20, rounds: int = 3, passes: int = 1, shard_rows: int = 6_000, alpha: float = 1.0, beta: float = 1.0, l1: float = 8.0, l2: float = 0.1) -> Model:
     """Fits on at most about ``train_rows`` of the labelled rows whose id meets ``usable`` (a condition on the id column)."""
     spark = docs.sparkSession
     named = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("label")).where("id is not null and label is not null")
@@ -131,6 +131,7 @@ def train(docs: DataFrame, labels: DataFrame, *, usable: Column | None = None, l
     named = F.broadcast(named.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share))  # bounded by train_rows
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).join(named, "id")
     rows = rows.select(F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(3)), F.lit(1 << 40)).alias("place"), "label", "text")
+    shards = max(1, -(-int(sum(taken[k] * counts[k] for k in taken)) // shard_rows))
     rows = store.saved(rows.repartition(shards, "place").mapInArrow(_training_rows(bits), "place long, label int, x binary"), "training")
     size = 1 << bits
     z, n_ = np.zeros(size, np.float32), np.zeros(size, np.float32)
