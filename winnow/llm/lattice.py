@@ -55,7 +55,8 @@ class Pieces:
         self.score = np.array([model.get_score(i) for i in own])[order]
         self.longest = int(np.diff(cut).max())
         self.chars = np.unique(flat)
-        self.singles = np.unique(np.array([p[0] for p in points if len(p) == 1], np.uint32))
+        self.single = np.zeros(0x110000 + 1, bool)  # characters that are pieces; the last place stands for all others
+        self.single[[p[0] for p in points if len(p) == 1]] = True
         # an unknown character costs more than any ordinary piece
         self.unknown = float(self.score[self.score > -1e8].min()) - 10
         starts = np.concatenate([np.full(len(p), a) for p, a in zip(points, cut[:-1], strict=True)])
@@ -102,11 +103,10 @@ def edges(p: Pieces, prefix: np.ndarray, points: np.ndarray, start: np.ndarray,
     """The lattices of the strings at start[i] : start[i] + length[i], edge lists by first position."""
     out = []
     everyone = np.arange(len(start))
-    known_single = np.isin(points, p.singles) if len(points) else np.zeros(0, bool)
     for s in range(int(length.max(initial=0))):
         alive = everyone[length > s]
         rows, ends, found = [], [], []
-        lone = alive[~known_single[start[alive] + s]]
+        lone = alive[~p.single[np.minimum(points[start[alive] + s], 0x110000)]]
         if len(lone):
             rows.append(lone)
             ends.append(np.full(len(lone), s + 1))

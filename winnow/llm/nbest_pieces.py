@@ -30,6 +30,9 @@ from winnow.llm.lattice import BLANK, LITERAL, Pieces, char_codes, default_model
 from winnow.llm.words import blocks, prefix_hash, span_hash
 
 
+BLOCK = 4 << 20
+
+
 def a_star(edge_list: list[tuple[int, int, int, float]], ahead: np.ndarray, n: int) -> list[tuple[float, list[int]]]:
     """The n best paths through one lattice: (score, piece ids).
 
@@ -167,16 +170,41 @@ class Block:
             return rows, sizes, np.concatenate(coded)
         return rows, np.bincount(row, minlength=n), p.id[ids]
 
-    def n_best_of_chunk(self, c: int, n: int) -> list[tuple[float, list[int]]]:
-        found = edges(self.p, self.prefix, self.points, self.start[c : c + 1], self.length[c : c + 1])
+    def search(self, n: int) -> None:
+        """Finds the n best segmentations of every chunk in which one of the n best of a text can differ from the best."""
+        self.open = [self._near(d, n) for d in range(len(self.doc_chunk) - 1)]
+        at = [self.doc_chunk[d] + o for d, o in enumerate(self.open)]
+        need = np.unique(self.which[np.concatenate(at)]) if at else np.zeros(0, np.int64)
+        self.options: dict[int, list[tuple[float, list[int]]]] = {}
+        for g in groups(self.length[need]):
+            rows = need[g]
+            found = edges(self.p, self.prefix, self.points, self.start[rows], self.length[rows])
+            lists: list[list] = [[] for _ in rows]
+            for e in found:
+                for r, t, i in zip(e.row.tolist(), e.e.tolist(), e.piece.tolist(), strict=True):
+                    lists[r].append((e.s, t, i))
+            for c, own in zip(rows.tolist(), lists, strict=True):
+                self.options[c] = self._n_best_of_chunk(c, own, n)
+
+    def _near(self, d: int, n: int) -> np.ndarray:
+        """The chunks of text d, by place, whose second-best segmentation is among the n - 1 nearest to the best."""
+        gap = self.gap[self.which[self.doc_chunk[d] : self.doc_chunk[d + 1]]]
+        near = np.flatnonzero(np.isfinite(gap))
+        if len(near) > n - 1:
+            most = np.partition(gap[near], n - 2)[n - 2] if n > 1 else -1
+            near = near[gap[near] <= most]
+            near = near[np.argsort(gap[near], kind="stable")][: n - 1]
+        return near
+
+    def _n_best_of_chunk(self, c: int, found: list[tuple[int, int, int]], n: int) -> list[tuple[float, list[int]]]:
+        p = self.p
         ahead = np.full(int(self.length[c]) + 1, -np.inf)
         ahead[0] = 0
         listed = []
-        for e in found:
-            for t, i in zip(e.e.tolist(), e.piece.tolist(), strict=True):
-                w = self.p.unknown if i < 0 else float(self.p.score[i])
-                ahead[t] = max(ahead[t], ahead[e.s] + w)
-                listed.append((e.s, t, i if i < 0 else int(self.p.id[i]), w))
+        for s, t, i in found:  # by start
+            w = p.unknown if i < 0 else float(p.score[i])
+            ahead[t] = max(ahead[t], ahead[s] + w)
+            listed.append((s, t, i if i < 0 else int(p.id[i]), w))
         out = []
         for score, ids in a_star(listed, ahead, n):
             full, at = [], int(self.start[c])
@@ -186,7 +214,7 @@ class Block:
                     at += 1
                 else:
                     full.append(i)
-                    at += len(self.p.text[i])
+                    at += len(p.text[i])
             out.append((score, full))
         return out
 
@@ -197,23 +225,15 @@ class Block:
     def doc_score(self, d: int) -> float:
         return float(self.score[self.which[self.doc_chunk[d] : self.doc_chunk[d + 1]]].sum())
 
-    def n_best(self, d: int, n: int, cache: dict) -> list[tuple[float, dict[int, list[int]]]]:
-        """The n best segmentations of text d: (score, {chunk number: its pieces where they differ from the best})."""
+    def n_best(self, d: int, n: int) -> list[tuple[float, dict[int, list[int]]]]:
+        """The n best segmentations of text d, after search(n): (score, {chunk number: its pieces where they differ from the best})."""
         c = self.which[self.doc_chunk[d] : self.doc_chunk[d + 1]]
-        total, gap = self.doc_score(d), self.gap[c]
-        open_ = np.flatnonzero(np.isfinite(gap))
-        if len(open_) > n - 1:
-            near = np.partition(gap[open_], n - 2)[n - 2] if n > 1 else -1
-            open_ = open_[gap[open_] <= near]
-            open_ = open_[np.argsort(gap[open_], kind="stable")][: n - 1]
         states: list[tuple[float, dict[int, list[int]]]] = [(0.0, {})]
-        for at in open_.tolist():
-            u = int(c[at])
-            if u not in cache:
-                cache[u] = self.n_best_of_chunk(u, n)
-            options = cache[u]
+        for at in self.open[d].tolist():
+            options = self.options[int(c[at])]
             grown = [(loss + options[0][0] - score, k, j, {**diff, at: ids} if j else diff) for k, (loss, diff) in enumerate(states) for j, (score, ids) in enumerate(options)]
             states = [(g[0], g[3]) for g in sorted(grown, key=lambda g: g[:3])[:n]]
+        total = self.doc_score(d)
         return [(total - loss, diff) for loss, diff in states]
 
 
@@ -239,11 +259,11 @@ def encode(docs: DataFrame, text_col: str = "text", *, n: int = 4, model: str |
         p = pieces(path)
         for batch in batches:
             null = batch.column(text_col).is_null().to_numpy(zero_copy_only=False)
-            for a, b, texts in blocks(batch, text_col, 1 << 20):
+            for a, b, texts in blocks(batch, text_col, BLOCK):
                 block = Block(p, texts)
-                cache: dict = {}
+                block.search(n)
                 ids = [None if null[a + d] else block.doc_ids(d) for d in range(b - a)]
-                scores = [None if null[a + d] else [s for s, _ in block.n_best(d, n, cache)] for d in range(b - a)]
+                scores = [None if null[a + d] else [s for s, _ in block.n_best(d, n)] for d in range(b - a)]
                 part = batch.slice(a, b - a)
                 out = [*part.columns, pa.array(ids, pa.list_(pa.int32())), pa.array(scores, pa.list_(pa.float64())), pa.array([0 if i is None else len(i) for i in ids], pa.int64())]
                 yield pa.RecordBatch.from_arrays(out, [*part.schema.names, "pieces", "scores", "n_pieces"])
@@ -275,11 +295,12 @@ def _round_trip(path: str, n: int):
         p = pieces(path)
         for batch in batches:
             null = batch.column("text").is_null().to_numpy(zero_copy_only=False)
-            for a, b, texts in blocks(batch, "text", 1 << 20):
-                block, cache, rows = Block(p, texts), {}, []
+            for a, b, texts in blocks(batch, "text", BLOCK):
+                block, rows = Block(p, texts), []
+                block.search(n)
                 for d, text in enumerate(texts):
                     ids = block.doc_ids(d)
-                    best = block.n_best(d, n, cache)
+                    best = block.n_best(d, n)
                     rows.append((len(ids), best[0][0], len(best), best[-1][0], hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest(), None if null[a + d] else decode_ids(p, ids.tolist()) == text))
                 kinds = [("n_pieces", pa.int64()), ("score", pa.float64()), ("n_best", pa.int32()), ("last_score", pa.float64()), ("pieces_sha256", pa.string()), ("round_trip", pa.bool_())]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), *[pa.array([r[i] for r in rows], k) for i, (_, k) in enumerate(kinds)]], ["doc_id", *[k for k, _ in kinds]])
