@@ -306,7 +306,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), *[pa.array([o[i] for o in out], k) for i, (_, k) in enumerate(kinds)]], ["id", *[k for k, _ in kinds]])
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, length: int = 400, batches: int = 4, crowd: int = 20_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, length: int = 400, batches: int = 4, crowd: int = 100_000) -> DataFrame:
     """(id_col, n_bytes, n_removed, removed, kept) for every row; removed: the maximal runs [first byte, byte after], kept: the bytes left.
 
     batches: the texts come to the index in so many parts.
@@ -336,7 +336,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         many = bytes_.where(F.col("kinds") > crowd).drop("kinds").mapInArrow(_windows(length), "key long, around long, place long, times long, window long")
         twice = many.groupBy("key", "place", "window").agg(F.sum("times").alias("times")).where("times > 1").select("key", "place", "window")
         hits = many.join(twice, ["key", "place", "window"], "left_semi")
-        spans = spans.unionByName(hits.select("key", "around", (-F.col("place")).alias("from"), (F.lit(length) - F.col("place")).alias("to")))
+        places = hits.groupBy("key", "around").agg(F.sort_array(F.collect_set("place")).alias("p"))
+        first, last = "filter(p, x -> NOT array_contains(p, x - 1))", "filter(p, x -> NOT array_contains(p, x + 1))"
+        wide = places.select("key", "around", F.explode(F.expr(f"transform(arrays_zip({last}, {first}), z -> named_struct('b', z['0'], 'a', z['1']))")).alias("r"))
+        spans = spans.unionByName(wide.select("key", "around", (-F.col("r.b")).alias("from"), (F.lit(length) - F.col("r.a")).alias("to")))
     # one kind, several times: every window around the core repeats
     alone = number.where("kinds = 1 and most > 1").select("key")
     spans = store.saved(spans, "matches")
