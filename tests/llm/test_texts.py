@@ -133,6 +133,27 @@ def test_lattice_scores(spark):
     assert lattice_lm.score_documents(docs.limit(0), F.col("doc_id") < 4).isEmpty()
 
 
+def test_rare_words_meet_texts_in_bounded_groups(spark, monkeypatch):
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(300)}" for _ in range(40)) for _ in range(200)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(40, "doc_id")
+    on = F.col("doc_id") % 4 != 0
+    whole = sorted(map(tuple, lattice_lm.score_documents(docs, on, frequent=10).collect()))
+    scores = lattice_lm._rare_scores
+
+    def bounded(share):
+        def run(counts, packed):
+            assert packed.num_rows < 20  # of 40 blocks
+            return scores(share)(counts, packed)
+
+        return run
+
+    monkeypatch.setattr(lattice_lm, "_rare_scores", bounded)
+    cut = sorted(map(tuple, lattice_lm.score_documents(docs, on, frequent=10, tokens_per_slice=500).collect()))
+    assert [r[:5] for r in whole] == [r[:5] for r in cut] and len(cut) == 200
+    assert all(a[5:] == pytest.approx(b[5:], rel=1e-9) for a, b in zip(whole, cut, strict=True))
+
+
 def test_spelling_sums_over_segmentations():
     m = lattice_lm.LatticeModel.initial(default_model())
     p = pieces(default_model())

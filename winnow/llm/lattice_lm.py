@@ -16,8 +16,8 @@ words of the training texts by expectation maximisation: expected uses of each p
 counts of words are gathered from the whole training part with one shuffle, by word.
 
 The baseline is a smoothed word unigram model. Its counts of frequent words (more than one in ``frequent`` tokens, hence at most
-``frequent`` words) go to every task; the others meet the texts by hash range, as packed blocks, so no word and no text
-gathers an unbounded group.
+``frequent`` words) go to every task; the others meet the texts by hash range and slice of the texts, as packed blocks. The counts of a range
+are repeated for each slice, so a group holds a bounded number of words and of tokens, whatever the vocabulary and the number of texts.
 
 Null and empty texts consist of the end alone. Rows with a null id are never trained on. Words are known by 64-bit hashes.
 """
@@ -37,6 +37,7 @@ from winnow.llm.lattice import BLANK, LITERAL, Pieces, char_codes, default_model
 from winnow.llm.words import Words, blocks, prefix_hash
 
 COUNT_BLOCK = 4 << 20
+PACKED = ("words", "spelt", "rows", "each", "docs", "times")
 
 
 def _word_points(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -90,6 +91,7 @@ class LatticeModel:
                 np.logaddexp(ahead[e.row, e.e], ahead[e.row, e.s] + w, out=(new := np.empty(len(w))))
                 ahead[e.row, e.e] = new  # an end has one edge from each start, so no row repeats
             yield p, points, start, rows, length[rows], found, weights, ahead
+            del found, weights, ahead  # before those of the next group are made
 
     @staticmethod
     def _lone(point: int) -> bytes:
@@ -100,6 +102,7 @@ class LatticeModel:
         out = np.zeros(len(words))
         for _, _, _, rows, length, _, _, ahead in self._lattice(words) if words else ():
             out[rows] = ahead[np.arange(len(rows)), length] + self.end
+            del ahead, _
         return out
 
     def expected(self, words: list[bytes]) -> np.ndarray:
@@ -222,7 +225,7 @@ def _frequent_scores(model, share: WordShare, frequent):
                 row = at[use][pick]
                 spelt = spelling.of(h, lambda i, use=use, pick=pick, words=words: words.text(use[pick[i]]))
                 values = [np.ones(len(h)), np.log10(counts[row] + 0.1), *share.logs(spelt, counts[row], each[row])]
-                sums = [np.bincount(words.doc[use], weights=v[which], minlength=len(texts)) for v in values]
+                sums = [np.bincount(words.doc[use], weights=v[which], minlength=len(texts)).astype(float) for v in values]  # of nothing, bincount is of integers
                 part = batch.slice(a, b - a)
                 out = [part.column(c) for c in ("row", "id", "held_out")]
                 names = ["row", "id", "held_out", "words", "known", "base", *[f"s{k}" for k in range(len(sums) - 2)]]
@@ -260,14 +263,15 @@ def _rare_blocks(parts: int, model, frequent):
                         docs, where = np.unique(d, return_inverse=True)
                         packed = (h[i:j], spelt[i:j], row[docs], each.astype("<u4"), where.astype("<u4" if len(docs) > 65535 else "<u2"), t.astype("<u4" if t.max() > 255 else "u1"))
                         out.append((p, *[x.tobytes() for x in packed]))
-                kinds = [("part", pa.int32()), *[(c, pa.binary()) for c in ("words", "spelt", "rows", "each", "docs", "times")]]
+                kinds = [("part", pa.int32()), *[(c, pa.binary()) for c in PACKED]]
                 yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, (_, k) in enumerate(kinds)], [c for c, _ in kinds])
+                del words, at, keep, h, pick, which, spelt, pair, times, word, doc, part, out  # before those of the next block are made
 
     return run
 
 
 def _rare_scores(share: WordShare):
-    """One hash range -> (row, rare_known, rare_base, r0, r1 ..): what its words give to each text."""
+    """One hash range and slice -> (row, rare_known, rare_base, r0, r1 ..): what its words give to each text."""
     classes = len(share.by_class)
     names = ["row", "rare_known", "rare_base", *[f"r{k}" for k in range(classes + 1)]]
 
@@ -279,7 +283,7 @@ def _rare_scores(share: WordShare):
         rows: list[np.ndarray] = []
         sums: list[list[np.ndarray]] = [[] for _ in names[1:]]
         for r in range(packed.num_rows):
-            words, spelt, row, each, docs, times = (packed.column(x)[r].as_py() for x in ("words", "spelt", "rows", "each", "docs", "times"))
+            words, spelt, row, each, docs, times = (packed.column(x)[r].as_py() for x in PACKED)
             words, row, each = np.frombuffer(words, np.uint64), np.frombuffer(row, np.int64), np.frombuffer(each, "<u4")
             spelt = np.frombuffer(spelt, "<f4").astype(float)
             n = int(each.sum())
@@ -303,11 +307,12 @@ def _rare_scores(share: WordShare):
     return run
 
 
-def score_documents(docs: DataFrame, train_on: Column, id_col: str = "doc_id", text_col: str = "text", class_col: str | None = "lang", *, model: str | None = None, rounds: int = 1, frequent: int = 100_000, classes: int = 5, words_per_part: int = 400_000) -> DataFrame:
+def score_documents(docs: DataFrame, train_on: Column, id_col: str = "doc_id", text_col: str = "text", class_col: str | None = "lang", *, model: str | None = None, rounds: int = 1, frequent: int = 100_000, classes: int = 5, words_per_part: int = 400_000, tokens_per_slice: int = 2_000_000) -> DataFrame:
     """(id_col, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row; logs are to base 10.
 
     train_on: condition on the rows to learn from. class_col: what divides the training texts into classes (null: nothing does); its
-    most frequent values become ``classes`` classes at most. rounds: of expectation maximisation.
+    most frequent values become ``classes`` classes at most. rounds: of expectation maximisation. A group that meets the rare words' counts
+    holds about ``words_per_part`` words and ``tokens_per_slice`` tokens of texts (12 to 32 bytes each).
     """
     spark = docs.sparkSession
     path = model or default_model()
@@ -345,13 +350,17 @@ def score_documents(docs: DataFrame, train_on: Column, id_col: str = "doc_id", t
     marks = [f"s{k}" for k in range(len(names) + 1)]
     alone = rows.drop("group").mapInArrow(_frequent_scores(held, share, lists), f"row long, id {id_type}, held_out boolean, words long, known long, base double, " + ", ".join(f"{x} double" for x in marks))
 
+    same = store.saved(alone, "alone")
     parts = max(1, -(-distinct // words_per_part))
-    packed = rows.select("row", "text").mapInArrow(_rare_blocks(parts, held, lists), "part int, words binary, spelt binary, rows binary, each binary, docs binary, times binary")
+    scarce = same.agg(F.coalesce(F.sum(F.col("words") - F.col("known")), F.lit(0))).first()[0]  # tokens that are not frequent words
+    slices = max(1, -(-scarce // (parts * tokens_per_slice)))
+    packed = rows.select("row", "text").mapInArrow(_rare_blocks(parts, held, lists), "part int, " + ", ".join(f"{x} binary" for x in PACKED))
+    packed = packed.withColumn("slice", F.pmod(F.xxhash64("rows"), F.lit(slices)).cast("int"))
     rare = table.where(F.col("c") * frequent <= n).select(F.shiftrightunsigned(F.shiftrightunsigned("h", 32) * parts, 32).cast("int").alias("part"), "h", "c", *every)
+    rare = rare.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
     adds = ["rare_base", *[f"r{k}" for k in range(len(names) + 1)]]
-    gains = rare.groupBy("part").cogroup(packed.groupBy("part")).applyInArrow(_rare_scores(share), "row long, rare_known long, " + ", ".join(f"{x} double" for x in adds))
+    gains = rare.groupBy("part", "slice").cogroup(packed.groupBy("part", "slice")).applyInArrow(_rare_scores(share), "row long, rare_known long, " + ", ".join(f"{x} double" for x in adds))
     gains = gains.groupBy("row").agg(*[F.sum(x).alias(x) for x in ("rare_known", *adds)])
-    same = store.saved(alone, "alone")
     copies = same.groupBy("row").agg(F.count("*").alias("copies")).where("copies > 1")  # rows that repeat id and text add up in gains
     out = same.join(gains, "row", "left").join(copies, "row", "left")
     times = F.coalesce("copies", F.lit(1))
