@@ -1,4 +1,5 @@
 import os
+import random
 
 import duckdb
 import pytest
@@ -50,6 +51,38 @@ def test_ordered_requests_leave_a_copy(spark):
     assert found == {1: "removed", 2: "refused_last_copy", 3: "already_removed", 4: "refused_differs", 5: "not_found", 6: "not_found"}
 
 
+def fold(members, gone, asked):
+    """The requests (path, seq) one after the other. members: path -> (group, digest)."""
+    left = {p: v for p, v in sorted(members.items()) if p not in gone}
+    out = []
+    for seq, path in sorted((s, p) for p, s in asked):
+        if path not in members:
+            out.append((seq, path, "not_found"))
+            continue
+        if path not in left:
+            out.append((seq, path, "already_removed"))
+            continue
+        other = next((p for p, v in left.items() if p != path and v[0] == left[path][0]), None)
+        same = other is not None and left[path][1] is not None and left[other][1] == left[path][1]
+        out.append((seq, path, "refused_last_copy" if other is None else "removed" if same else "refused_differs"))
+        if same:
+            del left[path]
+    return out
+
+
+def test_ordered_requests_equal_a_fold(spark):
+    rng = random.Random(7)
+    members = {f"/{i:04}": (f"g{rng.randrange(120)}", rng.choice(["a", "a", "a", "b", None])) for i in range(400)}
+    members |= {f"/x{i:04}": ("large", "a" if i % 3 else "b") for i in range(300)}
+    gone = set(rng.sample(sorted(members), 60))
+    asked = [(rng.choice([*members, "/none"]), rng.randrange(2000)) for _ in range(900)] + [(p, 5000 + i) for i, p in enumerate(members) if rng.random() < 0.7]
+    rows = spark.createDataFrame([(p, g, 1, d) for p, (g, d) in members.items()], "full_path string, name string, size_bytes long, sha256 string")
+    out = plan.request_plan_ordered(rows, spark.createDataFrame(asked, "full_path string, seq long"), spark.createDataFrame([(p,) for p in gone], "full_path string"))
+    assert sorted((r.seq, r.full_path, r.outcome) for r in out.collect()) == sorted(fold(members, gone, asked))
+    planned = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroups" not in planned  # no group is gathered in a task
+
+
 def test_every_group_survives_ordered_requests(spark):
     out = registry.QUERIES["request_plan_ordered"](spark, "/root/testdata/sf0.01")
     counts = {r.outcome: r["count"] for r in out.groupBy("outcome").count().collect()}

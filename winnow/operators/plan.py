@@ -5,8 +5,7 @@ Every plan leaves at least one copy in every group. The reference of a group is
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from winnow.operators.digest import with_file_verdict
@@ -79,38 +78,60 @@ def request_plan(members: DataFrame, requests: DataFrame, removed: DataFrame | N
     return rows.select("full_path", "name", "size_bytes", F.col("ref.full_path").alias("reference_path"), outcome.alias("outcome"))
 
 
-def _fold(rows: pd.DataFrame) -> pd.DataFrame:
-    """The requests of one group in their order; the set of remaining members follows each decision."""
-    members = rows.drop_duplicates("full_path").sort_values("full_path")
-    left = dict(zip(members.full_path[~members.gone], members.sha256[~members.gone], strict=True))
-    out = []
-    for r in rows[rows.seq.notna()].sort_values("seq").itertuples():
-        reference = next((p for p in left if p != r.full_path), None)
-        if r.full_path not in left:
-            outcome = "already_removed"
-        elif reference is None:
-            outcome = "refused_last_copy"
-        elif not isinstance(r.sha256, str) or left[reference] != r.sha256:
-            outcome = "refused_differs"
-        else:
-            outcome = "removed"
-            del left[r.full_path]
-        out.append((int(r.seq), r.full_path, r.name_, int(r.size_bytes), outcome))
-    return pd.DataFrame(out, columns=["seq", "full_path", "name", "size_bytes", "outcome"])
+def _met(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """rows with the struct ``group`` of the one row of groups (name, size_bytes, n, ..) that has their key, else null.
+
+    Groups with more than a 2,000th of all members, so fewer than 2,000 of them, are broadcast; their rows are not dealt by group.
+    """
+    what = F.struct(*[c for c in groups.columns if c not in QUICK])
+    marked = groups.join(F.broadcast(groups.agg(F.sum("n").alias("total"))))
+    large = marked.where("n * 2000 > total").select(*QUICK, what.alias("large"))
+    other = marked.where("n * 2000 <= total").select(F.col("name").alias("spread"), "size_bytes", what.alias("other"))
+    out = rows.join(F.broadcast(large), list(QUICK), "left")
+    out = out.withColumn("spread", F.when(F.col("large").isNotNull(), F.col("full_path")).otherwise(F.col("name")))
+    return out.join(other, ["spread", "size_bytes"], "left").withColumn("group", F.coalesce("large", "other")).drop("spread", "large", "other")
 
 
 def request_plan_ordered(members: DataFrame, requests: DataFrame, removed: DataFrame | None = None) -> DataFrame:
     """Outcome of any number of requests (full_path, seq), decided in the order of seq: (seq, full_path, name, size_bytes, outcome).
 
-    Only groups with requests are folded, on digests, so a task holds the paths and digests of one group.
+    The reference of a request is the first other member that is left when its turn comes. No group is gathered: only members
+    equal to the first one left ever go, so a group's reference digest stays the same. The leading copies are those before the first member of
+    another digest. While two of them are left, each of them finds an equal reference, as every later copy always does. So all copies go when they are
+    first asked for, except the leading one that is asked for last if all leading ones are. Requests of equal seq follow the order of their paths.
     """
-    marked = members.select("full_path", *QUICK, "sha256")
+    marked = members.select("full_path", *QUICK, "sha256").where("name IS NOT NULL AND size_bytes IS NOT NULL")
+    marked = marked.groupBy("full_path", *QUICK).agg(F.min("sha256").alias("sha256"))
     gone = (removed if removed is not None else members.limit(0)).select("full_path").distinct().withColumn("gone", F.lit(True))
     marked = marked.join(gone, "full_path", "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
-    asked = requests.select("full_path", "seq").join(marked.select("full_path", *QUICK), "full_path", "left")
-    keys = asked.where("name IS NOT NULL").select(*QUICK).distinct()
-    rows = marked.join(keys, list(QUICK), "left_semi").join(requests.select("full_path", "seq"), "full_path", "left")
-    rows = rows.select(F.col("name").alias("name_"), "size_bytes", "full_path", "sha256", "gone", "seq")
-    folded = rows.groupBy("name_", "size_bytes").applyInPandas(_fold, "seq long, full_path string, name string, size_bytes long, outcome string")
-    unknown = asked.where("name IS NULL").select("seq", "full_path", "name", "size_bytes", F.lit("not_found").alias("outcome"))
-    return folded.unionByName(unknown)
+    asked = requests.where("seq IS NOT NULL").groupBy("full_path", "seq").agg(F.count("*").alias("times"))
+    marked = marked.join(asked.groupBy("full_path").agg(F.min("seq").alias("first_seq")), "full_path", "left")
+
+    # the first paths of each digest; the two smallest of a group are its reference and its first differing member
+    left = marked.where("NOT gone")
+    firsts = left.groupBy(*QUICK, "sha256").agg(F.min("full_path").alias("path"), F.count("*").alias("n"))
+    order = Window.partitionBy(*QUICK).orderBy("path")
+    heads = firsts.withColumn("place", F.row_number().over(order)).where("place <= 2").groupBy(*QUICK)
+    heads = heads.agg(F.max(F.when(F.col("place") == 1, F.struct("sha256"))).alias("head"), F.max(F.when(F.col("place") == 2, F.col("path"))).alias("differing"))
+    heads = heads.join(firsts.groupBy(*QUICK).agg(F.sum("n").alias("n")), list(QUICK))
+    leading = F.coalesce((F.col("sha256") == F.col("group.head.sha256")) & (F.col("group.differing").isNull() | (F.col("full_path") < F.col("group.differing"))), F.lit(False))
+    counted = _met(left, heads).withColumn("leading", leading).groupBy(*QUICK)
+    last = F.max(F.when(F.col("leading"), F.struct("first_seq", "full_path")))
+    counted = counted.agg(F.max("group.n").alias("n"), F.max("group.head").alias("head"), F.max("group.differing").alias("differing"), last.alias("last"), F.count_if(F.col("leading") & F.col("first_seq").isNull()).alias("unasked"))
+
+    rows = _met(marked.where("first_seq IS NOT NULL").join(asked, "full_path"), counted)
+    group = F.col("group")
+    stays = (group["unasked"] == 0) & (group["last"]["full_path"] == F.col("full_path"))
+    rows = rows.withColumn("again", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
+    outcome = (
+        F.when(F.col("gone"), "already_removed")
+        .when(group["n"] == 1, "refused_last_copy")
+        .when(~F.coalesce(F.col("sha256") == group["head"]["sha256"], F.lit(False)), "refused_differs")
+        .when(stays & group["differing"].isNull(), "refused_last_copy")
+        .when(stays, "refused_differs")
+        .when((F.col("seq") == F.col("first_seq")) & (F.col("again") == 1), "removed")
+        .otherwise("already_removed")
+    )
+    decided = rows.select("seq", "full_path", *QUICK, outcome.alias("outcome"))
+    unknown = requests.select("full_path", "seq").join(marked.select("full_path").distinct(), "full_path", "left_anti")
+    return decided.unionByName(unknown.select("seq", "full_path", F.lit(None).cast("string").alias("name"), F.lit(None).cast("long").alias("size_bytes"), F.lit("not_found").alias("outcome")))
