@@ -36,8 +36,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of the best segmentation and the scores of the four best; the ids decode to the text."""
-    return nbest_pieces.encode(docs, n=4).select("doc_id", "lang", "source", "n_pieces", "pieces", "scores")
+    """Piece ids of the best segmentation, what the second to fourth best change in it, and their scores; the ids of each decode to the text."""
+    return nbest_pieces.encode(docs, n=4).select("doc_id", "lang", "source", "n_pieces", "pieces", "scores", "alternatives")
 
 
 STAGES = [

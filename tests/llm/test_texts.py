@@ -245,6 +245,21 @@ def test_encoding_round_trip(spark):
     assert nbest_pieces.encode(docs.limit(0)).isEmpty()
 
 
+def test_all_segmentations_are_returned(spark):
+    p = pieces(default_model())
+    weight = {int(i): float(w) for i, w in zip(p.id, p.score, strict=True)}
+    texts = ["hello world", "the end of it", "a  b", "", "over and over", None, "x"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = nbest_pieces.decode(nbest_pieces.segmentations(nbest_pieces.encode(docs, n=4))).collect()
+    for i, t in enumerate(texts):
+        own = sorted((r for r in out if r.doc_id == i), key=lambda r: r.rank)
+        assert [r.rank for r in own] == list(range(1, len(own) + 1)) and (len(own) == 4 or t in ("", None, "x", "a  b"))
+        assert len({tuple(r.pieces) for r in own}) == len(own) and all(r.decoded == t for r in own)
+        assert all(sum(weight[k] for k in r.pieces) == pytest.approx(r.score) for r in own)
+    found = nbest_pieces.op10_nbest_pieces(spark, SF)
+    assert found.where("n_best_sha256 IS NULL").isEmpty() and found.where("n_best_sha256 <> pieces_sha256").count() == 200
+
+
 def test_registered_round_trip(spark):
     found = nbest_pieces.op10_nbest_pieces(spark, SF).collect()
     assert len(found) == 200 and all(r.round_trip for r in found)

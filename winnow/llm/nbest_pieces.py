@@ -9,7 +9,7 @@ independent. A forward Viterbi pass over the lattices of all distinct chunks of
 a backward pass gives each chunk's distance to its second-best segmentation. The N best segmentations of a text differ from
 the best only in the N - 1 chunks with the smallest distances. For these, a backward A* search runs over the chunk's lattice,
 with the forward scores as exact heuristics, so that complete segmentations leave the queue in order of their scores. Equal scores go
-to the longer last piece, then to the earlier chunk.
+to the longer last piece, then to the earlier chunk. All N are returned: the best in full, the others as what they change in it.
 
 Null texts give null; empty texts give no pieces.
 """
@@ -31,6 +31,7 @@ from winnow.llm.words import blocks, prefix_hash, span_hash
 
 
 BLOCK = 4 << 20
+CHANGES = pa.list_(pa.list_(pa.struct([("start", pa.int32()), ("size", pa.int32()), ("pieces", pa.list_(pa.int32()))])))
 
 
 def a_star(edge_list: list[tuple[int, int, int, float]], ahead: np.ndarray, n: int) -> list[tuple[float, list[int]]]:
@@ -236,6 +237,23 @@ class Block:
         total = self.doc_score(d)
         return [(total - loss, diff) for loss, diff in states]
 
+    def alternatives(self, d: int, best: list[tuple[float, dict[int, list[int]]]]) -> list[list[tuple[int, int, list[int]]]]:
+        """The second and further ones of n_best() as changes to the best pieces: (place, number of pieces replaced, new pieces)."""
+        c = self.which[self.doc_chunk[d] : self.doc_chunk[d + 1]]
+        size = self.id_start[c + 1] - self.id_start[c]
+        start = np.cumsum(size) - size
+        return [[(int(start[k]), int(size[k]), ids) for k, ids in sorted(diff.items())] for _, diff in best[1:]]
+
+
+def changed(best: list[int], changes: list[tuple[int, int, list[int]]]) -> list[int]:
+    """The pieces of an alternative, from the best ones and its changes."""
+    out, end = [], 0
+    for start, size, ids in changes:
+        out += best[end:start]
+        out += ids
+        end = start + size
+    return out + best[end:]
+
 
 def ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """start[0] .. start[0]+size[0]-1, start[1] .. and so on."""
@@ -251,9 +269,12 @@ def decode_ids(p: Pieces, ids: list[int]) -> bytes:
 
 
 def encode(docs: DataFrame, text_col: str = "text", *, n: int = 4, model: str | None = None) -> DataFrame:
-    """docs with pieces (ids of the best segmentation), scores (of the n best, best first) and n_pieces; columns of these names are replaced."""
+    """docs with pieces (ids of the best segmentation), scores (of the n best, best first), n_pieces and alternatives; columns of these names are replaced.
+
+    alternatives: for each of the second to nth best its changes to pieces, (start, size, pieces); segmentations() has them in full.
+    """
     path = model or default_model()
-    base = docs.drop("pieces", "scores", "n_pieces")
+    base = docs.drop("pieces", "scores", "n_pieces", "alternatives")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(path)
@@ -263,15 +284,31 @@ def encode(docs: DataFrame, text_col: str = "text", *, n: int = 4, model: str |
                 block = Block(p, texts)
                 block.search(n)
                 ids = [None if null[a + d] else block.doc_ids(d) for d in range(b - a)]
-                scores = [None if null[a + d] else [s for s, _ in block.n_best(d, n)] for d in range(b - a)]
+                best = [None if null[a + d] else block.n_best(d, n) for d in range(b - a)]
+                scores = [None if k is None else [s for s, _ in k] for k in best]
+                others = [None if k is None else [[dict(zip(("start", "size", "pieces"), c, strict=True)) for c in other] for other in block.alternatives(d, k)] for d, k in enumerate(best)]
                 part = batch.slice(a, b - a)
-                out = [*part.columns, pa.array(ids, pa.list_(pa.int32())), pa.array(scores, pa.list_(pa.float64())), pa.array([0 if i is None else len(i) for i in ids], pa.int64())]
-                yield pa.RecordBatch.from_arrays(out, [*part.schema.names, "pieces", "scores", "n_pieces"])
+                out = [*part.columns, pa.array(ids, pa.list_(pa.int32())), pa.array(scores, pa.list_(pa.float64())), pa.array([0 if i is None else len(i) for i in ids], pa.int64()), pa.array(others, CHANGES)]
+                yield pa.RecordBatch.from_arrays(out, [*part.schema.names, "pieces", "scores", "n_pieces", "alternatives"])
 
     schema = T.StructType([*base.schema.fields, T.StructField("pieces", T.ArrayType(T.IntegerType())), T.StructField("scores", T.ArrayType(T.DoubleType())), T.StructField("n_pieces", T.LongType())])
+    change = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("size", T.IntegerType()), T.StructField("pieces", T.ArrayType(T.IntegerType()))])
+    schema.add("alternatives", T.ArrayType(T.ArrayType(change)))
     return base.mapInArrow(run, schema)
 
 
+def segmentations(encoded: DataFrame) -> DataFrame:
+    """A row for each of the n best segmentations of each row of encode(): rank (1 is the best), score, and pieces in full."""
+    whole = F.expr("concat(array(array()), coalesce(alternatives, array()))")
+    each = encoded.where("pieces IS NOT NULL").select("*", F.posexplode(whole).alias("place", "changes"))
+    pieces_ = """aggregate(changes, struct(cast(array() as array<int>) as made, 0 as done),
+        (a, c) -> struct(concat(a.made, slice(pieces, a.done + 1, c.start - a.done), c.pieces) as made, c.start + c.size as done),
+        a -> concat(a.made, slice(pieces, a.done + 1, greatest(size(pieces) - a.done, 0))))"""
+    out = each.withColumn("pieces", F.expr(pieces_)).withColumn("n_pieces", F.size("pieces").cast("long"))
+    out = out.withColumn("rank", F.col("place") + 1).withColumn("score", F.col("scores")[F.col("place")])
+    return out.drop("place", "changes", "alternatives", "scores")
+
+
 def decode(encoded: DataFrame, pieces_col: str = "pieces", *, name: str = "decoded", model: str | None = None) -> DataFrame:
     """encoded with the text that the pieces stand for; null for null. A column of that name is replaced."""
     path = model or default_model()
@@ -301,8 +338,14 @@ def _round_trip(path: str, n: int):
                 for d, text in enumerate(texts):
                     ids = block.doc_ids(d)
                     best = block.n_best(d, n)
-                    rows.append((len(ids), best[0][0], len(best), best[-1][0], hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest(), None if null[a + d] else decode_ids(p, ids.tolist()) == text))
-                kinds = [("n_pieces", pa.int64()), ("score", pa.float64()), ("n_best", pa.int32()), ("last_score", pa.float64()), ("pieces_sha256", pa.string()), ("round_trip", pa.bool_())]
+                    first = ids.tolist()
+                    every = [first, *[changed(first, c) for c in block.alternatives(d, best)]]
+                    all_ids = hashlib.sha256()
+                    for one in every:
+                        all_ids.update(np.array([len(one), *one], "<i4").tobytes())
+                    fits = None if null[a + d] else all(decode_ids(p, one) == text for one in every)
+                    rows.append((len(ids), best[0][0], len(best), best[-1][0], hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest(), all_ids.hexdigest(), fits))
+                kinds = [("n_pieces", pa.int64()), ("score", pa.float64()), ("n_best", pa.int32()), ("last_score", pa.float64()), ("pieces_sha256", pa.string()), ("n_best_sha256", pa.string()), ("round_trip", pa.bool_())]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), *[pa.array([r[i] for r in rows], k) for i, (_, k) in enumerate(kinds)]], ["doc_id", *[k for k, _ in kinds]])
 
     return run
@@ -310,4 +353,4 @@ def _round_trip(path: str, n: int):
 
 def op10_nbest_pieces(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("text"))
-    return docs.mapInArrow(_round_trip(default_model(), 4), "doc_id long, n_pieces long, score double, n_best int, last_score double, pieces_sha256 string, round_trip boolean")
+    return docs.mapInArrow(_round_trip(default_model(), 4), "doc_id long, n_pieces long, score double, n_best int, last_score double, pieces_sha256 string, n_best_sha256 string, round_trip boolean")
