@@ -21,7 +21,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops lines of recurring templates; n_chars follows the text."""
-    out = line_dedup.drop_recurring_lines(docs)
+    out = line_dedup.drop_recurring_lines(docs, strict=True)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

@@ -67,6 +67,20 @@ def test_line_dedup_edges(spark):
     assert line_dedup.drop_recurring_lines(docs.limit(0)).isEmpty()
 
 
+def test_clean_lines_stay_in_the_pipeline(spark):
+    import corpus_pipeline
+
+    homes = [f"I would like {a} {b} {c}" for a, b, c in zip("abcdefghijkl", "mnopqrstuvwx", "lkjihgfedcba", strict=True)]  # same three leading tokens only
+    seen = [f"Posted by user {w} on our public board" for w in "abcdefghijkl"]  # a template, and one copy of the first
+    rows = [(i, f"{homes[i]}\n{i} {i + 7} {i + 90}\n{seen[i]}\nPage {i} of the book") for i in range(12)] + [(12, seen[0])]
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in rows], "doc_id long, text string, n_chars long")
+    found = {r.doc_id: r.text.split("\n") for r in corpus_pipeline.drop_lines(spark, docs, SF).collect()}
+    for i in range(12):
+        assert found[i][:3] == [homes[i], f"{i} {i + 7} {i + 90}", seen[i]]
+        assert (f"Page {i} of the book" in found[i]) == (i == 0)
+    assert found[12] == [""]
+
+
 def covered(texts, length):
     seen = Counter(t[p : p + length] for t in texts for p in range(len(t) - length + 1))
     out = []

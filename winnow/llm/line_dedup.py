@@ -7,7 +7,9 @@ the template holds if at least half of its positions are literal, and a line is
 of them. A line whose digits alone vary is an instance of its own masked form in any case.
 
 A template whose instances lie in ``min_docs`` documents or more recurs. Its lines are dropped from all documents
-except the first (the smallest doc_id), so that no passage vanishes from the corpus. Lines with fewer than
+except the first (the smallest doc_id), so that no passage vanishes from the corpus. With ``strict`` (the pipeline) a template also needs literals at
+half of the positions behind the leading tokens, a masked form needs a literal, and of every distinct line that only a general template drops,
+one copy stays; without it (the query, as its SQL says) neither holds. Lines with fewer than
 ``min_tokens`` tokens always stay. Documents stay even if all their lines go; their text is then empty.
 
 Null texts stay null. Rows with a null doc_id count as documents and are never the first. Rows that repeat doc_id and text are one document.
@@ -25,21 +27,28 @@ def _row_key(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
 
 
-def masked_line(line: Column) -> Column:
-    """Tokens with one blank between them, those with a digit as <*>. Regular expressions replace only where there is something to replace."""
+def masked_line(line: Column, *, both: bool = False) -> Column:
+    """Tokens with one blank between them, those with a digit as <*>; if both, a struct of that without and with <*>. Regular expressions replace only where there is something to replace."""
     untidy = F.contains(line, F.lit("  ")) | F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" ")) | F.rlike(line, F.lit(r"[\x09-\x0D]"))
     plain = F.when(untidy, F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " "))).otherwise(line)
-    return F.when(F.rlike(line, F.lit("[0-9]")), F.regexp_replace(plain, "[^ ]*[0-9][^ ]*", "<*>")).otherwise(plain)
+    masked = F.when(F.rlike(line, F.lit("[0-9]")), F.regexp_replace(plain, "[^ ]*[0-9][^ ]*", "<*>")).otherwise(plain)
+    return F.struct(plain.alias("plain"), masked.alias("masked")) if both else masked
 
 
-def parsed_lines(docs: DataFrame, id_col: str, text_col: str, depth: int, min_tokens: int) -> DataFrame:
-    """(row, id, pos, masked, n, leaf, exact): one row for each line of min_tokens tokens or more."""
+def parsed_lines(docs: DataFrame, id_col: str, text_col: str, depth: int, min_tokens: int, strict: bool = False) -> DataFrame:
+    """(row, id, pos, masked, n, leaf, exact, raw): one row for each line of min_tokens tokens or more."""
     # inside transform() a line is parsed once; as a projection it would be parsed again for the filter on n
-    masked = F.transform(F.split(F.col(f"`{text_col}`"), "\n"), masked_line)
+    masked = F.transform(F.split(F.col(f"`{text_col}`"), "\n"), lambda line: masked_line(line, both=strict))
     lines = docs.select(_row_key(id_col, text_col).alias("row"), F.col(f"`{id_col}`").alias("id"), F.posexplode(masked).alias("pos", "masked"))
+    if strict:
+        lines = lines.withColumn("plain", F.col("masked.plain")).withColumn("masked", F.col("masked.masked"))
     lines = lines.withColumn("n", F.length("masked") - F.length(F.replace("masked", F.lit(" "), F.lit(""))) + 1).where(F.col("n") >= min_tokens)
     leaf = F.xxhash64("n", F.substring_index("masked", " ", depth))
-    return lines.withColumn("leaf", leaf).withColumn("exact", F.xxhash64("masked"))
+    if not strict:
+        return lines.withColumn("leaf", leaf).withColumn("exact", F.xxhash64("masked")).withColumn("raw", F.lit(None).cast("long"))
+    literal = F.replace(F.replace("masked", F.lit("<*>"), F.lit("")), F.lit(" "), F.lit("")) != ""
+    exact = F.xxhash64(F.when(literal, F.col("masked")).otherwise(F.col("plain")))
+    return lines.withColumn("leaf", leaf).withColumn("exact", exact).withColumn("raw", F.xxhash64("plain")).drop("plain")
 
 
 def recurring(uses: DataFrame, min_docs: int) -> DataFrame:
@@ -48,30 +57,38 @@ def recurring(uses: DataFrame, min_docs: int) -> DataFrame:
     return once.groupBy("template").agg(F.count("*").alias("docs"), F.min("id").alias("first_id")).where(F.col("docs") >= min_docs).select("template", "first_id")
 
 
-def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, depth: int = 3, min_docs: int = 10, min_tokens: int = 3) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, depth: int = 3, min_docs: int = 10, min_tokens: int = 3, strict: bool = False) -> DataFrame:
     """docs with the recurring lines gone from the text, and the columns n_lines and n_dropped.
 
     depth: leading tokens on a path of the tree.
     """
-    lines = parsed_lines(docs, id_col, text_col, depth, min_tokens)
+    lines = parsed_lines(docs, id_col, text_col, depth, min_tokens, strict)
     marks = store.saved(lines.select("row", "id", "pos", "leaf", "exact"), "lines")
 
     # leaves in enough documents, then their templates
     leaves = recurring(marks.select(F.col("leaf").alias("template"), "row", "id"), min_docs).select(F.col("template").alias("leaf"))
     leaves = store.small(store.saved(leaves, "leaves"))
-    inside = store.saved(lines.join(leaves, "leaf", "left_semi").select("row", "id", "pos", "leaf", F.split("masked", " ").alias("tokens")), "inside")
+    inside = store.saved(lines.join(leaves, "leaf", "left_semi").select("row", "id", "pos", "leaf", "raw", F.split("masked", " ").alias("tokens")), "inside")
     counts = inside.select("leaf", F.posexplode("tokens").alias("at", "token")).groupBy("leaf", "at", "token").agg(F.count("*").alias("times"))
     most = counts.groupBy("leaf", "at").agg(F.sum("times").alias("all"), F.max(F.struct("times", "token")).alias("top"))
     most = most.withColumn("literal", F.expr("2 * top.times > all and top.token <> '<*>'"))
-    spec = most.groupBy("leaf").agg(F.map_from_entries(F.collect_list(F.when(F.col("literal"), F.struct("at", "top.token")))).alias("literals"), F.count("*").alias("width"), F.count_if("literal").alias("fixed"))
+    spec = most.groupBy("leaf").agg(F.map_from_entries(F.collect_list(F.when(F.col("literal"), F.struct("at", "top.token")))).alias("literals"), F.count("*").alias("width"), F.count_if("literal").alias("fixed"), F.count_if(F.col("literal") & (F.col("at") >= depth)).alias("behind"))
+    if strict:
+        spec = spec.where(f"behind > 0 AND 2 * behind >= width - {depth}")
     spec = spec.where("2 * fixed >= width").select("leaf", "literals")
     spec = store.small(store.saved(spec, "templates"))
     fits = F.expr("forall(map_entries(literals), e -> tokens[e.key] = e.value)")
-    general = store.saved(inside.join(spec, "leaf").where(fits).select(F.col("leaf").alias("template"), "row", "id", "pos"), "general")
+    general = store.saved(inside.join(spec, "leaf").where(fits).select(F.col("leaf").alias("template"), "row", "id", "pos", "raw"), "general")
+    firsts = recurring(general, min_docs)
+    if strict:  # the first copy of each distinct line instead of the template's first document
+        line = F.xxhash64("template", "raw").alias("template")
+        firsts = general.join(firsts.select("template"), "template", "left_semi").groupBy(line).agg(F.min("id").alias("first_id"))
+        general = general.select(line, "row", "id", "pos", "raw")
+    general = general.drop("raw")
 
     exact = marks.select(F.col("exact").alias("template"), "row", "id", "pos")
     uses = general.withColumn("kind", F.lit(1)).unionByName(exact.withColumn("kind", F.lit(0)))
-    again = recurring(general, min_docs).withColumn("kind", F.lit(1)).unionByName(recurring(exact, min_docs).withColumn("kind", F.lit(0)))
+    again = firsts.withColumn("kind", F.lit(1)).unionByName(recurring(exact, min_docs).withColumn("kind", F.lit(0)))
     again = store.small(store.saved(again, "again"))
     gone = uses.join(again, ["kind", "template"]).where("NOT (id <=> first_id)").groupBy("row").agg(F.collect_set("pos").alias("gone"))
 
