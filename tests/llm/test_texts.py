@@ -81,6 +81,19 @@ def test_clean_lines_stay_in_the_pipeline(spark):
     assert found[12] == [""]
 
 
+def test_long_and_short_repeats_go_in_the_pipeline(spark):
+    import corpus_pipeline
+
+    long, middle = " ".join(f"w{chr(97 + i % 26)}" for i in range(60)), " ".join(f"m{chr(97 + i)}" for i in range(12))
+    texts = [f"own {chr(97 + i % 26)}{chr(97 + i // 26)} text\n\nAnd ornd." + (f"\n{long}" if i < 2 else "") + (f"\n{middle}" if i < 4 else "") + ("\nfew" if i < 20 else "") for i in range(40)]
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")
+    found = {r.doc_id: r.text.split("\n") for r in corpus_pipeline.drop_lines(spark, docs, SF).collect()}
+    for i, lines in found.items():
+        assert lines[0] == texts[i].split("\n")[0] and lines[1] == ""
+        assert ("And ornd." in lines, long in lines) == (i == 0, i == 0)
+        assert (middle in lines, "few" in lines) == (i < 4, i < 20)
+
+
 def covered(texts, length):
     seen = Counter(t[p : p + length] for t in texts for p in range(len(t) - length + 1))
     out = []

@@ -9,7 +9,8 @@ of them. A line whose digits alone vary is an instance of its own masked form in
 A template whose instances lie in ``min_docs`` documents or more recurs. Its lines are dropped from all documents
 except the first (the smallest doc_id), so that no passage vanishes from the corpus. With ``strict`` (the pipeline) a template also needs literals at
 half of the positions behind the leading tokens, a masked form needs a literal, and of every distinct line that only a general template drops,
-one copy stays; without it (the query, as its SQL says) neither holds. Lines with fewer than
+one copy stays; and a whole line, also of one or two tokens, recurs from a number of documents on that falls with its length (needed_docs). Without it
+(the query, as its SQL says) none of this holds. Lines with fewer than
 ``min_tokens`` tokens always stay. Documents stay even if all their lines go; their text is then empty.
 
 Null texts stay null. Rows with a null doc_id count as documents and are never the first. Rows that repeat doc_id and text are one document.
@@ -57,16 +58,23 @@ def recurring(uses: DataFrame, min_docs: int) -> DataFrame:
     return once.groupBy("template").agg(F.count("*").alias("docs"), F.min("id").alias("first_id")).where(F.col("docs") >= min_docs).select("template", "first_id")
 
 
+def needed_docs(n: Column, min_docs: int) -> Column:
+    """In how many documents a line of n tokens must stand to recur: min_docs, less for long ones, more for one or two tokens."""
+    return F.when(n >= 50, 2).when(n >= 20, 3).when(n >= 10, (min_docs + 1) // 2).when(n >= 3, min_docs).otherwise(3 * min_docs)
+
+
 def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, depth: int = 3, min_docs: int = 10, min_tokens: int = 3, strict: bool = False) -> DataFrame:
     """docs with the recurring lines gone from the text, and the columns n_lines and n_dropped.
 
     depth: leading tokens on a path of the tree.
     """
-    lines = parsed_lines(docs, id_col, text_col, depth, min_tokens, strict)
-    marks = store.saved(lines.select("row", "id", "pos", "leaf", "exact"), "lines")
+    lines = parsed_lines(docs, id_col, text_col, depth, 1 if strict else min_tokens, strict)
+    if strict:
+        lines = lines.where("masked <> ''")
+    marks = store.saved(lines.select("row", "id", "pos", "leaf", "exact", "n"), "lines")
 
     # leaves in enough documents, then their templates
-    leaves = recurring(marks.select(F.col("leaf").alias("template"), "row", "id"), min_docs).select(F.col("template").alias("leaf"))
+    leaves = recurring(marks.where(F.col("n") > (depth if strict else 0)).select(F.col("leaf").alias("template"), "row", "id"), min_docs).select(F.col("template").alias("leaf"))
     leaves = store.small(store.saved(leaves, "leaves"))
     inside = store.saved(lines.join(leaves, "leaf", "left_semi").select("row", "id", "pos", "leaf", "raw", F.split("masked", " ").alias("tokens")), "inside")
     counts = inside.select("leaf", F.posexplode("tokens").alias("at", "token")).groupBy("leaf", "at", "token").agg(F.count("*").alias("times"))
@@ -87,8 +95,13 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     general = general.drop("raw")
 
     exact = marks.select(F.col("exact").alias("template"), "row", "id", "pos")
+    repeats = recurring(exact, min_docs)
+    if strict:
+        once = marks.groupBy(F.col("exact").alias("template"), "row").agg(F.min("id").alias("id"), F.min("n").alias("n"))
+        repeats = once.groupBy("template").agg(F.count("*").alias("docs"), F.min("id").alias("first_id"), F.min("n").alias("n"))
+        repeats = repeats.where(F.col("docs") >= needed_docs(F.col("n"), min_docs)).select("template", "first_id")
     uses = general.withColumn("kind", F.lit(1)).unionByName(exact.withColumn("kind", F.lit(0)))
-    again = firsts.withColumn("kind", F.lit(1)).unionByName(recurring(exact, min_docs).withColumn("kind", F.lit(0)))
+    again = firsts.withColumn("kind", F.lit(1)).unionByName(repeats.withColumn("kind", F.lit(0)))
     again = store.small(store.saved(again, "again"))
     gone = uses.join(again, ["kind", "template"]).where("NOT (id <=> first_id)").groupBy("row").agg(F.collect_set("pos").alias("gone"))
 
