@@ -116,3 +116,17 @@ def test_streamed_groups(spark, tmp_path):
     assert [(r.name, r.copies) for r in spark.sql("select * from found").collect()] == [("n", 2)]
     write_ledger(stream, str(tmp_path / "ledger"), str(tmp_path / "c2")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "ledger")).count() == 3
+
+
+def test_entries_without_a_name_are_in_no_group(spark):
+    items = table(spark, [(None, "aa"), (None, "aa"), ("n", "aa"), ("n", "aa")])
+    groups = g.quick_groups(items)
+    assert [(r.name, r.copies) for r in groups.collect()] == [("n", 2)]
+    members = g.members_of(items, groups)
+    assert {r.full_path for r in members.collect()} == {"/002", "/003"}
+    assert {r.full_path: r.action for r in plan.batch_plan(items.drop("is_dir")).collect()} == {"/002": "keep", "/003": "remove"}
+    assert {r.name: r.remaining for r in g.with_remaining(groups, members, items.limit(0).select("full_path")).collect()} == {"n": 2}
+    asked = spark.createDataFrame([("/000",), ("/003",)], "full_path string")
+    digested = items.selectExpr("full_path", "name", "size_bytes", "sha2(content, 256) as sha256")
+    assert {r.full_path: r.outcome for r in plan.request_plan(digested, asked).collect()} == {"/000": "not_found", "/003": "removed"}
+    assert plan.batch_plan(items.limit(0)).isEmpty()

@@ -1,7 +1,8 @@
 """Duplicate groups.
 
 Quick groups share name and size; deep groups share the SHA-256 of their content as well. Groups come as one row each, without their
-members, so a very frequent name costs a partial aggregation and no large row; ``members_of`` gives the members.
+members, so a very frequent name costs a partial aggregation and no large row; ``members_of`` gives the members. An entry without a name is in no
+group.
 """
 
 from __future__ import annotations
@@ -17,16 +18,17 @@ DEEP = ("name", "size_bytes", "sha256")
 
 
 def canonical_names(inventory: DataFrame) -> DataFrame:
-    """Gives names that are canonically equal in Unicode one spelling (the smallest), as column name; for file trees."""
+    """Gives names that are canonically equal in Unicode one spelling (the smallest), as column name; paths stay as they are."""
     spelling = inventory.select("name").distinct().withColumn("key", F.collate("name", "UNICODE"))
-    first = spelling.groupBy("key").agg(F.min(F.col("name")).alias("one"))
-    table = spelling.join(first, "key").select("name", F.col("one").cast("string").alias("one"))
-    return inventory.join(table, "name").drop("name").withColumnRenamed("one", "name")
+    first = spelling.groupBy("key").agg(F.min(F.col("name")).alias("one"), F.count("*").alias("spellings")).where("spellings > 1")
+    table = spelling.join(first, "key").select("name", F.col("one").cast("string").alias("one")).where("name <> one")
+    joined = inventory.join(table, "name", "left")
+    return joined.select(*[F.coalesce("one", "name").alias("name") if c == "name" else F.col(f"`{c}`") for c in inventory.columns])
 
 
 def quick_groups(inventory: DataFrame) -> DataFrame:
     """(name, size_bytes, copies, first_path) of the files that share both, two or more."""
-    files = inventory.where(~F.col("is_dir"))
+    files = inventory.where(~F.col("is_dir") & F.col("name").isNotNull())
     return files.groupBy(*QUICK).agg(F.count("*").alias("copies"), F.min("full_path").alias("first_path")).where("copies > 1")
 
 

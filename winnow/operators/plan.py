@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from winnow.functions.scalars import content_digest
 from winnow.operators.digest import with_file_verdict
 from winnow.operators.groups import QUICK, active
 
@@ -15,20 +16,25 @@ from winnow.operators.groups import QUICK, active
 def batch_plan(members: DataFrame, removed: DataFrame | None = None) -> DataFrame:
     """(full_path, name, size_bytes, reference_path, action) for groups with two or more members left.
 
-    The first member is kept; every other one is compared with that one only, by all its bytes, and removed if equal, else skipped.
+    The first member is kept; every other one is compared with that one only, and removed if equal, else skipped. Contents in a column are compared by their
+    SHA-256 (or by a column sha256), so that no content is shuffled; files byte by byte. Members without a name are in no group.
     """
-    left = members if removed is None else active(members, removed)
-    groups = left.groupBy(*QUICK).agg(F.count("*").alias("n"), F.min("full_path").alias("reference_path")).where("n > 1").drop("n")
-    rows = left.join(groups, list(QUICK))
-    if "content" not in members.columns:
+    left = members.where("name IS NOT NULL")
+    left = left if removed is None else active(left, removed)
+    if not {"content", "sha256"} & set(members.columns):
+        groups = left.groupBy(*QUICK).agg(F.count("*").alias("n"), F.min("full_path").alias("reference_path")).where("n > 1")
+        rows = _met(left.select("full_path", *QUICK), groups).where("group IS NOT NULL").withColumn("reference_path", F.col("group.reference_path"))
         judged = with_file_verdict(rows.select("full_path", "name", "size_bytes", "reference_path"))
         action = F.when(F.col("full_path") == F.col("reference_path"), "keep").when(F.col("identical"), "remove").otherwise("skip")
         return judged.withColumn("action", action).drop("identical")
-    # contents meet by group key: one reference row for each group, not carried through a sort
-    firsts = rows.where("full_path = reference_path").select(*QUICK, F.col("content").alias("reference"))
-    same = F.coalesce(F.col("content") == F.col("reference"), F.lit(False))
-    action = F.when(F.col("full_path") == F.col("reference_path"), "keep").when(same, "remove").otherwise("skip")
-    return rows.join(firsts, list(QUICK)).select("full_path", "name", "size_bytes", "reference_path", action.alias("action"))
+    sha256 = F.col("sha256") if "sha256" in members.columns else content_digest(F.col("content"))
+    left = left.select("full_path", *QUICK, sha256.alias("sha256"))
+    groups = left.groupBy(*QUICK).agg(F.count("*").alias("n"), F.min(F.struct("full_path", "sha256")).alias("first")).where("n > 1")
+    rows = _met(left, groups).where("group IS NOT NULL")
+    first = F.col("group.first")
+    same = F.coalesce(F.col("sha256") == first["sha256"], F.lit(False))
+    action = F.when(F.col("full_path") == first["full_path"], "keep").when(same, "remove").otherwise("skip")
+    return rows.select("full_path", "name", "size_bytes", first["full_path"].alias("reference_path"), action.alias("action"))
 
 
 def batch_outcome(plan: DataFrame) -> DataFrame:
@@ -60,14 +66,16 @@ def request_plan(members: DataFrame, requests: DataFrame, removed: DataFrame | N
 
     members need sha256. The reference is the first other member that is left. requests: (full_path).
     """
-    marked = members.select("full_path", *QUICK, "sha256")
+    marked = members.select("full_path", *QUICK, "sha256").where("name IS NOT NULL")
     gone = (removed if removed is not None else members.limit(0)).select("full_path").distinct().withColumn("gone", F.lit(True))
     marked = marked.join(gone, "full_path", "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
     asked = requests.select("full_path").distinct().join(marked, "full_path", "left")
-    target = asked.where("name IS NOT NULL").select(F.col("full_path").alias("target"), *QUICK, F.col("sha256").alias("target_sha"))
-    others = marked.where("NOT gone").join(target, list(QUICK)).where("full_path <> target")
-    first = others.groupBy("target").agg(F.min(F.struct("full_path", "sha256")).alias("ref"))
-    rows = asked.join(first, asked["full_path"] == first["target"], "left")
+    # the first two members that are left: one of them is the first other one
+    place = F.row_number().over(Window.partitionBy(*QUICK).orderBy("full_path"))
+    heads = marked.where("NOT gone").withColumn("place", place).where("place <= 2").groupBy(*QUICK)
+    heads = heads.agg(*[F.max(F.when(F.col("place") == i, F.struct("full_path", "sha256"))).alias(f"head{i}") for i in (1, 2)])
+    ref = F.when(F.col("head1.full_path") == F.col("full_path"), F.col("head2")).otherwise(F.col("head1"))
+    rows = asked.join(heads, list(QUICK), "left").withColumn("ref", ref)
     outcome = (
         F.when(F.col("name").isNull(), "not_found")
         .when(F.col("gone"), "already_removed")

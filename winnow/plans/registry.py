@@ -127,7 +127,8 @@ def any_removable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plan.batch_plan(_members(_documents(spark, sf_dir)))
+    docs = _documents(spark, sf_dir)
+    return plan.batch_plan(_members(docs.withColumn("sha256", scalars.content_digest(F.col("content"))).drop("content")))  # digests are shuffled, not contents
 
 
 def batch_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -263,6 +264,12 @@ ORACLE_SQL: dict[str, str] = {
       r AS (SELECT t.full_path, min(o.full_path) AS reference_path, arg_min(o.content, o.full_path) AS ref FROM t JOIN m o ON o.name = t.name AND o.size_bytes = t.size_bytes AND o.full_path <> t.full_path AND NOT o.gone GROUP BY t.full_path)
       SELECT t.full_path, coalesce(t.name, '') AS name, coalesce(t.size_bytes, 0) AS size_bytes, coalesce(r.reference_path, '') AS reference_path, CASE WHEN t.name IS NULL THEN 'not_found' WHEN t.gone THEN 'already_removed' WHEN r.reference_path IS NULL THEN 'refused_last_copy'
         WHEN NOT coalesce(t.content = r.ref, false) THEN 'refused_differs' ELSE 'removed' END AS outcome FROM t LEFT JOIN r ON r.full_path = t.full_path""",
+    # the highest document comes first, so each but a group's first member meets that one; the first comes last, when only differing members are left
+    "request_plan_ordered": f"""WITH {_DOCS}, m AS (SELECT *, first_value(content) OVER w AS head, min(full_path) OVER w AS head_path, count(*) OVER w AS n FROM docs
+        WINDOW w AS (PARTITION BY name, size_bytes ORDER BY full_path ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+      v AS (SELECT *, coalesce(content = head, false) AS same, count(*) FILTER (full_path <> head_path AND NOT coalesce(content = head, false)) OVER (PARTITION BY name, size_bytes) AS differing FROM m WHERE n > 1)
+      SELECT -doc_id AS seq, full_path, name, size_bytes, CASE WHEN full_path = head_path THEN CASE WHEN differing > 0 THEN 'refused_differs' ELSE 'refused_last_copy' END
+        WHEN same THEN 'removed' ELSE 'refused_differs' END AS outcome FROM v""",
     "recovered_total": f"""WITH {_PLAN}, l AS (SELECT full_path, size_bytes FROM docs WHERE doc_id % 7 = 0 UNION SELECT full_path, size_bytes FROM plan WHERE action = 'remove')
       SELECT count(*) AS removed, CAST(coalesce(sum(size_bytes), 0) AS BIGINT) AS recovered_bytes FROM l""",
     "export_listing": f"WITH {_PART} SELECT parent AS path, name, {_LABEL} AS size, 'File' AS type FROM p",

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from winnow.functions import scalars
+from winnow.operators.groups import canonical_names
 
 
 @dataclass
@@ -27,11 +28,12 @@ class FileInventoryReader(DataSourceReader):
         self.root, self.fan_out = root, fan_out
 
     def partitions(self) -> list[InputPartition]:
-        """A partition for each sub-tree; levels are split until there are ``fan_out`` of them or no directories are left."""
+        """A partition for each sub-tree; levels are split until there are ``fan_out`` of them, no directories are left, or
+        four times as many have been listed here."""
         if not os.path.isdir(self.root):
             raise ValueError(f"no directory: {self.root}")
         flat, front = [], [self.root]
-        while front and len(front) < self.fan_out:
+        while front and len(front) < self.fan_out and len(flat) < 4 * self.fan_out:
             below: list[str] = []
             for path in front:
                 flat.append(SubTree(path, False))
@@ -87,12 +89,13 @@ def with_columns(raw: DataFrame) -> DataFrame:
     return out.withColumn("is_hidden", scalars.is_hidden(F.col("name"))).withColumn("size_label", scalars.file_size_label(F.col("size_bytes")))
 
 
-def scan_tree(spark: SparkSession, root: str, fan_out: int = 64) -> DataFrame:
-    """The inventory of a directory tree."""
+def scan_tree(spark: SparkSession, root: str, fan_out: int = 64, canonical: bool = True) -> DataFrame:
+    """The inventory of a directory tree. canonical: names that are canonically equal in Unicode get one spelling; full_path keeps its own."""
     if not os.path.isdir(root):
         raise ValueError(f"no directory: {root}")
     spark.dataSource.register(FileInventory)
-    return with_columns(spark.read.format("file_inventory").option("fan_out", fan_out).load(root))
+    found = with_columns(spark.read.format("file_inventory").option("fan_out", fan_out).load(root))
+    return canonical_names(found) if canonical else found
 
 
 def from_table(table: DataFrame, *, parent: Column, name: Column, size: Column, content: Column | None = None, is_dir: Column | None = None) -> DataFrame:

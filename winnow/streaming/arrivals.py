@@ -11,7 +11,7 @@ from winnow.operators.groups import QUICK
 
 def quick_groups_stream(inventory: DataFrame) -> DataFrame:
     """Quick groups so far, for update or complete mode. The state is a count for each (name, size)."""
-    files = inventory.where(~F.col("is_dir"))
+    files = inventory.where(~F.col("is_dir") & F.col("name").isNotNull())
     return files.groupBy(*QUICK).agg(F.count("*").alias("copies"), F.min("full_path").alias("first_path")).where("copies > 1")
 
 
