@@ -1,20 +1,27 @@
 """Exact top-k inner-product search with a KD-tree in each shard.
 
-Vectors become integers, floor(scale * x), so that scores are exact. The rows are dealt to shards of about
+Vectors become integers, floor(scale * x), so that scores are exact. The rows are dealt once to shards of about
 ``shard_rows``; a shard's KD-tree splits at the median of the widest dimension and keeps tight bounding boxes. A query visits
 nodes best first: the bound of a box is the largest inner product that any point in it can have, and the search ends when the best
-open bound is below the k-th score so far. A first pass over one pilot shard gives every query a k-th score
-that all other shards start from.
+open bound is below the k-th score so far.
 
-Queries are compared with all rows in blocks: one task has one shard and one block of queries. Vectors that are
-null, empty or hold null or non-finite components, and rows with a null id, take no part; components are clipped at 2**31. Vectors of
-different lengths are not compared. A query never finds rows of its own id.
+Queries go in blocks of about ``query_rows``, hence of a bounded size, to all tasks; the points stay where they are, and a task builds a shard's tree once
+for a whole block. Shards are searched in rounds, one shard, 15, 240 and so on: the k-th scores of a round are what the next one starts from, and within
+a task each shard starts from what the one before gave.
+
+Scores are summed in doubles where these are exact, in 64-bit integers or unbounded integers where they are not; ranks follow the exact scores (those
+beyond 38 digits count as 38 nines), and a score that 64 bits cannot hold is returned as the nearest 64-bit number.
+
+Vectors that are null, empty or hold null or non-finite components, and rows with a null id, take no part. Vectors of
+different lengths are not compared. A query never finds rows of its own id. Rows that repeat an id are candidates each; the results of queries that repeat an id are ranked
+together. An empty table, or one without queries, gives an empty result. Other columns, whatever their names, take no part.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,16 +29,37 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from winnow.llm import store
-from winnow.llm.vectors import usable
+from winnow.llm.vectors import runs, usable
+
+SCORE = pa.decimal128(38, 0)
+_MOST = 10**38 - 1
+
+
+def _packed(v: np.ndarray, scale: float) -> tuple[str, bytes]:
+    """floor(scale * v) as (kind, bytes): 32-bit or 64-bit integers, or numbers written out."""
+    with np.errstate(over="ignore"):
+        x = np.floor(scale * v)
+    most = np.abs(x).max()
+    if most < 2.0**31:
+        return "<i4", x.astype("<i4").tobytes()
+    if most < 2.0**62:
+        return "<i8", x.astype("<i8").tobytes()
+    return "text", " ".join(str(int(y) if np.isfinite(y) else int(scale) * int(z)) for y, z in zip(x.tolist(), v.tolist(), strict=True)).encode()
+
+
+def _matrix(kinds: list[str], vecs: list[bytes]) -> np.ndarray:
+    """The vectors as integers: 64-bit, or Python's if any is too large."""
+    rows = [np.frombuffer(v, k).astype(np.int64) if k != "text" else np.array([int(y) for y in v.split()], object) for k, v in zip(kinds, vecs, strict=True)]
+    return np.stack(rows)
 
 
 def _integers(scale: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, vecs = usable(batch.column("vec"))
-            ints = [np.clip(np.floor(scale * v), -(2.0**31), 2.0**31 - 1).astype("<i4").tobytes() for v in vecs]
+            ints = [_packed(v, scale) for v in vecs]
             take = batch.take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([take.column("id"), take.column("is_query"), pa.array([len(v) for v in vecs], pa.int32()), pa.array(ints, pa.binary())], ["id", "is_query", "dim", "vec"])
+            yield pa.RecordBatch.from_arrays([take.column("id"), take.column("is_query"), pa.array([len(v) for v in vecs], pa.int32()), pa.array([i[0] for i in ints], pa.string()), pa.array([i[1] for i in ints], pa.binary())], ["id", "is_query", "dim", "kind", "vec"])
 
     return run
 
@@ -63,10 +91,10 @@ class KdTree:
         """The largest inner product of each query with a point of each box."""
         return np.maximum(queries, 0) @ self.high.T + np.minimum(queries, 0) @ self.low.T
 
-    def search(self, query: np.ndarray, bounds: np.ndarray, own: np.ndarray, k: int, kth: float) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, query: np.ndarray, bounds: np.ndarray, own: np.ndarray, k: int, kth) -> tuple[np.ndarray, np.ndarray]:
         """Rows with scores that may be among the k best, given a k-th score known from elsewhere. own: rows left out."""
         open_ = [(-bounds[0], 0)]
-        best: list[float] = []
+        best: list = []
         rows, scores = [], []
         while open_:
             bound, node = heapq.heappop(open_)
@@ -91,66 +119,93 @@ class KdTree:
                     if bounds[child] >= kth:
                         heapq.heappush(open_, (-bounds[child], child))
         if not rows:
-            return np.zeros(0, np.int64), np.zeros(0)
+            return np.zeros(0, np.int64), self.points[:0, 0]
         rows, scores = np.concatenate(rows), np.concatenate(scores)
         use = scores >= kth
         return rows[use], scores[use]
 
 
-def _search(k: int):
-    """A shard and a block of queries -> (query_id, vec_id, score): the k best of the shard for each query that can matter."""
-
-    def run(table: pa.Table) -> pa.Table:
-        is_query = table.column("is_query").to_numpy().astype(bool)
-        ids = table.column("id").to_numpy()
-        x = np.stack([np.frombuffer(v, "<i4") for v in table.column("vec").to_pylist()])
-        exact = float(np.abs(x).max(initial=0)) ** 2 * x.shape[1] < 2.0**52
-        x = x.astype(np.float64 if exact else object)
-        points, names, queries, asked = x[~is_query], ids[~is_query], x[is_query], ids[is_query]
-        known = np.array([-np.inf if v is None else v for v in table.column("kth").to_pylist()], float)[is_query]
-        out: list[tuple] = []
-        if len(points) and len(queries):
-            tree = KdTree(points)
-            bounds = tree.bounds(queries)
-            for q, name, b, kth in zip(queries, asked, bounds, known, strict=True):
-                rows, scores = tree.search(q, b, names == name, k, kth)
-                order = np.lexsort((names[rows], -scores))[:k] if exact else sorted(range(len(rows)), key=lambda i: (-scores[i], names[rows[i]]))[:k]
-                out += [(int(name), int(names[rows[i]]), int(scores[i])) for i in order]
-        return pa.table({"query_id": pa.array([o[0] for o in out], pa.int64()), "vec_id": pa.array([o[1] for o in out], pa.int64()), "score": pa.array([o[2] for o in out], pa.int64())})
+class Queries:
+    """A block of queries by length, with the k-th scores known so far (None: not known)."""
+
+    def __init__(self, rows: list, kth: dict[int, int]):
+        self.by_dim: dict[int, tuple[np.ndarray, np.ndarray, list]] = {}
+        for dim in {r.dim for r in rows}:
+            own = [r for r in rows if r.dim == dim]
+            ids = np.array([r.id for r in own], np.int64)
+            self.by_dim[dim] = (ids, _matrix([r.kind for r in own], [bytes(r.vec) for r in own]), [kth.get(r.id) for r in own])
+
+
+def _search(k: int, held):
+    """(dim, shard, id, kind, vec), sorted by shard -> (query_id, vec_id, score): the rows of each shard that can be among the k best of a query."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = {dim: list(kth) for dim, (_, _, kth) in held.value.by_dim.items()}
+        for table in runs(batches, ["dim", "shard"]):
+            dim = table.column("dim")[0].as_py()
+            if dim not in known:
+                continue
+            asked, queries, _ = held.value.by_dim[dim]
+            names = table.column("id").to_numpy()
+            points = _matrix(table.column("kind").to_pylist(), table.column("vec").to_pylist())
+            most = int(np.abs(points).max()) * int(np.abs(queries).max()) * dim
+            kind = np.float64 if most < 2**52 else np.int64 if most < 2**62 else object
+            tree, queries, kth = KdTree(points.astype(kind)), queries.astype(kind), known[dim]
+            lowest = -np.inf if kind is np.float64 else -most - 1
+            q_ids, v_ids, found = [], [], []
+            for at in range(0, len(asked), 512):
+                bounds = tree.bounds(queries[at : at + 512])
+                for i, b in enumerate(bounds, at):
+                    rows, scores = tree.search(queries[i], b, names == asked[i], k, lowest if kth[i] is None else kth[i])
+                    if not len(rows):
+                        continue
+                    order = sorted(range(len(rows)), key=lambda r, s=scores, v=names[rows]: (-s[r], v[r]))[:k]
+                    q_ids.append(np.full(len(order), asked[i]))
+                    v_ids.append(names[rows[order]])
+                    best = [min(max(int(scores[r]), -_MOST), _MOST) for r in order]
+                    found.append(best)
+                    if len(best) == k and (kth[i] is None or best[-1] > kth[i]):
+                        kth[i] = best[-1]
+            if q_ids:
+                scores = pa.array([x for f in found for x in f], pa.int64()).cast(SCORE) if kind is not object else pa.array([x for f in found for x in f], SCORE)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(q_ids)), pa.array(np.concatenate(v_ids)), scores], ["query_id", "vec_id", "score"])
 
     return run
 
 
-def top_k(vectors: DataFrame, queries: str = "vec_id % 100 = 0", id_col: str = "vec_id", vector_col: str = "embedding", *, k: int = 10, scale: float = 1024, shard_rows: int = 4096, query_rows: int = 512) -> DataFrame:
+def top_k(vectors: DataFrame, queries: str = "vec_id % 100 = 0", id_col: str = "vec_id", vector_col: str = "embedding", *, k: int = 10, scale: float = 1024, shard_rows: int = 4096, query_rows: int = 16_384) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row that ``queries`` (a condition on the row) picks, its k best rows.
 
-    Ties go to the smaller id; with fewer candidates than k, all come.
+    Ties go to the smaller id; with fewer candidates than k, all come. shard_rows: rows of a tree. query_rows: queries of a block.
     """
+    spark = vectors.sparkSession
     rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.expr(queries), F.lit(False)).alias("is_query"), F.col(f"`{vector_col}`").alias("vec")).where("id is not null")
-    rows = store.saved(rows.mapInArrow(_integers(scale), "id long, is_query boolean, dim int, vec binary"), "ints")
-    n, asked = rows.agg(F.count("*"), F.coalesce(F.sum(F.col("is_query").cast("long")), F.lit(0))).first()
-    shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-asked // query_rows))
-    hashed = F.xxhash64("id")
-    points = rows.select("dim", F.pmod(hashed, F.lit(shards)).alias("shard"), "id", "vec")
-    asking = rows.where("is_query").select("dim", F.pmod(hashed, F.lit(blocks)).alias("block"), "id", "vec")
-
-    def pass_over(points: DataFrame, asking: DataFrame, shard_list) -> DataFrame:
-        p = points.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")))
-        p = p.select("dim", "shard", "block", "id", "vec", F.lit(False).alias("is_query"), F.lit(None).cast("long").alias("kth"))
-        q = asking.withColumn("shard", F.explode(shard_list.cast("array<long>")))
-        q = q.select("dim", "shard", "block", "id", "vec", F.lit(True).alias("is_query"), "kth")
-        return p.unionByName(q).groupBy("dim", "shard", "block").applyInArrow(_search(k), "query_id long, vec_id long, score long")
-
-    pilot = pass_over(points.where("shard = 0"), asking.withColumn("kth", F.lit(None).cast("long")), F.array(F.lit(0)))
-    pilot = store.saved(pilot, "pilot")
-    found = pilot
-    if shards > 1:
-        known = pilot.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least"))
-        known = known.select(F.col("query_id").alias("id"), F.when(F.col("n") >= k, F.col("least")).alias("kth"))
-        rest = pass_over(points.where("shard > 0"), asking.join(known, "id", "left"), F.sequence(F.lit(1), F.lit(shards - 1)))
-        found = pilot.unionByName(rest)
+    rows = store.saved(rows.mapInArrow(_integers(scale), "id long, is_query boolean, dim int, kind string, vec binary"), "ints")
+    n, asked = rows.agg(F.count("*"), F.count_if("is_query")).first()
+    shards, blocks = max(1, -(-n // shard_rows)), -(-asked // query_rows)
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("id", F.lit(5)), F.lit(shards))).repartition(shards, "shard").sortWithinPartitions("dim", "shard")
+    points = store.saved(dealt, "points")
+    store.forget(rows)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(f"rank <= {k}").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    out = []
+    for b in range(blocks):
+        block = points.where("is_query").where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).select("dim", "id", "kind", "vec").collect()  # about query_rows
+        best, low, high, kth = None, 0, 1, {}
+        while low < shards:
+            held = spark.sparkContext.broadcast(Queries(block, kth))
+            found = points.where((F.col("shard") >= low) & (F.col("shard") < high)).select("dim", "shard", "id", "kind", "vec").mapInArrow(_search(k, held), "query_id long, vec_id long, score decimal(38,0)")
+            found = found if best is None else found.unionByName(best.drop("rank"))
+            better = store.saved(found.withColumn("rank", rank).where(f"rank <= {k}"), "best")
+            if best is not None:
+                store.forget(best)
+            best, low, high = better, high, high * 16
+            if low < shards:
+                kth = {r.query_id: int(r.score) for r in best.where(f"rank = {k}").select("query_id", "score").collect()}
+        out.append(best)
+    if not out:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    least, most = (F.lit(x).cast("decimal(38,0)") for x in (-(1 << 63), (1 << 63) - 1))
+    return reduce(DataFrame.unionByName, out).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", F.least(F.greatest("score", least), most).cast("long").alias("score"))
 
 
 def op4_top_k(spark, sf_dir: str) -> DataFrame:
