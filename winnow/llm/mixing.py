@@ -3,7 +3,7 @@
 Documents lie in the leaves of a tree (domain, language, source). A token budget enters at the root and is dealt
 among siblings by integer weights. No subtree gets more than it can give (tokens below it times ``max_epochs``):
 what a short subtree leaves goes to its siblings by weight, and only what all siblings together cannot use
-goes to the children of the next ancestor. Amounts are whole tokens, rounded down.
+goes to the children of the next ancestor. A subtree of weight 0 gives nothing, so it counts in no ancestor's capacity. Amounts are whole tokens, rounded down.
 
 A leaf's stream is its documents in a seeded random order, epoch after epoch, each epoch with an order of
 its own. The leaf gives the prefix of the stream that its budget pays for: all documents for each full epoch, then
@@ -11,10 +11,11 @@ the documents that begin before the budget ends. ``taken`` is the part of a docu
 document itself stays whole.
 
 A prefix sum over a leaf would put a large leaf into one task. Orders are hashes, so each leaf is cut into
-16**``digits`` ranges of the hash; sums by range tell the one range in which the budget ends, and only that range is sorted.
+ranges of the hash, 16**n of them so that a range holds about ``range_rows`` rows at most; sums by range tell the one range in which the budget ends, and only that range is sorted.
 
-A null or empty text has no tokens and goes with the documents around it; null labels form a leaf named 'unknown'. Rows that
-repeat a doc_id have one place in the order and go together. An empty table gives an empty result.
+A null or empty text has no tokens and goes with the documents around it, and a leaf without tokens gives nothing; null labels form a leaf named 'unknown'. Very long texts are counted
+as a whole and stay whole. Rows that repeat a doc_id, and all rows with a null one, have one place in a leaf's order and go together. An empty table gives an empty result. Columns of docs
+may have any names; those named mix_epoch or mix_taken are replaced.
 """
 
 from __future__ import annotations
@@ -53,19 +54,22 @@ def water_fill(children: DataFrame, parent: Sequence[str]) -> DataFrame:
     return out.withColumn("share", F.expr("CASE WHEN full THEN cap ELSE (w * left) div wl END")).drop("s", "ws", "full", "left", "wl")
 
 
-def mix(docs: DataFrame, weights: Sequence[dict[str, int]], *, levels: Sequence[Column], budget_percent: int = 60, max_epochs: int = 2, seed: int = 7, digits: int = 3, default_weight: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def mix(docs: DataFrame, weights: Sequence[dict[str, int]], *, levels: Sequence[Column], budget_percent: int = 60, max_epochs: int = 2, seed: int = 7, range_rows: int = 4096, default_weight: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The selected (document, epoch) rows: all columns of docs, then mix_epoch and mix_taken.
 
     weights: for each level of the tree, integer weights by name. levels: the columns that give a row's names, root first.
     budget_percent: the budget as a part of all tokens. Sources whose weight is 0 give nothing.
     """
     names = [f"mix_l{i}" for i in range(len(levels))]
-    rows = docs
-    for name, level in zip(names, levels, strict=True):
-        rows = rows.withColumn(name, F.coalesce(level.cast("string"), F.lit("unknown")))
-    rows = rows.withColumn("mix_tokens", F.coalesce(F.regexp_count(F.col(f"`{text_col}`"), F.lit(WORD)), F.lit(0)).cast("long"))
-    leaves = store.saved(rows.groupBy(*names).agg(F.sum("mix_tokens").alias("tokens")), "leaves")
-    budget = leaves.agg(F.expr(f"coalesce(sum(tokens), 0) * {budget_percent} div 100").alias("budget"))
+    own = {f"mix_c{i}": c for i, c in enumerate(docs.columns) if c not in ("mix_epoch", "mix_taken")}
+    labels = [F.coalesce(level.cast("string"), F.lit("unknown")).alias(name) for name, level in zip(names, levels, strict=True)]
+    tokens = F.coalesce(F.regexp_count(F.col(f"`{text_col}`"), F.lit(WORD)), F.lit(0)).cast("long")
+    rows = docs.select(*[F.col(f"`{c}`").alias(x) for x, c in own.items()], *labels, tokens.alias("mix_tokens"), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).alias("mix_id"))
+    every = store.saved(rows.groupBy(*names).agg(F.sum("mix_tokens").alias("tokens"), F.count("*").alias("rows")), "leaves")
+    budget = every.agg(F.expr(f"coalesce(sum(tokens), 0) * {budget_percent} div 100").alias("budget"))
+    leaves = every
+    for name, level in zip(names, weights, strict=True):
+        leaves = leaves.where(_weight(level, default_weight, name) > 0)
     parents = budget
     for i, name in enumerate(names):
         above = names[:i]
@@ -73,11 +77,13 @@ def mix(docs: DataFrame, weights: Sequence[dict[str, int]], *, levels: Sequence[
         children = caps.join(parents, above) if above else caps.crossJoin(F.broadcast(parents))  # parents: one row
         children = children.withColumn("w", _weight(weights[i], default_weight, name)).withColumn("name", F.col(name))
         parents = water_fill(children, above).select(*names[: i + 1], F.col("share").alias("budget"))
-    plan = leaves.join(parents, names).select(*names, F.expr("CASE WHEN tokens > 0 THEN budget div tokens ELSE 0 END").alias("mix_full"), F.expr("CASE WHEN tokens > 0 THEN budget % tokens ELSE 0 END").alias("mix_rest"))
+    digits = F.greatest(F.lit(1), F.ceil(F.log(16.0, F.col("rows") / range_rows))).cast("int")
+    plan = leaves.join(parents, names).select(*names, digits.alias("mix_digits"), F.expr("CASE WHEN tokens > 0 THEN budget div tokens ELSE 0 END").alias("mix_full"), F.expr("CASE WHEN tokens > 0 THEN budget % tokens ELSE 0 END").alias("mix_rest"))
     plan = store.small(store.saved(plan, "plan"))
+    store.forget(every)
 
-    place = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("mix_full").cast("string"), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))))
-    placed = rows.join(plan, names).withColumn("mix_place", place).withColumn("mix_range", F.substring("mix_place", 1, digits))
+    place = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("mix_full").cast("string"), "mix_id"))
+    placed = rows.join(plan, names).withColumn("mix_place", place).withColumn("mix_range", F.expr("substring(mix_place, 1, mix_digits)"))
     sums = placed.where("mix_rest > 0").groupBy(*names, "mix_range").agg(F.sum("mix_tokens").alias("mix_sum"))
     running = Window.partitionBy(*names).orderBy("mix_range").rowsBetween(Window.unboundedPreceding, -1)
     cut = sums.withColumn("mix_before", F.coalesce(F.sum("mix_sum").over(running), F.lit(0)))
@@ -91,7 +97,7 @@ def mix(docs: DataFrame, weights: Sequence[dict[str, int]], *, levels: Sequence[
     edge = edge.where("mix_start < mix_rest").withColumn("mix_taken", F.least("mix_tokens", F.col("mix_rest") - F.col("mix_start"))).withColumn("mix_epoch", F.col("mix_full"))
     part = placed.where("mix_range < mix_cut").withColumn("mix_taken", F.col("mix_tokens")).withColumn("mix_epoch", F.col("mix_full"))
     full = placed.where("mix_full > 0").withColumn("mix_taken", F.col("mix_tokens")).withColumn("mix_epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("mix_full") - 1)))
-    kept = [*[F.col(f"`{c}`") for c in docs.columns], "mix_epoch", "mix_taken"]
+    kept = [*[F.col(x).alias(c) for x, c in own.items()], "mix_epoch", "mix_taken"]
     return full.select(*kept).unionByName(part.select(*kept)).unionByName(edge.select(*kept))
 
 
