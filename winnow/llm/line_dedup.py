@@ -13,7 +13,8 @@ one copy stays; and a whole line, also of one or two tokens, recurs from a numbe
 (the query, as its SQL says) none of this holds. Lines with fewer than
 ``min_tokens`` tokens always stay. Documents stay even if all their lines go; their text is then empty.
 
-Null texts stay null. Rows with a null doc_id count as documents and are never the first. Rows that repeat doc_id and text are one document.
+Null texts stay null; an empty text is one empty line and stays. Very long lines and texts are lines and texts like others. Rows with a null doc_id count as documents and are never
+the first. Rows that repeat doc_id and text are one document. An empty table gives an empty result. Columns of docs may have any names; those named n_lines or n_dropped are replaced.
 """
 
 from __future__ import annotations
@@ -86,7 +87,7 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     spec = spec.where("2 * fixed >= width").select("leaf", "literals")
     spec = store.small(store.saved(spec, "templates"))
     fits = F.expr("forall(map_entries(literals), e -> tokens[e.key] = e.value)")
-    general = store.saved(inside.join(spec, "leaf").where(fits).select(F.col("leaf").alias("template"), "row", "id", "pos", "raw"), "general")
+    general = general_table = store.saved(inside.join(spec, "leaf").where(fits).select(F.col("leaf").alias("template"), "row", "id", "pos", "raw"), "general")
     firsts = recurring(general, min_docs)
     if strict:  # the first copy of each distinct line instead of the template's first document
         line = F.xxhash64("template", "raw").alias("template")
@@ -103,16 +104,21 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     uses = general.withColumn("kind", F.lit(1)).unionByName(exact.withColumn("kind", F.lit(0)))
     again = firsts.withColumn("kind", F.lit(1)).unionByName(repeats.withColumn("kind", F.lit(0)))
     again = store.small(store.saved(again, "again"))
-    gone = uses.join(again, ["kind", "template"]).where("NOT (id <=> first_id)").groupBy("row").agg(F.collect_set("pos").alias("gone"))
+    gone = store.saved(uses.join(again, ["kind", "template"]).where("NOT (id <=> first_id)").groupBy("row").agg(F.collect_set("pos").alias("gone")), "gone")
+    for table in (general_table, again):
+        store.forget(table)
 
+    for table in (marks, leaves, inside, spec):
+        store.forget(table)
+    own = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     text = F.col(f"`{text_col}`")
-    parts = F.split(text, "\n")
-    joined = docs.withColumn("line_row", _row_key(id_col, text_col)).join(gone.withColumnRenamed("row", "line_row").withColumnRenamed("gone", "line_gone"), "line_row", "left")
-    stay = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains(F.col("line_gone"), i)), "\n")
-    out = joined.withColumn("n_lines", F.when(text.isNull(), 0).otherwise(F.size(parts)).cast("long"))
-    out = out.withColumn("n_dropped", F.when(F.col("line_gone").isNull(), 0).otherwise(F.size("line_gone")).cast("long"))
-    out = out.withColumn(text_col, F.when(F.col("line_gone").isNull(), text).otherwise(stay))
-    return out.drop("line_row", "line_gone")
+    numbered = docs.select(_row_key(id_col, text_col).alias("row"), text.alias("text"), *[F.col(f"`{c}`").alias(f"own_{i}") for i, c in enumerate(own) if c != text_col])
+    parts = F.split("text", "\n")
+    stay = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(parts, lambda _, i: ~F.array_contains(F.col("gone"), i)), "\n"))
+    out = [stay.alias(c) if c == text_col else F.col(f"own_{i}").alias(c) for i, c in enumerate(own)]
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).cast("long")
+    n_dropped = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long")
+    return numbered.join(gone, "row", "left").select(*out, n_lines.alias("n_lines"), n_dropped.alias("n_dropped"))
 
 
 def op7_line_dedup(spark, sf_dir: str) -> DataFrame:
