@@ -2,8 +2,10 @@
 
 import itertools
 import random
+from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from winnow.llm import cap_dedup, kd_search, ngram_join
@@ -55,7 +57,7 @@ def variants(seed, n=120):
     return list(enumerate(out))
 
 
-@pytest.mark.parametrize(("k", "percent", "how"), [(4, 85, {}), (5, 80, {"frequent": 2, "crowd": 3, "block_tokens": 50}), (2, 80, {"frequent": 1, "crowd": 2, "block_tokens": 200})])
+@pytest.mark.parametrize(("k", "percent", "how"), [(4, 85, {}), (5, 80, {"frequent": 2, "crowd": 3, "block_tokens": 50}), (2, 80, {"frequent": 1, "crowd": 2, "block_tokens": 200}), (3, 60, {"frequent": 1}), (1, 34, {"frequent": 2})])
 def test_components_equal_brute_force(spark, k, percent, how):
     rows = variants(k)
     docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, key string, n int")
@@ -85,8 +87,8 @@ def test_components_of_chains_and_stars(spark):
     assert found == {k: v for k, v in roots({x for e in links for x in e}, links).items() if k != 7 or v != 7}
 
 
-def vectors(spark, rows):
-    return spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<float>, key int")
+def vectors(spark, rows, of="float"):
+    return spark.createDataFrame([(i, v, 0) for i, v in rows], f"vec_id long, embedding array<{of}>, key int")
 
 
 def test_caps_find_what_brute_force_finds(spark):
@@ -128,3 +130,79 @@ def test_top_k_equals_brute_force(spark, shard_rows):
         expected |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(near)}
     assert {tuple(r) for r in df.collect()} == expected
     assert kd_search.top_k(vectors(spark, rows).limit(0)).isEmpty()
+
+
+def test_top_k_is_exact_for_huge_components_and_repeated_ids(spark):
+    rows = [(1, [5e6]), (2, [1.0]), (3, [-3.5]), (3, [2.0]), (4, [1e200]), (5, [3e15]), (6, [3e15 + 1]), (7, [1.7e308])]
+    wide = [(10 + i, np.full(64, 2.0e6 + i).tolist()) for i in range(3)]
+    df = kd_search.top_k(vectors(spark, [(i, v) for i, v in rows + wide], "double"), "vec_id in (2, 3, 6, 10)", k=3, shard_rows=2)
+
+    def ints(v):
+        return [int(1024 * Fraction(x) // 1) for x in v]
+
+    every = [(i, ints(v)) for i, v in rows + wide]
+    expected = set()
+    for q in (2, 3, 6, 10):
+        near = sorted((-min(max(sum(a * b for a, b in zip(x, y, strict=True)), -(10**38) + 1), 10**38 - 1), i) for n, x in every if n == q for i, y in every if i != q and len(x) == len(y))[:3]
+        expected |= {(q, n + 1, i, min(max(-s, -(1 << 63)), (1 << 63) - 1)) for n, (s, i) in enumerate(near)}
+    assert {tuple(r) for r in df.collect()} == expected
+
+
+def test_top_k_reads_its_own_columns_only(spark):
+    df = vectors(spark, [(0, [1.0]), (1, [2.0])]).selectExpr("*", "1 AS score", "2 AS rank", "3 AS shard", "4 AS id", "5 AS vec")
+    assert [tuple(r) for r in kd_search.top_k(df).collect()] == [(0, 1, 1, 2 * 1024 * 1024)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_linked_sets_share_an_entry(seed):
+    """For any similarity, any sizes and any classes of tokens."""
+    rng = np.random.default_rng(seed)
+    linked = 0
+    for _ in range(5000):
+        percent, n = int(rng.integers(30, 100)), int(rng.integers(1, 60))
+        pool = rng.choice(1 << 40, size=n + 40, replace=False).astype(np.uint64)
+        gone, more = int(rng.integers(0, (100 - percent) * n // 100 + 2)), int(rng.integers(0, 40))
+        if gone >= n or not gone + more or 100 * (n - gone) < percent * (n + more):
+            continue
+        linked += 1
+        classes = dict(zip(pool.tolist(), rng.choice(3, size=len(pool), p=rng.dirichlet([0.5] * 3)).tolist(), strict=True))
+        one, two = np.sort(pool[:n]), np.sort(np.concatenate((pool[gone:n], pool[n : n + more])))
+        entries = [set(ngram_join._entries(s, np.array([classes[t] for t in s.tolist()], np.int8), np.ones(len(s), bool), percent).tolist()) for s in (one, two)]
+        assert entries[0] & entries[1]
+    assert linked > 500
+
+
+def test_shared_entries_of_sorted_batches():
+    rng = np.random.default_rng(4)
+    for _ in range(100):
+        rows = sorted({(int(rng.integers(0, 6)), int(k % 3 + 1), int(k)) for k in rng.integers(0, 12, size=rng.integers(0, 60))})
+        again = sorted(rows + rows[::3])
+        table = pa.table({"sig": pa.array([r[0] for r in again], pa.int64()), "key": pa.array([r[2] for r in again], pa.int64()), "n": pa.array([r[1] for r in again], pa.int32())})
+        found = [t for b in ngram_join._shared_entries(iter(table.to_batches(max_chunksize=int(rng.integers(1, 9))))) for t in zip(*[c.to_pylist() for c in b.columns], strict=True)]
+        members = {s: [r for r in rows if r[0] == s] for s in {r[0] for r in rows}}
+        assert found == [(s, r[2], r[1], m[0][2], m[0][1]) for s, m in sorted(members.items()) if len(m) > 1 for r in m]
+
+
+@pytest.mark.parametrize(("vectors_", "least"), [(2_000, 0.99), (50_000, 0.99)])
+def test_pairs_at_the_threshold_share_a_filter(vectors_, least):
+    """The default parameters of the registered query."""
+    code = cap_dedup.ProductCode(64, vectors_, 0.9, 48, 18, 6, 11)
+    rng = np.random.default_rng(3)
+    x, y = rng.standard_normal((2, 2000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (y * x).sum(axis=1, keepdims=True) * x
+    y = 0.9005 * x + np.sqrt(1 - 0.9005**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    one, two = (set(zip(*(a.tolist() for a in code.decode(v)), strict=True)) for v in (x, y))
+    assert len({row for row, _ in one & two}) >= least * 2000
+
+
+def test_caps_in_thousands_of_dimensions_and_one(spark):
+    rng = np.random.default_rng(8)
+    wide = rng.standard_normal((40, 5000))
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate((wide, wide[:5] + rng.normal(0, 0.1, (5, 5000)))))]
+    rows += [(100, [2.0]), (101, [3.0]), (102, [-1.0])]
+    found = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in cap_dedup.cap_near_duplicates(vectors(spark, rows, "double"), bucket=4).collect()}
+    assert all(found[i] == (1, i, True) and found[40 + i] == (1, i, False) for i in range(5))
+    assert all(found[i] == (0, i, True) for i in range(5, 40))
+    assert found[100] == (1, 100, True) and found[101] == (1, 100, False) and found[102] == (0, 102, True)
+    assert cap_dedup.cap_near_duplicates(vectors(spark, rows).limit(0)).isEmpty()
