@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from winnow.llm import store
 from winnow.llm.graph import components
-from winnow.llm.ngram_join import _local_components
+from winnow.llm.ngram_join import _REACH, _local_components
 from winnow.llm.vectors import runs, usable
 
 BLOCK_ROWS = 800
@@ -276,3 +276,15 @@ def cap_near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col:
 
 def op2_cap_dedup(spark, sf_dir: str) -> DataFrame:
     return cap_near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+#: All pairs; the query may miss a few pairs near the threshold (see above).
+ORACLE_SQL = f"""
+WITH RECURSIVE e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM e x JOIN e y ON x.vec_id < y.vec_id AND len(x.v) = len(y.v) WHERE list_cosine_similarity(x.v, y.v) >= 0.9),
+{_REACH},
+n AS (SELECT id, count(*) AS n FROM (SELECT a AS id FROM links UNION ALL SELECT b FROM links) GROUP BY id)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(other, vec_id)) AS component_id, vec_id <= coalesce(other, vec_id) AS kept
+FROM embeddings LEFT JOIN least_ ON least_.id = vec_id LEFT JOIN n ON n.id = vec_id
+"""

@@ -4,26 +4,26 @@ A text is the set of its distinct k-word shingles ("tokens"). Two texts link whe
 100 * |A n B| >= percent * |A u B|. The join is exact up to collisions of 64-bit hashes.
 
 1. Equal sets collapse to one: a set is known by a 64-bit digest and its size.
-2. Token classes. All tokens of all texts are counted in 2**count_bits hash buckets. A bucket over ``frequent``
-   makes its tokens frequent, a bucket of one makes its token unique. The two bit maps have a fixed size,
-   whatever the corpus, so they can be broadcast. A collision only moves a token to another class; classes
-   are a function of the token, so the join stays exact.
-3. Prefixes. Tokens are ordered rare first, then by hash. A set indexes single rare tokens; if those are
-   not enough it extends the prefix into its frequent tokens and indexes 2-token combinations of neighbours
-   in that order. Let A and B link, n = |A|, a tokens of A be missing from B and b of B from A. Then
-   a <= (1-t) n and 2a + b <= 2 (1-t) n for t = percent/100. A missing token breaks one single or two
-   combinations, an extra token of B one combination. So floor((1-t) n) + 1 singles, or singles and
-   combinations that number floor(2 (1-t) n) + 1, cannot all be broken, and the set whose prefix ends first
-   shares an entry with the other. The index is linear in the text. Sets so small that no other set can link are not indexed.
-4. Candidates. Within an entry of the index, every set is first compared with the smallest one (a star, not
-   all pairs). Linked sets are merged into components; later rounds compare with other centres, and
-   at the end all pairs of sets that still are in different components and whose sizes allow a link. No pair is dropped, except
+2. Token classes. All tokens of all texts are counted in hash buckets, about as many as there are tokens but 2**28 at most, so the
+   bit maps of classes that go to every task have a bounded size. Tokens of a bucket over ``frequent`` are frequent (class 1), over ``frequent``**2 very frequent
+   (class 2), the others rare (class 0); a bucket of one makes its token unique. Thresholds are raised by what buckets hold on average. A collision only moves a token to
+   another class; classes are a function of the token, so the join stays exact.
+3. Prefixes. Tokens are ordered by class, then by hash. A set indexes single rare tokens; if those are not enough it extends the prefix into its
+   frequent tokens and indexes combinations of two neighbours in that order, then combinations of three very frequent neighbours. Let A and B link, t = percent/100,
+   n = |A|, a tokens of A be missing from B and b of B from A; then a + t b <= (1-t) n. In a prefix whose entries combine up to c tokens, a missing token
+   breaks c entries at most, an extra token of B c - 1, and c a + (c-1) b <= c (1-t) n as long as t >= (c-1)/c. So floor(c (1-t) n) + 1 entries cannot all be broken,
+   and the set whose prefix ends first shares an entry with the other. The index is linear in the text. c is limited by ``percent``, so that sets of n0 tokens or more
+   always have entries enough; smaller sets, and those that may link with a smaller one, index floor((1-t) n) + 1 single tokens instead or besides.
+   Sets so small that no other set can link are not indexed.
+4. Candidates. The entries are sorted once, by entry and size. Within an entry every set is first compared with the smallest one (a star, not
+   all pairs). Linked sets are merged into components; then all pairs of sets that still are in different components and whose sizes allow a link. No pair is dropped, except
    those whose ends are already known to be connected.
 5. Candidate pairs whose sketches (tokens counted by 64 hash classes, a lower bound of the difference) rule a link out go;
    the others are verified on the whole texts.
 
-Null and empty texts, or those without words, have an empty set and link with nothing. Repeated rows are equal sets. Of rows that
-repeat an id with other texts, each has its own set. A null id is no id: it never names a component unless all ids are null.
+Null and empty texts, or those without words, have an empty set and link with nothing. Very long texts are sets like others. Repeated rows are equal sets. Of rows that
+repeat an id with other texts, each has its own set. A null id is no id: it never names a component unless all ids are null. An empty table gives an empty result. Other columns,
+whatever their names, take no part.
 """
 
 from __future__ import annotations
@@ -57,8 +57,8 @@ SKETCH = 64
 
 
 def _sketch(tokens: np.ndarray) -> bytes:
-    """Tokens counted by hash class. The counts of two sets differ by no more, in sum, than the sets do."""
-    return np.bincount((tokens & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH).astype("<u4").tobytes()
+    """Tokens counted by hash class, up to 255. The counts of two sets differ by no more, in sum, than the sets do."""
+    return np.minimum(np.bincount((tokens & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH), 255).astype(np.uint8).tobytes()
 
 
 def _sizes(k: int):
@@ -103,11 +103,11 @@ def _bucket_counts(k: int, bits: int, parts: int):
                         seen.add(d)
                         held.append((s >> np.uint64(64 - bits)).astype(np.uint32))
                         size += len(s)
-                if size > 3_000_000:
+                if size > 1_500_000:
                     yield from out()
                     held.clear()
                     size = 0
-                    if len(seen) > 1_000_000:
+                    if len(seen) > 300_000:
                         seen.clear()
         if held:
             yield from out()
@@ -115,8 +115,11 @@ def _bucket_counts(k: int, bits: int, parts: int):
     return run
 
 
-def _bucket_maps(bits: int, parts: int, frequent: int):
-    """One range of buckets -> (part, bit map of buckets over one, bit map of buckets over ``frequent``)."""
+FOLD = 8  # buckets that share a bit in the maps of frequent tokens
+
+
+def _bucket_maps(bits: int, parts: int, over: list[float]):
+    """One range of buckets -> (part, bit map of buckets over one, bit maps of buckets over each limit)."""
 
     def run(key: tuple[pa.Scalar, ...], rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         per = (1 << bits) // parts
@@ -124,61 +127,98 @@ def _bucket_maps(bits: int, parts: int, frequent: int):
         for batch in rows:
             for width, gaps in zip(batch.column("width").to_pylist(), batch.column("gaps").to_pylist(), strict=True):
                 np.add(counts, np.bincount(np.cumsum(np.frombuffer(gaps, f"<u{width}"), dtype=np.int64), minlength=per).astype(np.uint32), out=counts)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([np.packbits(counts > 1).tobytes()], pa.binary()), pa.array([np.packbits(counts > frequent).tobytes()], pa.binary())], ["part", "many", "often"])
+        most = counts.reshape(-1, FOLD).max(axis=1)
+        maps = [np.packbits(counts > 1), *[np.packbits(most > limit) for limit in over]]
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([[m.tobytes() for m in maps]], pa.list_(pa.binary()))], ["part", "maps"])
 
     return run
 
 
-def token_classes(texts: DataFrame, k: int, bits: int, frequent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two bit maps of 2**bits buckets each: tokens that may occur twice, and frequent ones."""
-    parts = 64
-    gaps = texts.mapInArrow(_bucket_counts(k, bits, parts), "part int, width int, gaps binary")
-    maps = gaps.groupBy("part").applyInArrow(_bucket_maps(bits, parts, frequent), "part int, many binary, often binary")
-    per = (1 << bits) // parts // 8
-    many, often = np.zeros(per * parts, np.uint8), np.zeros(per * parts, np.uint8)
-    for row in maps.toLocalIterator():
-        many[row.part * per : (row.part + 1) * per] = np.frombuffer(row.many, np.uint8)
-        often[row.part * per : (row.part + 1) * per] = np.frombuffer(row.often, np.uint8)
-    return many, often
+class TokenClasses:
+    """Bit maps of hash buckets: does a token occur twice, and how frequent is it?"""
+
+    def __init__(self, bits: int, maps: list[np.ndarray]):
+        self.bits, self.maps = bits, maps
+
+    @staticmethod
+    def of(texts: DataFrame, k: int, tokens: int, frequent: int, most_bits: int) -> TokenClasses:
+        bits, parts = min(max(20, tokens.bit_length()), most_bits), 64
+        load = tokens / (1 << bits)
+        over = [load + 4 * math.sqrt(load) + frequent**c for c in (1, 2)]
+        gaps = texts.mapInArrow(_bucket_counts(k, bits, parts), "part int, width int, gaps binary")
+        maps = gaps.groupBy("part").applyInArrow(_bucket_maps(bits, parts, over), "part int, maps array<binary>")
+        sizes = [(1 << bits) // parts // 8 // fold for fold in (1, FOLD, FOLD)]
+        out = [np.zeros(parts * size, np.uint8) for size in sizes]
+        for row in maps.toLocalIterator():  # of bounded size
+            for held, own, size in zip(out, row.maps, sizes, strict=True):
+                held[row.part * size : (row.part + 1) * size] = np.frombuffer(own, np.uint8)
+        return TokenClasses(bits, out)
+
+    def _bit(self, at: int, bucket: np.ndarray) -> np.ndarray:
+        return (self.maps[at][bucket >> 3] >> (np.uint8(7) - (bucket & 7).astype(np.uint8)) & 1).astype(bool)
 
+    def look_up(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(class, occurs twice) of each token."""
+        bucket = (tokens >> np.uint64(64 - self.bits)).astype(np.int64)
+        return self._bit(1, bucket // FOLD).astype(np.int8) + self._bit(2, bucket // FOLD), self._bit(0, bucket)
 
-def _entries(s: np.ndarray, freq: np.ndarray, many: np.ndarray, percent: int) -> np.ndarray:
-    """The index entries of one set. s: sorted tokens; freq, many: their classes."""
+
+def combination(percent: int) -> tuple[int, int]:
+    """(the most tokens of a combination, n0: sets of so many tokens have entries enough)."""
+    most = max(c for c in (1, 2, 3) if c == 1 or 4 * c * (100 - percent) <= 300)
+    return most, math.ceil(400 / (100 - most * (100 - percent))) if most > 1 else 0
+
+
+def _entries(s: np.ndarray, cls: np.ndarray, many: np.ndarray, percent: int) -> np.ndarray:
+    """The index entries of one set. s: sorted tokens; cls, many: their classes, and whether others may hold them."""
     n, gap = len(s), 100 - percent
+    most, least = combination(percent)
     if 100 * n < percent * (n + 1):  # no set of another size can link, nor another set of this size
         return s[:0]
-    need = gap * n // 100 + 1
-    rare = s[~freq]
-    if len(rare) >= need:
-        single, m = rare[:need], many[~freq][:need]
-        return mix(single[m] ^ np.uint64(0x5151))
-    m = many[~freq]
-    often = s[freq][: 2 * gap * n // 100 + 2 - len(rare)]
-    pairs = mix(mix(often[:-1]) * np.uint64(3) + often[1:])
-    return np.concatenate((mix(rare[m] ^ np.uint64(0x5151)), pairs))
-
-
-def _index(k: int, percent: int, bits: int, maps):
+    cls = np.minimum(cls, most - 1)
+    own = [s[cls == c] for c in range(most)]
+    out = []
+    if most == 1 or percent * n < 100 * least:  # this set, or one that it may link with, is small
+        order = np.argsort(cls, kind="stable")[: gap * n // 100 + 1]
+        first = s[order][many[order]]
+        out.append(mix(first ^ np.uint64(0xA3A3)))
+    if most > 1 and n >= least:
+        need = gap * n // 100 + 1
+        single, held = own[0][:need], many[cls == 0][:need]
+        out.append(mix(single[held] ^ np.uint64(0x5151)))
+        count = len(own[0])
+        for c in range(1, most):
+            need = (c + 1) * gap * n // 100 + 1
+            if count >= c * gap * n // 100 + 1 or not len(own[c]):
+                if count >= c * gap * n // 100 + 1:
+                    break
+                continue
+            tokens = own[c][: need - count + c]
+            x = mix(tokens[: len(tokens) - c] + np.uint64(c))
+            for j in range(1, c + 1):
+                x = mix(x * np.uint64(3) + tokens[j : len(tokens) - c + j])
+            out.append(x)
+            count += max(len(own[c]) - c, 0)
+    return np.concatenate(out) if out else s[:0]
+
+
+def _index(k: int, percent: int, classes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        many, often = maps.value
         seen: set[int] = set()
         for batch in batches:
             for _, _, texts in blocks(batch, "text"):
                 sig, key, size = [], [], []
                 doc, x = shingles(Words(texts), k)
-                bucket = (x >> np.uint64(64 - bits)).astype(np.int64)
-                byte, bit = bucket >> 3, np.uint8(7) - (bucket & 7).astype(np.uint8)
-                is_many = (many[byte] >> bit & 1).astype(bool)
-                is_often = (often[byte] >> bit & 1).astype(bool)
+                cls, many = classes.value.look_up(x)
                 cut = np.searchsorted(doc, np.arange(len(texts) + 1))
                 for a, b in zip(cut[:-1], cut[1:], strict=True):
                     if b > a and (d := _digest(x[a:b])) not in seen:
                         seen.add(d)
-                        e = _entries(x[a:b], is_often[a:b], is_many[a:b], percent)
+                        e = _entries(x[a:b], cls[a:b], many[a:b], percent)
                         sig.append(e)
                         key.append(np.full(len(e), d, np.int64))
                         size.append(np.full(len(e), b - a, np.int32))
-                if len(seen) > 1_000_000:
+                if len(seen) > 300_000:
                     seen.clear()
                 if sig:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sig).view(np.int64)), pa.array(np.concatenate(key)), pa.array(np.concatenate(size))], ["sig", "key", "n"])
@@ -186,26 +226,57 @@ def _index(k: int, percent: int, bits: int, maps):
     return run
 
 
+def _shared_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(sig, key, n) sorted -> the distinct entries that two sets or more share, with the first of them: (sig, key, n, key2, n2)."""
+    names = ("sig", "key", "n")
+    last = [np.zeros(0, np.int64) for _ in names]  # the last distinct row so far
+    first = last  # the first row of its entry
+    for batch in batches:
+        sig, key, n = (np.concatenate((a, batch.column(c).to_numpy().astype(np.int64))) for a, c in zip(last, names, strict=True))
+        if not len(sig):
+            continue
+        fresh = np.ones(len(sig), bool)
+        fresh[1:] = (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])
+        sig, key, n = sig[fresh], key[fresh], n[fresh]
+        new = np.ones(len(sig), bool)
+        new[1:] = sig[1:] != sig[:-1]
+        open_ = bool(len(first[0]) and first[1][0] != key[0])  # the row carried over is not the first of its entry
+        head = np.maximum.accumulate(np.where(new, np.arange(len(sig)), 0))
+        key2, n2 = key[head], n[head]
+        if len(first[0]):
+            key2[head == 0], n2[head == 0] = first[1][0], first[2][0]
+        # rows go out when they have a partner: the row after or before them
+        use = ~new
+        use[:-1] |= ~new[1:]
+        if len(last[0]):  # the row carried over has been given out if it was not the first; or if its entry goes on
+            use[0] = not open_ and len(new) > 1 and not new[1]
+        out = [a[use] for a in (sig, key, n, key2, n2)]
+        if len(out[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1]), pa.array(out[2].astype(np.int32)), pa.array(out[3]), pa.array(out[4].astype(np.int32))], ["sig", "key", "n", "key2", "n2"])
+        last = [sig[-1:], key[-1:], n[-1:]]
+        first = [sig[-1:], key2[-1:], n2[-1:]]
+
+
 def _verify(k: int, percent: int):
-    """(a, b, text_a, text_b) -> the pairs (a, b) that link."""
+    """(a, part, role, key, text), sorted: in each part of a, its own text (role 0) and then its partners' -> the pairs (a, b) that link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, last_set = None, None
+        one = np.zeros(0, np.uint64)
         for batch in batches:
-            ka, kb = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            ta = batch.column("text_a")
+            first, role, key = (batch.column(c).to_numpy() for c in ("a", "role", "key"))
             keep = []
-            for i, j, texts in blocks(batch, "text_b"):
-                for at, sb in zip(range(i, j), _sets(texts, k), strict=True):
-                    if ka[at] != last:
-                        last, last_set = ka[at], next(_sets([(ta[at].as_py() or "").encode()], k))
-                    n, m = len(last_set), len(sb)
-                    where = np.searchsorted(last_set, sb)
+            for i, j, texts in blocks(batch, "text"):
+                for at, two in zip(range(i, j), _sets(texts, k), strict=True):
+                    if role[at] == 0:
+                        one = two
+                        continue
+                    n, m = len(one), len(two)
+                    where = np.searchsorted(one, two)
                     where[where == n] = n - 1
-                    both = int((last_set[where] == sb).sum())
+                    both = int((one[where] == two).sum())
                     if 100 * both >= percent * (n + m - both):
                         keep.append(at)
-            yield pa.RecordBatch.from_arrays([pa.array([ka[i] for i in keep], pa.int64()), pa.array([kb[i] for i in keep], pa.int64())], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(first[keep], pa.int64()), pa.array(key[keep], pa.int64())], ["a", "b"])
 
     return run
 
@@ -278,7 +349,9 @@ def _family_links(crowded: DataFrame, texts: DataFrame, k: int, percent: int, bl
     duels = block.join(other, "family").where(f"block <= block_ and abs(class - class_) <= 1 and {apart}")
     sides = duels.select("family", "block", F.concat_ws(" ", "block", "block_").alias("duel")).union(duels.where("block <> block_").select("family", "block_", F.concat_ws(" ", "block", "block_")))
     rows = dealt.join(sides, ["family", "block"]).join(texts, "key").select("family", "duel", "key", "c", "text")
-    return rows.groupBy("family", "duel").applyInArrow(_block_links(k, percent), "a long, b long")
+    out = store.saved(rows.groupBy("family", "duel").applyInArrow(_block_links(k, percent), "a long, b long"), "links")
+    store.forget(dealt)
+    return out
 
 
 def _plausible(percent: int):
@@ -287,9 +360,9 @@ def _plausible(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").astype(np.int64).reshape(-1, SKETCH) for c in ("sketch_a", "sketch_b"))
-                apart = np.abs(one - two).sum(axis=1)
-                fits = apart * (100 + percent) <= (one.sum(axis=1) + two.sum(axis=1)) * (100 - percent)
+                one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).astype(np.int64).reshape(-1, SKETCH) for c in ("sketch_a", "sketch_b"))
+                n, m = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
+                fits = np.abs(one - two).sum(axis=1) * (100 + percent) <= (n + m) * (100 - percent)
                 yield batch.select(["a", "b"]).filter(pa.array(fits))
 
     return run
@@ -297,100 +370,101 @@ def _plausible(percent: int):
 
 def _candidates(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The distinct pairs (a, b) of set keys that can link."""
-    both = pairs.distinct().join(nodes.select(F.col("key").alias("a"), F.col("sketch").alias("sketch_a")), "a").join(nodes.select(F.col("key").alias("b"), F.col("sketch").alias("sketch_b")), "b")
-    return store.saved(both.select("a", "b", "sketch_a", "sketch_b").mapInArrow(_plausible(percent), "a long, b long"), "pairs")
+    for side in ("a", "b"):
+        pairs = (pairs.distinct() if side == "a" else pairs).join(nodes.select(F.col("key").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}")), side)
+    return store.saved(pairs.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(_plausible(percent), "a long, b long"), "pairs")
 
 
 def _texts_of(keys: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """(key, text) of the named sets. Few ids go to the texts, many meet them in a shuffle."""
     wanted = store.saved(keys.distinct().join(nodes.select("key", F.col("id").alias("id1"), F.col("hash").alias("hash1")), "key"), "wanted")
-    found = texts.join(store.small(wanted, 200_000), F.expr("hash = hash1 and id <=> id1"))
-    return store.saved(found.select("key", "text").dropDuplicates(["key"]), "texts")
+    found = texts.join(store.small(wanted), F.expr("hash = hash1 and id <=> id1"))
+    out = store.saved(found.select("key", "text").dropDuplicates(["key"]), "texts")
+    store.forget(wanted)
+    return out
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of pairs (a, b) of set keys, a being the one that more pairs share, those that link."""
-    kept = _texts_of(pairs.select(F.col("a").alias("key")).union(pairs.select("b")), nodes, texts)
-    b = pairs.join(kept.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
-    both = b.join(kept.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(k, percent), "a long, b long")
+    """Of pairs (a, b) of set keys, a being the one that more pairs share, those that link, as a saved table.
 
-
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, k: int = 5, percent: int = 80, frequent: int = 24, count_bits: int = 28, star_rounds: int = 1, crowd: int = 40, block_tokens: int = 100_000) -> DataFrame:
+    Each text goes straight to the pairs that need it; a set that very many pairs share meets them in 64 parts.
+    """
+    hot = store.hot_keys(pairs, "a")
+    part = F.when(F.col("a").isin(hot), F.pmod(F.xxhash64("b"), F.lit(64))) if hot else F.lit(None).cast("long")
+    dealt = pairs.select("a", F.coalesce(part, F.lit(0)).cast("int").alias("part"), "b")
+    roles = dealt.select("a", "part", F.lit(1).alias("role"), F.col("b").alias("key")).union(dealt.select("a", "part", F.lit(0), "a").distinct())
+    wanted = store.saved(roles.join(nodes.select("key", F.col("id").alias("id1"), F.col("hash").alias("hash1")), "key"), "wanted")
+    found = texts.join(store.small(wanted), F.expr("hash = hash1 and id <=> id1")).select("a", "part", "role", "key", "text")
+    found = found.repartition("a", "part").sortWithinPartitions("a", "part", "role")
+    out = store.saved(found.mapInArrow(_verify(k, percent), "a long, b long"), "links")
+    store.forget(wanted)
+    return out
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, k: int = 5, percent: int = 80, frequent: int = 24, count_bits: int = 28, crowd: int = 40, block_tokens: int = 100_000) -> DataFrame:
     """(id_col, n_shingles, set_key, component_id) for every row. component_id is the smallest id reachable by links.
 
-    k: words of a shingle. percent: least Jaccard similarity. frequent: a token in more sets than this belongs to
-    the frequent class. count_bits: buckets of the token counts, as a power of two. star_rounds: rounds with one
-    centre an entry before the pairs that are left. crowd: entries with more sets are compared by families.
+    k: words of a shingle. percent: least Jaccard similarity, from 1 to 100. frequent: a token in more sets than this belongs to
+    the frequent class. count_bits: buckets of the token counts, as a power of two, at most. crowd: entries with more sets are compared by families.
     block_tokens: tokens of a block of a family.
     """
+    if not 1 <= percent <= 100:
+        raise ValueError("percent goes from 1 to 100")
     spark = docs.sparkSession
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("hash"), F.col(f"`{text_col}`").alias("text"))
     id_type = texts.schema["id"].dataType.simpleString()
     base = store.saved(texts.mapInArrow(_sizes(k), f"id {id_type}, hash long, n long, key long, sketch binary"), "sets")
+    nodes = base.where("n > 0").groupBy("key").agg(F.min(F.struct("id", "hash")).alias("one"), F.min("id").alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    nodes = store.saved(nodes.select("key", "one.id", "one.hash", "least", "n", "sketch"), "nodes")
+    tokens = nodes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
-    many, often = token_classes(texts.select("text"), k, count_bits, frequent)
-    maps = spark.sparkContext.broadcast((many, often))
-    index = texts.select("text").mapInArrow(_index(k, percent, count_bits, maps), "sig long, key long, n int")
-    index = store.saved(index, "entries")
-    every, index = index, store.saved(_shared_entries(index), "index")
-    store.forget(every)
-
-    nodes = store.saved(base.where("n > 0").groupBy("key").agg(F.min(F.struct("id", "hash")).alias("one"), F.first("sketch").alias("sketch")).select("key", "one.id", "one.hash", "sketch"), "nodes")
+    classes = spark.sparkContext.broadcast(TokenClasses.of(texts.select("text"), k, tokens, frequent, count_bits))
+    index = texts.select("text").mapInArrow(_index(k, percent, classes), "sig long, key long, n int")
+    index = index.repartition("sig").sortWithinPartitions("sig", "n", "key")
+    index = store.saved(index.mapInArrow(_shared_entries, "sig long, key long, n int, key2 long, n2 int"), "index")
 
     size_ok = f"100 * least(n, n2) >= {percent} * greatest(n, n2)"
-    links, comp = None, None
-
-    def more(found: DataFrame) -> None:
-        nonlocal links, comp
-        links = found if links is None else links.unionByName(found)
-        comp = components(links)
-
-    def entries() -> DataFrame:
-        """The index with the component c of each set so far."""
-        if comp is None:
-            return index.withColumn("c", F.col("key"))
-        return index.join(comp.withColumnRenamed("node", "key"), "key", "left").withColumn("c", F.coalesce("component", "key")).drop("component")
-
-    for turn in range(star_rounds):
-        rows = entries()
-        centre = F.min(F.struct("n", "key", "c")) if turn == 0 else F.min(F.struct(F.xxhash64("key", F.lit(turn)), "key", "n", "c"))
-        star = rows.groupBy("sig").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), centre.alias("p")).where("c1 <> c2")
-        star = star.select("sig", F.col("p.key").alias("key2"), F.col("p.n").alias("n2"), F.col("p.c").alias("cc"))
-        pairs = rows.join(star, "sig").where(f"c <> cc and {size_ok}").select(F.col("key2").alias("a"), F.col("key").alias("b"))
-        pairs = _candidates(pairs, nodes, percent)
-        if not pairs.isEmpty():
-            more(store.saved(_verified(pairs, nodes, texts, k, percent), "links"))
-
-    rows = store.saved(entries(), "rows")
-    open_ = rows.groupBy("sig").agg(F.count("*").alias("members"), F.min("c").alias("c1"), F.max("c").alias("c2"), F.min("key").alias("centre")).where("c1 <> c2")
-    open_ = store.saved(open_.select("sig", "members", "centre"), "open")
-    left = rows.join(open_.where(f"members <= {crowd}").select("sig"), "sig", "left_semi")
-    other = left.select("sig", F.col("key").alias("key2"), F.col("n").alias("n2"), F.col("c").alias("cc"))
-    pairs = left.join(other, "sig").where(f"c < cc and {size_ok}").select(F.least("key", "key2").alias("a"), F.greatest("key", "key2").alias("b"))
-    found = _verified(_candidates(pairs, nodes, percent), nodes, texts, k, percent)
-    crowded = rows.join(open_.where(f"members > {crowd}").select("sig", "centre"), "sig")
-    crowded = store.saved(crowded.groupBy("key", "n", "c", "centre").agg(F.lit(1).alias("one")).drop("one"), "crowded")
+    pairs = _candidates(index.where(f"key <> key2 and {size_ok}").select(F.col("key2").alias("a"), F.col("key").alias("b")), nodes, percent)
+    links = _verified(pairs, nodes, texts, k, percent)
+    store.forget(pairs)
+    comp = components(links)
+
+    # entries whose sets lie in several components
+    rows = index.select("sig", "key", "n").join(comp.withColumnRenamed("node", "key"), "key", "left").select("sig", "key", "n", F.coalesce("component", "key").alias("c"))
+    rows = store.saved(rows, "rows")
+    store.forget(index)
+    open_ = rows.groupBy("sig").agg(F.count("*").alias("members"), F.min("c").alias("c1"), F.max("c").alias("c2"), F.min("key").alias("centre")).where("c1 <> c2").drop("c1", "c2")
+    left = store.saved(rows.join(open_, "sig"), "open")
+    store.forget(rows)
+    few = left.where(f"members <= {crowd}").select("sig", "key", "n", "c")
+    other = few.select("sig", F.col("key").alias("key2"), F.col("n").alias("n2"), F.col("c").alias("cc"))
+    pairs = _candidates(few.join(other, "sig").where(f"c < cc and {size_ok}").select(F.least("key", "key2").alias("a"), F.greatest("key", "key2").alias("b")), nodes, percent)
+    found = [_verified(pairs, nodes, texts, k, percent)]
+    store.forget(pairs)
+    crowded = store.saved(left.where(f"members > {crowd}").select("key", "n", "c", "centre").distinct(), "crowded")
+    store.forget(left)
     if not crowded.isEmpty():
-        found = found.unionByName(_family_links(crowded, _texts_of(crowded.select("key"), nodes, texts), k, percent, block_tokens))
-    found = store.saved(found, "links")
-    if not found.isEmpty():
-        more(found)
-
+        kept = _texts_of(crowded.select("key"), nodes, texts)
+        found.append(_family_links(crowded, kept, k, percent, block_tokens))
+        store.forget(kept)
+    store.forget(crowded)
+    more = links
+    for f in found:
+        more = more.unionByName(f)
+    if any(not f.isEmpty() for f in found):
+        old, comp = comp, components(more)
+        store.forget(old)
+    for f in (links, *found):
+        store.forget(f)
+
+    # components are named by their smallest id, not by a key
+    named = store.saved(nodes.select("key", F.col("least").alias("id")).join(comp.withColumnRenamed("node", "key"), "key", "left").select("key", "id", F.coalesce("component", "key").alias("root")), "named")
+    least = named.groupBy("root").agg(F.min("id").alias("least_id"))
+    names = store.saved(store.lookup(named, least, "root").select(F.col("key").alias("set_key"), "least_id"), "names")
+    for f in (nodes, comp, named):
+        store.forget(f)
     out = base.select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("key")).alias("set_key"))
-    root = F.col("set_key")
-    if comp is not None:
-        out = out.join(comp.withColumnRenamed("node", "set_key"), "set_key", "left")
-        root = F.coalesce("component", "set_key")
-    out = out.withColumn("root", root).drop("component")
-    smallest = out.where("root is not null").groupBy("root").agg(F.min("id").alias("least_id"))
-    return out.join(smallest, "root", "left").select(F.col("id").alias(id_col), "n_shingles", "set_key", F.coalesce("least_id", "id").alias("component_id"))
-
-
-def _shared_entries(index: DataFrame) -> DataFrame:
-    """The distinct entries that two sets or more share."""
-    shared = index.groupBy("sig").agg(F.min("key").alias("k1"), F.max("key").alias("k2")).where("k1 <> k2").select("sig")
-    return index.join(shared, "sig", "left_semi").distinct()
+    return store.lookup(out, names, "set_key").select(F.col("id").alias(id_col), "n_shingles", "set_key", F.coalesce("least_id", "id").alias("component_id"))
 
 
 def near_duplicate_representatives(docs: DataFrame, **how) -> DataFrame:
@@ -406,3 +480,17 @@ def near_duplicate_representatives(docs: DataFrame, **how) -> DataFrame:
 def op1_ngram_join(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return jaccard_components(docs, k=4, percent=85).select("doc_id", "n_shingles", "component_id")
+
+
+_REACH = """reach AS (SELECT a AS id, b AS other FROM links UNION SELECT b, a FROM links UNION SELECT r.id, CASE WHEN l.a = r.other THEN l.b ELSE l.a END FROM reach r JOIN links l ON r.other IN (l.a, l.b)),
+least_ AS (SELECT id, min(other) AS other FROM reach GROUP BY id)"""
+ORACLE_SQL = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS v FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(v) = 0 THEN [] WHEN len(v) < 4 THEN [array_to_string(v, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(v) - 2), lambda i: v[i] || ' ' || v[i + 1] || ' ' || v[i + 2] || ' ' || v[i + 3])) END AS g FROM w),
+e AS (SELECT doc_id, unnest(g) AS t FROM s),
+both_ AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM e x JOIN e y ON x.t = y.t AND x.doc_id < y.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM both_ JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b WHERE 100 * c >= 85 * (len(x.g) + len(y.g) - c)),
+{_REACH}
+SELECT doc_id, CAST(len(g) AS BIGINT) AS n_shingles, least(doc_id, coalesce(other, doc_id)) AS component_id FROM s LEFT JOIN least_ ON id = doc_id
+"""

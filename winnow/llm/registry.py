@@ -22,7 +22,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_ngram_join": ngram_join.ORACLE_SQL,
+    "op2_cap_dedup": cap_dedup.ORACLE_SQL,
     "op3_mixing": mixing.ORACLE_SQL,
     "op4_top_k": kd_search.ORACLE_SQL,
     "op7_line_dedup": line_dedup.ORACLE_SQL,
+    "op9_warc_zip": warc_zip.ORACLE_SQL,
 }

@@ -1,7 +1,7 @@
-"""Where intermediate tables live: the folder that the driver and all executors share.
+"""Where intermediate tables live: the folder that the driver and all executors share; and joins that stand hot keys.
 
-The cluster names it in ``spark.checkpoint.dir``. Only where that is unset (local tests) a folder of
-this process is used.
+The cluster names the folder in ``spark.checkpoint.dir``. Where that is unset, only a local master may use a folder of
+this process; on a cluster that would lose rows, so it is an error.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _own: dict[str, str] = {}
 
@@ -19,6 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="spark-winnow-")
@@ -47,9 +50,44 @@ def forget(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small(df: DataFrame, most: int = 50_000) -> DataFrame:
-    """A broadcast hint for a saved table of at most ``most`` rows; a larger one is left to a shuffled join."""
-    return F.broadcast(df) if df.count() <= most else df
+def is_small(df: DataFrame, most: int = 32 << 20) -> bool:
+    """Whether a saved table holds at most ``most`` bytes."""
+    sizes = [F.lit(8) if isinstance(f.dataType, (T.NumericType, T.BooleanType)) else F.coalesce(F.octet_length(F.col(f"`{f.name}`").cast("string")), F.lit(0)) + 16 for f in df.schema]
+    return df.agg(F.coalesce(F.sum(sum(sizes, F.lit(16)).cast("long")), F.lit(0))).first()[0] <= most
+
+
+def small(df: DataFrame, most: int = 32 << 20) -> DataFrame:
+    """A broadcast hint for a saved table of at most ``most`` bytes; a larger one is left to a shuffled join."""
+    return F.broadcast(df) if is_small(df, most) else df
+
+
+def hot_keys(df: DataFrame, key: str, most: int = 1000) -> list:
+    """The keys that hold more than one in ``most`` rows each; so there are fewer than ``most``."""
+    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("rows"))
+    total = df.count()
+    return [r[0] for r in counts.where(F.col("rows") * most > max(total, 100 * most)).select(key).collect()]
+
+
+def lookup(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """rows, left-joined with table (one row for each key, of numbers). Hot keys, few by definition, are broadcast; null keys meet nothing."""
+    hot = hot_keys(rows, key)
+    if not hot:
+        return rows.join(table, key, "left")
+    often = F.coalesce(F.col(key).isin(hot), F.lit(True))  # null keys are spared the shuffle, too
+    return rows.where(~often).join(table, key, "left").unionByName(rows.where(often).join(F.broadcast(table.where(F.col(key).isin(hot))), key, "left"))
+
+
+def matching(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """An inner or left_semi join of rows with table (a bounded number of narrow rows for each key) that deals no hot key to one task."""
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("held")).where(F.col("held") > 1000)
+    total = rows.count()
+    hot = counts.where(F.col("held") * 1000 > total).select(*keys).collect()  # fewer than 1,000
+    if not hot:
+        return rows.join(table, keys, how)
+    named = F.broadcast(rows.sparkSession.createDataFrame(hot, rows.select(*keys).schema))
+    few = rows.join(named, keys, "left_anti").join(table, keys, how)
+    many = rows.join(named, keys, "left_semi").join(F.broadcast(table.join(named, keys, "left_semi")), keys, how)
+    return few.unionByName(many)
 
 
 def columns(df: DataFrame, *names: str) -> DataFrame:

@@ -10,7 +10,8 @@ names its package freshly at each attempt and returns the name, so packages of f
 
 Null html is an empty payload, a null url is ``urn:none``. A payload that several pages share (at least ``min_bytes``) is stored once, as the
 response of the largest page_id; the others are revisits. A page without an id is always a response. Rows that
-repeat a page_id with the same payload are all responses or all revisits.
+repeat a page_id with the same payload are all responses or all revisits. Very long pages are records like others. An empty table makes no package and gives an empty result. Other
+columns, whatever their names, take no part.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from winnow.llm import store
+from winnow.llm.words import blocks
 
 # Fixed values of the formats.
 LOCAL, CENTRAL, END, END64, LOCATOR64, DESCRIPTOR = 0x04034B50, 0x02014B50, 0x06054B50, 0x06064B50, 0x07064B50, 0x08074B50
@@ -89,7 +91,9 @@ def directory(file) -> dict[str, tuple[int, int]]:
     tail_at = max(0, total - (22 + FULL16 + 20))
     tail = file.read_at(total - tail_at, tail_at)
     at = tail.rfind(struct.pack("<I", END))
-    if at < 0 or len(tail) - at < 22:
+    while at >= 0 and (len(tail) - at < 22 or at + 22 + struct.unpack_from("<H", tail, at + 20)[0] != len(tail)):
+        at = tail.rfind(struct.pack("<I", END), 0, at)  # the signature stood in the comment, which must end the file
+    if at < 0:
         raise ValueError("no end of a central directory")
     _, _, _, _, count, size, start, _ = struct.unpack_from("<IHHHHIIH", tail, at)
     if at >= 20 and struct.unpack_from("<I", tail, at - 20)[0] == LOCATOR64:
@@ -154,13 +158,14 @@ def write_packages(pages: DataFrame, folder: str | None = None, *, min_bytes: in
     rows = pages.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").alias("url"), F.coalesce(F.col(f"`{html_col}`"), F.lit("")).alias("html"))
     rows = rows.withColumn("sha", F.sha1(F.col("html").cast("binary")))
     same = rows.where(F.octet_length("html") >= min_bytes).groupBy("sha").agg(F.count("*").alias("n"), F.max("id").alias("keeper")).where("n > 1 and keeper is not null").select("sha", "keeper")
-    rows = rows.join(store.small(store.saved(same, "shared")), "sha", "left")
+    shared = store.saved(same, "shared")
+    rows = rows.join(F.broadcast(shared), "sha", "left") if store.is_small(shared) else store.lookup(rows, shared, "sha")
     rows = rows.select("id", "url", "html", F.when(F.col("id") != F.col("keeper"), F.col("keeper")).alias("refers_to"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, zipped, entries, path = None, None, [], ""
         for batch in batches:
-            for row in batch.to_pylist():
+            for row, html in ((row, t) for a, b, texts in blocks(batch, "html") for row, t in zip(batch.select(["id", "url", "refers_to"]).slice(a, b - a).to_pylist(), texts, strict=True)):
                 if zipped is None:
                     path = f"{folder}/{uuid.uuid4().hex}.wacz"
                     system, local = _open(path)
@@ -168,7 +173,7 @@ def write_packages(pages: DataFrame, folder: str | None = None, *, min_bytes: in
                     out = system.open_output_stream(local)
                     zipped = ZipWriter(out, zip64)
                     zipped.begin(ARCHIVE)
-                raw = gzip.compress(record(row["id"], row["url"], row["html"].encode(), row["refers_to"]), 6, mtime=0)
+                raw = gzip.compress(record(row["id"], row["url"], html, row["refers_to"]), 6, mtime=0)
                 entries.append((zipped.members[-1][3], len(raw), row["id"]))
                 zipped.data(raw)
         if zipped is not None:
@@ -251,3 +256,13 @@ def read_packages(packages: DataFrame, *, read_bytes: int = 4 << 20) -> DataFram
 def op9_warc_zip(spark, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     return read_packages(write_packages(pages)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: Five hex digits of the SHA-1 are four base32 digits.
+_BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(h, {1 + 5 * i}, 5) AS BIGINT) >> {s}) & 31), 1)" for i in range(8) for s in (15, 10, 5, 0))
+ORACLE_SQL = f"""
+WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, lower(sha1(coalesce(html, ''))) AS h FROM pages),
+k AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS keeper FROM p)
+SELECT page_id, payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id <> keeper THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id <> keeper THEN keeper END AS refers_to FROM k
+"""

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _MULT = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INV = np.uint64(pow(int(_MULT), -1, 1 << 64))
@@ -19,7 +20,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _pow: list[np.ndarray] = []
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -57,15 +58,13 @@ def byte_codes(buf: np.ndarray) -> np.ndarray:
 
 def blocks(batch: pa.RecordBatch, name: str, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int, list[bytes]]]:
     """(first row, row after the last, texts in UTF-8) with about ``limit`` bytes at a time; null is empty."""
-    texts = [t or b"" for t in batch.column(name).cast(pa.large_binary()).to_pylist()]
-    at, size = 0, 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > limit:
-            yield at, i, texts[at:i]
-            at, size = i, 0
-        size += len(t)
-    if at < len(texts):
-        yield at, len(texts), texts[at:]
+    column = batch.column(name).cast(pa.large_binary())
+    size = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).cumsum()
+    at = 0
+    while at < len(column):
+        end = max(at + 1, int(np.searchsorted(size, limit + (int(size[at - 1]) if at else 0), side="right")))
+        yield at, end, [t or b"" for t in column.slice(at, end - at).to_pylist()]
+        at = end
 
 
 class Words:
