@@ -30,7 +30,7 @@ from winnow.llm.lattice import BLANK, LITERAL, Pieces, char_codes, default_model
 from winnow.llm.words import blocks, prefix_hash, span_hash
 
 
-BLOCK = 4 << 20
+BLOCK = 3 << 19
 CHANGES = pa.list_(pa.list_(pa.struct([("start", pa.int32()), ("size", pa.int32()), ("pieces", pa.list_(pa.int32()))])))
 
 
