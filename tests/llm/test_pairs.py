@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from winnow.llm import cap_dedup, kd_search, ngram_join
+from winnow.llm import cap_dedup, kd_search, ngram_join, store
 from winnow.llm.graph import components
 
 SF = "/root/testdata/sf0.001"
@@ -206,3 +206,27 @@ def test_caps_in_thousands_of_dimensions_and_one(spark):
     assert all(found[i] == (0, i, True) for i in range(5, 40))
     assert found[100] == (1, 100, True) and found[101] == (1, 100, False) and found[102] == (0, 102, True)
     assert cap_dedup.cap_near_duplicates(vectors(spark, rows).limit(0)).isEmpty()
+
+
+def test_hot_and_null_keys_of_joins(spark):
+    rows = spark.range(200_000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 7 WHEN id % 3 = 1 THEN id ELSE null END AS k")
+    table = spark.createDataFrame([(7, "hot"), (10, "ten"), (8, "none")], "k long, v string")
+    assert store.hot_keys(rows, "k") == [7]
+    found = {r.v: r["count"] for r in store.lookup(rows, table, "k").groupBy("v").count().collect()}
+    assert found == {"hot": 66_668, "ten": 1, None: 133_331}
+    assert store.matching(rows, table, ["k"]).count() == 66_669 == store.matching(rows, table, ["k"], "left_semi").count()
+    assert store.is_small(table) and not store.is_small(table, 100)
+
+
+def test_clusters_need_a_shared_folder():
+    class Context:
+        master, applicationId = "spark://host:7077", "app"
+
+    class Session:
+        sparkContext = Context
+        conf = {}
+
+    with pytest.raises(ValueError):
+        store.shared_dir(Session)
+    Session.conf = {"spark.checkpoint.dir": "hdfs://shared/"}
+    assert store.shared_dir(Session) == "hdfs://shared"
