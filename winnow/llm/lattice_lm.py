@@ -6,20 +6,22 @@ characters that no piece is), reached with the mass that the discount frees. The
 by a forward recursion in log space. A word starts with U+2581, so its first piece is drawn from the pieces that start with it, and
 the others from the rest together with "the word ends".
 
-Texts come from a few classes (by default the languages of the training texts). A class has word shares of its own and falls back to the
+Texts come from a few classes (by default the languages with ``class_share`` of the training texts or more each, hence at most 1 / class_share). A class has word shares of its own and falls back to the
 shares of all. The probability of a text is the sum over the classes, and over "no class", of their shares times the product of its
 words' probabilities; the class of the text to be scored is never looked at. All these are distributions, so the probabilities of
 all texts sum to one at most.
 
-Piece probabilities start from the vocabulary's scores (ranks, so p ~ 1 / (rank + 2)) and are re-estimated on the distinct
-words of the training texts by expectation maximisation: expected uses of each piece over all segmentations. The
-counts of words are gathered from the whole training part with one shuffle, by word.
+Piece probabilities are the vocabulary's scores (they are ranks, so p ~ 1 / (rank + 2)) as a prior, updated on the distinct
+words of the training texts by expectation maximisation: expected uses of each piece over all segmentations, and ``prior`` times as many pseudo-uses dealt by the vocabulary's
+probabilities. The counts of words are gathered from the whole training part with one shuffle, by word. The edge of a whole word is the vocabulary's extension to the words of the
+corpus; without it (``whole_words`` off) the vocabulary alone carries the score.
 
 The baseline is a smoothed word unigram model. Its counts of frequent words (more than one in ``frequent`` tokens, hence at most
 ``frequent`` words) go to every task; the others meet the texts by hash range and slice of the texts, as packed blocks. The counts of a range
 are repeated for each slice, so a group holds a bounded number of words and of tokens, whatever the vocabulary and the number of texts.
 
-Null and empty texts consist of the end alone. Rows with a null id are never trained on. Words are known by 64-bit hashes.
+Null and empty texts consist of the end alone; very long texts are scored as a whole. Rows with a null id are never trained on. Rows that repeat id and text get one score each, the same.
+Without training rows (or with an empty table, whose result is empty) the vocabulary alone is left. Other columns, whatever their names, take no part. Words are known by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ from winnow.llm import store
 from winnow.llm.lattice import BLANK, LITERAL, Pieces, char_codes, default_model, edges, groups, pieces
 from winnow.llm.words import Words, blocks, prefix_hash
 
-COUNT_BLOCK = 4 << 20
+COUNT_BLOCK = 2 << 20
 PACKED = ("words", "spelt", "rows", "each", "docs", "times")
 
 
@@ -129,19 +131,25 @@ class LatticeModel:
                     behind[row[first], e.s] = np.logaddexp.reduceat(val, first)
         return out
 
-    def updated(self, uses: np.ndarray, words: float) -> LatticeModel:
-        return self._normal(self.path, np.concatenate((uses, [words])) + 0.01)
+    def updated(self, uses: np.ndarray, words: float, prior: float) -> LatticeModel:
+        """Weights by expected uses and pseudo-uses, ``prior`` times as many, dealt as the vocabulary's scores say."""
+        w = np.concatenate((uses, [words]))
+        before = self.initial(self.path)
+        p = np.exp(np.concatenate((before.piece, before.byte, [before.end])))
+        return self._normal(self.path, w + prior * w.sum() * p / p.sum())
 
 
 class WordShare:
     """How a word's edge and its spelling share the probability, in each class and (last) in none."""
 
-    def __init__(self, tokens: int, distinct: int, by_class: list[tuple[int, int]], discount: float = 0.75):
-        self.tokens, self.discount, self.by_class = tokens, discount, by_class
+    def __init__(self, tokens: int, distinct: int, by_class: list[tuple[int, int]], discount: float = 0.75, whole_words: bool = True):
+        self.tokens, self.discount, self.by_class, self.whole_words = tokens, discount, by_class, whole_words
         self.free = discount * distinct / tokens if tokens else 1.0
 
     def logs(self, spelt: np.ndarray, c: np.ndarray, each: np.ndarray) -> list[np.ndarray]:
         """Base-10 logs of the words' probabilities. c: training counts, 0 if unknown; each: those by class. spelt: natural log of the spelling."""
+        if not self.whole_words:
+            return [spelt / math.log(10)] * (len(self.by_class) + 1)
         spelling = spelt / math.log(10) + math.log10(self.free)
         whole = np.log10(np.maximum(c - self.discount, 1e-300) / max(self.tokens, 1))
         general = np.where(c > 0, np.logaddexp(spelling * math.log(10), whole * math.log(10)) / math.log(10), spelling)
@@ -307,11 +315,11 @@ def _rare_scores(share: WordShare):
     return run
 
 
-def score_documents(docs: DataFrame, train_on: Column, id_col: str = "doc_id", text_col: str = "text", class_col: str | None = "lang", *, model: str | None = None, rounds: int = 1, frequent: int = 100_000, classes: int = 5, words_per_part: int = 400_000, tokens_per_slice: int = 2_000_000) -> DataFrame:
+def score_documents(docs: DataFrame, train_on: Column, id_col: str = "doc_id", text_col: str = "text", class_col: str | None = "lang", *, model: str | None = None, rounds: int = 1, prior: float = 0.1, whole_words: bool = True, frequent: int = 100_000, class_share: float = 0.02, words_per_part: int = 400_000, tokens_per_slice: int = 2_000_000) -> DataFrame:
     """(id_col, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row; logs are to base 10.
 
     train_on: condition on the rows to learn from. class_col: what divides the training texts into classes (null: nothing does); its
-    most frequent values become ``classes`` classes at most. rounds: of expectation maximisation. A group that meets the rare words' counts
+    values with ``class_share`` of the texts or more become classes. rounds: of expectation maximisation. prior: see above. whole_words: whether words have an edge of their own. A group that meets the rare words' counts
     holds about ``words_per_part`` words and ``tokens_per_slice`` tokens of texts (12 to 32 bytes each).
     """
     spark = docs.sparkSession
@@ -321,9 +329,9 @@ def score_documents(docs: DataFrame, train_on: Column, id_col: str = "doc_id", t
     rows = docs.select(F.xxhash64(F.col(f"`{id_col}`"), text).alias("row"), F.col(f"`{id_col}`").alias("id"), F.coalesce(~train_on, F.lit(True)).alias("held_out"), text.alias("text"), group.alias("group"))
     id_type = rows.schema["id"].dataType.simpleString()
     learn = rows.where("NOT held_out")
-    sizes = {r.group: r["count"] for r in learn.groupBy("group").count().orderBy(F.desc("count"), "group").limit(classes).collect()}
-    names = list(sizes) or [None]
     ends = learn.count()
+    sizes = {r.group: r["count"] for r in learn.groupBy("group").count().where(F.col("count") >= class_share * ends).orderBy("group").collect()}  # 1 / class_share at most
+    names = list(sizes) or [None]
     number = F.coalesce(*[F.when(F.col("group").eqNullSafe(g), k) for k, g in enumerate(names)], F.lit(len(names)))  # the last: none of them
     found = learn.select("text", number.alias("k")).mapInArrow(_counts, "h long, word binary, k int, n long")
     by = [F.coalesce(F.sum(F.when(F.col("k") == k, F.col("n"))), F.lit(0)).alias(f"c{k}") for k in range(len(names))]
@@ -332,7 +340,7 @@ def score_documents(docs: DataFrame, train_on: Column, id_col: str = "doc_id", t
     distinct, tokens, *totals = table.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0)), *per).first()
     n, v = tokens + ends, distinct + (1 if ends else 0)
     by_class = list(zip(totals[0::2], totals[1::2], strict=True))
-    share = WordShare(tokens, distinct, by_class)
+    share = WordShare(tokens, distinct, by_class, whole_words=whole_words)
 
     m = LatticeModel.initial(path)
     for _ in range(rounds if tokens else 0):
@@ -341,7 +349,7 @@ def score_documents(docs: DataFrame, train_on: Column, id_col: str = "doc_id", t
         total = np.zeros(len(m.piece) + 256)
         for r in uses.collect():  # one row for each piece of the vocabulary
             total[r.piece] = r.uses
-        m = m.updated(total, distinct)
+        m = m.updated(total, distinct, prior)
     held = spark.sparkContext.broadcast(m)
 
     every = [f"c{k}" for k in range(len(names))]

@@ -11,7 +11,8 @@ the best only in the N - 1 chunks with the smallest distances. For these, a back
 with the forward scores as exact heuristics, so that complete segmentations leave the queue in order of their scores. Equal scores go
 to the longer last piece, then to the earlier chunk. All N are returned: the best in full, the others as what they change in it.
 
-Null texts give null; empty texts give no pieces.
+Null texts give null; empty texts give no pieces. Very long texts are encoded as a whole, and repeated rows alike. An empty table gives an empty result. Columns named like a result
+are replaced; others, whatever their names, pass through encode().
 """
 
 from __future__ import annotations
