@@ -21,16 +21,17 @@ def batch_plan(members: DataFrame, removed: DataFrame | None = None) -> DataFram
     """
     left = members.where("name IS NOT NULL")
     left = left if removed is None else active(left, removed)
+    total = left.count()
     if not {"content", "sha256"} & set(members.columns):
         groups = left.groupBy(*QUICK).agg(F.count("*").alias("n"), F.min("full_path").alias("reference_path")).where("n > 1")
-        rows = _met(left.select("full_path", *QUICK), groups).where("group IS NOT NULL").withColumn("reference_path", F.col("group.reference_path"))
+        rows = _met(left.select("full_path", *QUICK), groups, total).where("group IS NOT NULL").withColumn("reference_path", F.col("group.reference_path"))
         judged = with_file_verdict(rows.select("full_path", "name", "size_bytes", "reference_path"))
         action = F.when(F.col("full_path") == F.col("reference_path"), "keep").when(F.col("identical"), "remove").otherwise("skip")
         return judged.withColumn("action", action).drop("identical")
     sha256 = F.col("sha256") if "sha256" in members.columns else content_digest(F.col("content"))
     left = left.select("full_path", *QUICK, sha256.alias("sha256"))
     groups = left.groupBy(*QUICK).agg(F.count("*").alias("n"), F.min(F.struct("full_path", "sha256")).alias("first")).where("n > 1")
-    rows = _met(left, groups).where("group IS NOT NULL")
+    rows = _met(left, groups, total).where("group IS NOT NULL")
     first = F.col("group.first")
     same = F.coalesce(F.col("sha256") == first["sha256"], F.lit(False))
     action = F.when(F.col("full_path") == first["full_path"], "keep").when(same, "remove").otherwise("skip")
@@ -86,15 +87,14 @@ def request_plan(members: DataFrame, requests: DataFrame, removed: DataFrame | N
     return rows.select("full_path", "name", "size_bytes", F.col("ref.full_path").alias("reference_path"), outcome.alias("outcome"))
 
 
-def _met(rows: DataFrame, groups: DataFrame) -> DataFrame:
+def _met(rows: DataFrame, groups: DataFrame, total: int) -> DataFrame:
     """rows with the struct ``group`` of the one row of groups (name, size_bytes, n, ..) that has their key, else null.
 
-    Groups with more than a 2,000th of all members, so fewer than 2,000 of them, are broadcast; their rows are not dealt by group.
+    Groups with more than a 2,000th of all ``total`` members, so fewer than 2,000 of them, are broadcast; their rows are not dealt by group.
     """
     what = F.struct(*[c for c in groups.columns if c not in QUICK])
-    marked = groups.join(F.broadcast(groups.agg(F.sum("n").alias("total"))))
-    large = marked.where("n * 2000 > total").select(*QUICK, what.alias("large"))
-    other = marked.where("n * 2000 <= total").select(F.col("name").alias("spread"), "size_bytes", what.alias("other"))
+    large = groups.where(F.col("n") * 2000 > total).select(*QUICK, what.alias("large"))
+    other = groups.where(F.col("n") * 2000 <= total).select(F.col("name").alias("spread"), "size_bytes", what.alias("other"))
     out = rows.join(F.broadcast(large), list(QUICK), "left")
     out = out.withColumn("spread", F.when(F.col("large").isNotNull(), F.col("full_path")).otherwise(F.col("name")))
     return out.join(other, ["spread", "size_bytes"], "left").withColumn("group", F.coalesce("large", "other")).drop("spread", "large", "other")
@@ -108,6 +108,7 @@ def request_plan_ordered(members: DataFrame, requests: DataFrame, removed: DataF
     another digest. While two of them are left, each of them finds an equal reference, as every later copy always does. So all copies go when they are
     first asked for, except the leading one that is asked for last if all leading ones are. Requests of equal seq follow the order of their paths.
     """
+    total = members.count()
     marked = members.select("full_path", *QUICK, "sha256").where("name IS NOT NULL AND size_bytes IS NOT NULL")
     marked = marked.groupBy("full_path", *QUICK).agg(F.min("sha256").alias("sha256"))
     gone = (removed if removed is not None else members.limit(0)).select("full_path").distinct().withColumn("gone", F.lit(True))
@@ -123,11 +124,11 @@ def request_plan_ordered(members: DataFrame, requests: DataFrame, removed: DataF
     heads = heads.agg(F.max(F.when(F.col("place") == 1, F.struct("sha256"))).alias("head"), F.max(F.when(F.col("place") == 2, F.col("path"))).alias("differing"))
     heads = heads.join(firsts.groupBy(*QUICK).agg(F.sum("n").alias("n")), list(QUICK))
     leading = F.coalesce((F.col("sha256") == F.col("group.head.sha256")) & (F.col("group.differing").isNull() | (F.col("full_path") < F.col("group.differing"))), F.lit(False))
-    counted = _met(left, heads).withColumn("leading", leading).groupBy(*QUICK)
+    counted = _met(left, heads, total).withColumn("leading", leading).groupBy(*QUICK)
     last = F.max(F.when(F.col("leading"), F.struct("first_seq", "full_path")))
     counted = counted.agg(F.max("group.n").alias("n"), F.max("group.head").alias("head"), F.max("group.differing").alias("differing"), last.alias("last"), F.count_if(F.col("leading") & F.col("first_seq").isNull()).alias("unasked"))
 
-    rows = _met(marked.where("first_seq IS NOT NULL").join(asked, "full_path"), counted)
+    rows = _met(marked.where("first_seq IS NOT NULL").join(asked, "full_path"), counted, total)
     group = F.col("group")
     stays = (group["unasked"] == 0) & (group["last"]["full_path"] == F.col("full_path"))
     rows = rows.withColumn("again", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))

@@ -126,9 +126,14 @@ def any_removable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.any_removable(_with_remaining(spark, sf_dir))
 
 
-def _plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _digested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members with digests made before anything is shuffled, so that no content is."""
     docs = _documents(spark, sf_dir)
-    return plan.batch_plan(_members(docs.withColumn("sha256", scalars.content_digest(F.col("content"))).drop("content")))  # digests are shuffled, not contents
+    return _members(docs.withColumn("sha256", scalars.content_digest(F.col("content"))).drop("content"))
+
+
+def _plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plan.batch_plan(_digested(spark, sf_dir))
 
 
 def batch_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,10 +150,6 @@ def lost_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.lost_groups(_members(docs), plan.removals(_plan(spark, sf_dir))).agg(F.count("*").alias("lost"))
 
 
-def _digested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return g.with_digest(_documents(spark, sf_dir))
-
-
 def request_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One request for each quick group (its last member) and one for a path of no group, after every seventh document went."""
     members = _digested(spark, sf_dir)
