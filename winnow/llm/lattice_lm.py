@@ -78,7 +78,7 @@ class LatticeModel:
         p = pieces(self.path)
         points, start, length = _word_points(words)
         prefix = prefix_hash(char_codes(points))
-        for rows in groups(length, 2_000_000):
+        for rows in groups(length, 300_000):
             found = edges(p, prefix, points, start[rows], length[rows])
             weights = []
             for e in found:
@@ -206,8 +206,8 @@ def _expected(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, total = model.value, None
         for whole in batches:
-            for at in range(0, whole.num_rows, 100_000):
-                batch = whole.slice(at, 100_000)
+            for at in range(0, whole.num_rows, 20_000):
+                batch = whole.slice(at, 20_000)
                 found = m.expected(batch.column("word").to_pylist())
                 total = found if total is None else total + found
         if total is not None:
