@@ -38,7 +38,7 @@ from winnow.llm import store
 from winnow.llm.lattice import BLANK, LITERAL, Pieces, char_codes, default_model, edges, groups, pieces
 from winnow.llm.words import Words, blocks, prefix_hash
 
-COUNT_BLOCK = 2 << 20
+COUNT_BLOCK = 1 << 20
 PACKED = ("words", "spelt", "rows", "each", "docs", "times")
 
 
