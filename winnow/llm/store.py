@@ -69,25 +69,32 @@ def hot_keys(df: DataFrame, key: str, most: int = 1000) -> list:
 
 
 def lookup(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
-    """rows, left-joined with table (one row for each key, of numbers). Hot keys, few by definition, are broadcast; null keys meet nothing."""
+    """rows, left-joined with table (one row for each key, of numbers). Hot keys, few by definition, are broadcast; null keys meet nothing and are not shuffled."""
     hot = hot_keys(rows, key)
-    if not hot:
+    if not hot and rows.where(F.col(key).isNull()).isEmpty():
         return rows.join(table, key, "left")
-    often = F.coalesce(F.col(key).isin(hot), F.lit(True))  # null keys are spared the shuffle, too
-    return rows.where(~often).join(table, key, "left").unionByName(rows.where(often).join(F.broadcast(table.where(F.col(key).isin(hot))), key, "left"))
+    at_once = F.col(key).isNull() | F.col(key).isin(hot) if hot else F.col(key).isNull()
+    some = table.where(F.col(key).isin(hot)) if hot else table.where(F.lit(False))
+    return rows.where(~at_once).join(table, key, "left").unionByName(rows.where(at_once).join(F.broadcast(some), key, "left"))
+
 
+def matching(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows that table (one narrow row for each key) has the key of, with its other columns as struct ``met``. The first key is a long.
 
-def matching(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """An inner or left_semi join of rows with table (a bounded number of narrow rows for each key) that deals no hot key to one task."""
+    Hot keys, fewer than a thousand, meet their rows by broadcast, and these rows are dealt at random in the shuffled join of the others.
+    """
+    value = F.struct(F.lit(True).alias("hit"), *[c for c in table.columns if c not in keys])
+    name = F.xxhash64(*keys)
     counts = rows.groupBy(*keys).agg(F.count("*").alias("held")).where(F.col("held") > 1000)
     total = rows.count()
-    hot = counts.where(F.col("held") * 1000 > total).select(*keys).collect()  # fewer than 1,000
+    hot = [r[0] for r in counts.where(F.col("held") * 1000 > total).select(name).collect()]
     if not hot:
-        return rows.join(table, keys, how)
-    named = F.broadcast(rows.sparkSession.createDataFrame(hot, rows.select(*keys).schema))
-    few = rows.join(named, keys, "left_anti").join(table, keys, how)
-    many = rows.join(named, keys, "left_semi").join(F.broadcast(table.join(named, keys, "left_semi")), keys, how)
-    return few.unionByName(many)
+        return rows.join(table.select(*keys, value.alias("met")), keys)
+    large = F.broadcast(table.where(name.isin(hot)).select(*keys, value.alias("large")))
+    other = table.where(~name.isin(hot)).select(F.col(keys[0]).alias("spread"), *keys[1:], value.alias("other"))
+    out = rows.join(large, keys, "left").withColumn("spread", F.when(name.isin(hot), F.xxhash64(*rows.columns)).otherwise(F.col(keys[0])))
+    out = out.join(other, ["spread", *keys[1:]], "left").withColumn("met", F.when(name.isin(hot), F.col("large")).otherwise(F.col("other")))
+    return out.where("met IS NOT NULL").select(*rows.columns, "met")
 
 
 def columns(df: DataFrame, *names: str) -> DataFrame:

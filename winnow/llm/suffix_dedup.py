@@ -7,37 +7,42 @@ of equals). Equal windows have their anchor at the same place, so every repeated
 small part of the positions. An anchor has two entries, each a pointer (row, position) to a core of ``length`` / 2 bytes with a hash of
 it as the key: the core that starts at the anchor, and the one that ends there. A repeated window shares one of them with its
 twin and reaches x bytes before the core and ``length`` / 2 - x bytes behind it. ``around`` is a hash of all bytes
-that such windows can have.
+that such windows can have. An array is sorted by key, so suffixes that begin with the same core stand together, as those with equal prefixes do in any suffix order.
 
-Index family. Texts come in batches. A new batch's keys are merge-scanned against every level for keys that occur twice; the batch then
-becomes a level, and levels of equal size merge, so there are logarithmically many. Levels are saved tables.
+Index family. Texts come in batches. A new batch gets its sorted array, a table in buckets of the key, and is merge-scanned against itself and the arrays of all
+levels, bucket by bucket: entries whose core stands on both sides are matches of at least ``length`` / 2 bytes and go to the candidates. Then the batch becomes a level, and levels of
+equal size merge, so there are logarithmically many.
 
-Matches. Entries whose keys repeat are collected. Entries with equal surroundings repeat as a whole. Of each key with different surroundings
+Matches. Entries with equal surroundings repeat as a whole. Of each key with different surroundings
 one entry for each kind fetches its bytes around the core; the kinds are sorted by the bytes behind the core (a suffix array) and by those
 before it, read backwards, with the lengths of common prefixes of neighbours. For each x, entries repeat when they share both
 the class of the bytes behind and the class of the x bytes before. A key with more than ``crowd`` kinds (a phrase in very many
 contexts) is not gathered: each of its windows becomes a hash, and the hashes are counted by a plain aggregation.
 
-Null texts are empty. Texts shorter than ``length`` lose nothing. Repeated rows repeat each other.
+Null texts are empty. Texts shorter than ``length`` lose nothing. Very long texts go through in overlapping segments. Repeated rows repeat each other; rows that repeat id and
+text are texts of their own. A null id is an id like others. An empty table gives an empty result. Other columns, whatever their names, take no part.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from winnow.llm import store
 from winnow.llm.vectors import runs
-from winnow.llm.words import BLOCK_BYTES, blocks, byte_codes, mix, prefix_hash, span_hash
+from winnow.llm.words import BLOCK_BYTES, Words, blocks, byte_codes, mix, prefix_hash, span_hash
 
 GRAM = 32
 _PLACE = np.uint64((1 << 24) - 1)
-SEGMENT = 8 << 20
+SEGMENT = 2 << 20
+BUCKET_ROWS = 500_000
 
 
 def _pieces(text: bytes, length: int, size: int) -> Iterator[tuple[int, bytes, int, int]]:
@@ -126,42 +131,58 @@ def _spans(parts: list[bytes], limit: int) -> Iterator[tuple[int, int]]:
 
 
 class SuffixFamily:
-    """The levels of the index: tables (key, n), and the entries of all batches."""
-
-    def __init__(self, length: int):
-        self.length = length
-        self.levels: list[tuple[int, DataFrame]] = []
-        self.entries: list[DataFrame] = []
-        self.repeated: list[DataFrame] = []
-
-    def add(self, texts: DataFrame) -> None:
-        """texts (row, text): scans a new batch against itself and all levels, then keeps it as a level."""
-        entries = texts.mapInArrow(_entries(self.length), "key long, around long, row long, pos long")
-        entries = store.saved(entries, "suffixes")
-        self.entries.append(entries)
-        new = store.saved(entries.groupBy("key").agg(F.count("*").alias("n")), "level")
+    """The sorted arrays of the levels, as (batches in it, table), and the matched entries of each scan."""
+
+    KIND = "key long, around long, row long, pos long"
+
+    def __init__(self, spark: SparkSession, buckets: int):
+        self.spark, self.buckets = spark, buckets
+        self.levels: list[tuple[int, str]] = []
+        self.matched: list[DataFrame] = []
+        self._all: list[str] = []
+
+    def _array(self, entries: DataFrame) -> str:
+        """Entries as a table of ``buckets`` buckets, sorted by key: what meets it by key needs no shuffle of it."""
+        name = f"winnow_suffixes_{uuid.uuid4().hex}"
+        path = store.new_path(self.spark, "level")
+        entries.repartition(self.buckets, "key").write.bucketBy(self.buckets, "key").sortBy("key").option("path", path).saveAsTable(name)
+        self._all.append(name)
+        return name
+
+    def _drop(self, name: str) -> None:
+        store.forget(self.spark.table(name))
+        self.spark.sql(f"DROP TABLE {name}")
+        self._all.remove(name)
+
+    def add(self, entries: DataFrame) -> None:
+        """entries (key, around, row, pos) of a new batch: scans it against itself and all levels, then keeps it as a level."""
         self._merge()
-        self.repeated.append(store.saved(new.where("n > 1").select("key"), "repeated"))
-        for _, level in self.levels:
-            self.repeated.append(store.saved(new.join(level.select("key"), "key").select("key"), "repeated"))
+        new = self._array(entries)
+        batch = self.spark.table(new)
+        twice = batch.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+        found = batch.join(twice, "key", "left_semi")
+        for _, name in self.levels:
+            level = self.spark.table(name)
+            found = found.unionByName(batch.join(level.select("key"), "key", "left_semi")).unionByName(level.join(batch.select("key"), "key", "left_semi"))
+        self.matched.append(store.saved(found, "matched"))
         self.levels.append((1, new))
 
     def _merge(self) -> None:
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
             (a, one), (b, two) = self.levels.pop(), self.levels.pop()
-            both = store.saved(one.unionByName(two).groupBy("key").agg(F.sum("n").alias("n")), "level")
-            store.forget(one)
-            store.forget(two)
-            self.levels.append((a + b, both))
+            self.levels.append((a + b, self._array(self.spark.table(one).unionByName(self.spark.table(two)))))
+            self._drop(one)
+            self._drop(two)
 
     def candidates(self) -> DataFrame:
-        """The entries whose key occurs twice or more."""
-        keys, entries = self.repeated[0], self.entries[0]
-        for k in self.repeated[1:]:
-            keys = keys.unionByName(k)
-        for e in self.entries[1:]:
-            entries = entries.unionByName(e)
-        return store.saved(entries.join(keys.distinct(), "key", "left_semi"), "candidates")
+        """The distinct entries whose core stands in two places or more."""
+        return store.saved(reduce(DataFrame.unionByName, self.matched).repartition("key", "row").dropDuplicates(["key", "row", "pos"]), "candidates")
+
+    def close(self) -> None:
+        for name in list(self._all):
+            self._drop(name)
+        for found in self.matched:
+            store.forget(found)
 
 
 def _surroundings(length: int):
@@ -303,11 +324,11 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 kept = b"".join(text[i:j] for i, j in zip([0, *[m[1] for m in merged]], [*[m[0] for m in merged], len(text)], strict=True))
                 out.append((len(text), len(text) - len(kept), merged, kept))
             kinds = [("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("removed", pa.list_(pa.list_(pa.int64()))), ("kept", pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), *[pa.array([o[i] for o in out], k) for i, (_, k) in enumerate(kinds)]], ["id", *[k for k, _ in kinds]])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(a, b - a) for c in ("id", "row")], *[pa.array([o[i] for o in out], k) for i, (_, k) in enumerate(kinds)]], ["id", "row", *[k for k, _ in kinds]])
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, length: int = 400, batches: int = 4, crowd: int = 100_000) -> DataFrame:
-    """(id_col, n_bytes, n_removed, removed, kept) for every row; removed: the maximal runs [first byte, byte after], kept: the bytes left.
+    """(id_col, row, n_bytes, n_removed, removed, kept) for every row; removed: the maximal runs [first byte, byte after], kept: the bytes left; row: a hash of the id and the text.
 
     batches: the texts come to the index in so many parts.
     """
@@ -315,12 +336,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text = F.col(f"`{text_col}`")
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{id_col}`"), text).alias("row"), text.alias("text"))
     long = rows.where(F.octet_length("text") >= length)
-    family = SuffixFamily(length)
+    entries = store.saved(long.select("row", "text").mapInArrow(_entries(length), SuffixFamily.KIND), "entries")
+    family = SuffixFamily(spark, min(50_000, entries.count() // BUCKET_ROWS + 1))
     for i in range(batches):
-        family.add(long.where(F.pmod("row", F.lit(batches)) == i).select("row", "text"))
+        family.add(entries.where(F.pmod("row", F.lit(batches)) == i))
+    copies = long.groupBy("row").agg(F.count("*").alias("copies")).where("copies > 1")
     cand = family.candidates()
-
-    kinds = cand.groupBy("key", "around").agg(F.count("*").alias("times"), F.min(F.struct("row", "pos")).alias("one"))
+    store.forget(entries)
+    family.close()
+
+    if not copies.isEmpty():  # rows that repeat id and text
+        cand = store.saved(cand.join(copies, "row", "left").select("key", "around", "row", "pos", F.coalesce("copies", F.lit(1)).cast("long").alias("copies")), "candidates")
+    else:
+        cand = cand.withColumn("copies", F.lit(1).cast("long"))
+    kinds = cand.groupBy("key", "around").agg(F.sum("copies").alias("times"), F.min(F.struct("row", "pos")).alias("one"))
     kinds = store.saved(kinds.select("key", "around", "times", "one.row", "one.pos"), "kinds")
     number = store.saved(kinds.groupBy("key").agg(F.count("*").alias("kinds"), F.max("times").alias("most")), "numbers")
     fetch = kinds.join(number.where("kinds > 1").select("key", "kinds"), "key")
@@ -342,20 +371,61 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         spans = spans.unionByName(wide.select("key", "around", (-F.col("r.b")).alias("from"), (F.lit(length) - F.col("r.a")).alias("to")))
     # one kind, several times: every window around the core repeats
     alone = number.where("kinds = 1 and most > 1").select("key")
-    spans = store.saved(spans, "matches")
-    found = cand.join(spans, ["key", "around"]).select("row", (F.col("pos") + F.col("from")).alias("from"), (F.col("pos") + F.col("to")).alias("to"))
+    spans = store.saved(spans.groupBy("key", "around").agg(F.collect_list(F.struct("from", "to")).alias("spans")), "matches")
+    found = store.matching(cand, spans, ["key", "around"]).select("row", "pos", F.explode("met.spans").alias("s"))
+    found = found.select("row", (F.col("pos") + F.col("s.from")).alias("from"), (F.col("pos") + F.col("s.to")).alias("to"))
     before, behind = (F.when(F.col("key").bitwiseAND(1) == 0, _reach(0, length)[i]).otherwise(_reach(1, length)[i]) for i in (1, 0))
-    wide = cand.join(alone, "key", "left_semi")
+    wide = store.matching(cand, alone, ["key"])
     wide = wide.select("row", F.greatest(F.col("pos") - before, F.lit(0)).alias("from"), (F.col("pos") + length - behind).alias("to"))
-    spans = found.unionByName(wide).groupBy("row").agg(F.collect_set(F.struct("from", "to")).alias("spans"))
-    spans = store.saved(spans, "spans")
-    joined = rows.join(spans, "row", "left").select("id", "text", "spans")
+    spans = store.saved(found.unionByName(wide).groupBy("row").agg(F.collect_set(F.struct("from", "to")).alias("spans")), "spans")
+    joined = rows.join(spans, "row", "left").select("id", "row", "text", "spans")
     id_type = rows.schema["id"].dataType.simpleString()
-    out = joined.mapInArrow(_cut, f"id {id_type}, n_bytes long, n_removed long, removed array<array<long>>, kept binary")
+    out = joined.mapInArrow(_cut, f"id {id_type}, row long, n_bytes long, n_removed long, removed array<array<long>>, kept binary")
     return out.withColumnRenamed("id", id_col)
 
 
+def _sampled_grams(gram: int):
+    """(row, text) -> (gram, row): of each window of ``gram`` strings of ``gram`` words the one with the smallest hash, each once in a text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, texts in blocks(batch, "text"):
+                words = Words(texts)
+                n = len(words.hash) - gram + 1
+                if n < gram:
+                    continue
+                at = np.arange(n)
+                hashes = span_hash(prefix_hash(mix(words.hash)), at, at + gram)
+                least, done = hashes, 1
+                while done < gram:
+                    step = min(done, gram - done)
+                    least = np.minimum(least[:-step], least[step:])
+                    done += step
+                doc = words.doc[: len(least)]
+                inside = doc == words.doc[2 * gram - 2 :]
+                doc, least = doc[inside], least[inside]
+                new = np.ones(len(doc), bool)
+                new[1:] = (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])
+                row = batch.column("row").to_numpy()[a:b][doc[new]]
+                yield pa.RecordBatch.from_arrays([pa.array(least[new].view(np.int64)), pa.array(row)], ["gram", "row"])
+
+    return run
+
+
+def shared_passages(texts: DataFrame, words: int = 51) -> DataFrame:
+    """texts (row, text) -> (row, n_passages): sampled strings of (words + 1) / 2 words that stand in other texts, too.
+
+    The sample holds one string at least of every passage of ``words`` words or more, so each text that shares such a passage with another one is in the result, also where
+    the passage has fewer bytes than remove_repeats asks for. Texts without shared strings are not in it.
+    """
+    grams = store.saved(texts.mapInArrow(_sampled_grams((words + 1) // 2), "gram long, row long"), "grams")
+    shared = grams.groupBy("gram").agg(F.min("row").alias("one"), F.max("row").alias("two")).where("one <> two").select("gram")
+    return store.matching(grams, shared, ["gram"]).groupBy("row").agg(F.count_distinct("gram").alias("n_passages"))
+
+
 def op5_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = remove_repeats(docs)
-    return out.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    out = out.select("doc_id", "row", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    passages = store.saved(shared_passages(docs.select(F.xxhash64("doc_id", "text").alias("row"), "text")), "passages")
+    return out.join(passages, "row", "left").drop("row").withColumn("n_passages", F.coalesce("n_passages", F.lit(0)))
