@@ -141,7 +141,7 @@ class Model:
         return sigmoid(total + self.intercept)
 
 
-def train(docs: DataFrame, labels: DataFrame, *, usable: Column | None = None, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", train_rows: int = 12_000, bits: int = 20, rounds: int = 3, passes: int = 1, shard_rows: int = 6_000, alpha: float = 1.0, beta: float = 1.0, l1: float = 8.0, l2: float = 0.1) -> Model:
+def train(docs: DataFrame, labels: DataFrame, *, usable: Column | None = None, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", train_rows: int = 12_000, bits: int = 20, rounds: int = 4, passes: int = 1, shard_rows: int = 1_500, alpha: float = 1.0, beta: float = 1.0, l1: float = 8.0, l2: float = 0.1) -> Model:
     """Fits on at most about ``train_rows`` of the labelled rows whose id meets ``usable`` (a condition on the id column)."""
     spark = docs.sparkSession
     named = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("label")).where("id is not null and label is not null")
