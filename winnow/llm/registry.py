@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from winnow.llm import cap_dedup, kd_search, lattice_lm, line_dedup, mixing, nbest_pieces, ngram_join, suffix_dedup, toxicity, warc_zip
+from winnow.llm import cap_dedup, kd_search, lattice_lm, line_dedup, mixing, nbest_pieces, ngram_join, suffix_dedup, token_align, toxicity, warc_zip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lattice_lm": lattice_lm.op8_lattice_lm,
     "op9_warc_zip": warc_zip.op9_warc_zip,
     "op10_nbest_pieces": nbest_pieces.op10_nbest_pieces,
+    "op11_token_align": token_align.op11_token_align,
 }
 
 ORACLE_SQL: dict[str, str] = {
