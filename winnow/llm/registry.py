@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from winnow.llm import cap_dedup, kd_search, lattice_lm, line_dedup, mixing, nbest_pieces, ngram_join, suffix_dedup, token_align, toxicity, warc_zip
+from winnow.llm import cap_dedup, kd_search, language_id, lattice_lm, line_dedup, mixing, nbest_pieces, ngram_join, suffix_dedup, token_align, toxicity, warc_zip, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
@@ -20,6 +20,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc_zip": warc_zip.op9_warc_zip,
     "op10_nbest_pieces": nbest_pieces.op10_nbest_pieces,
     "op11_token_align": token_align.op11_token_align,
+    "op12_whitening": whitening.op12_whitening,
+    "op13_language_id": language_id.op13_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {
