@@ -194,14 +194,13 @@ def whitened(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "e
     """(id, component, n, deviation, whitened, explained, identity_error) for each vector that takes part and each component from 1."""
     spark = vectors.sparkSession
     rows = store.columns(vectors, id_col, vector_col)
-    names = "component int, n long, deviation long, whitened double, explained double, identity_error double"
+    schema = T.StructType([rows.schema[id_col], T.StructField("deviation", T.LongType()), T.StructField("white", T.ArrayType(T.DoubleType()))])
     f = fit(rows, vector_col, components)
     if f is None:
-        schema = T.StructType([rows.schema[id_col], *T._parse_datatype_string(names).fields])
-        return spark.createDataFrame([], schema)
-    positive = f.values > max(f.trace, 0) * len(f.sums) * np.finfo(float).eps
-    schema = T.StructType([rows.schema[id_col], T.StructField("deviation", T.LongType()), T.StructField("white", T.ArrayType(T.DoubleType()))])
-    table = store.saved(rows.mapInArrow(_projected(f, vector_col, positive), schema), "white")
+        f, positive, table = Fit(0, [], np.zeros(0), np.zeros((0, 0)), 0.0), np.zeros(0, bool), spark.createDataFrame([], schema)
+    else:
+        positive = f.values > max(f.trace, 0) * len(f.sums) * np.finfo(float).eps
+        table = store.saved(rows.mapInArrow(_projected(f, vector_col, positive), schema), "white")
     k = int(positive.sum())
     error = None
     if k:
@@ -209,7 +208,7 @@ def whitened(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "e
         pairs = [(i, j) for i in range(k) for j in range(i, k)]
         found = table.agg(*[F.covar_pop(F.col("white")[i], F.col("white")[j]) for i, j in pairs]).first()
         error = max(abs(c - (i == j)) for c, (i, j) in zip(found, pairs, strict=True))
-    explained = F.array(*[F.lit(float(e / f.trace) if p else 0.0) for e, p in zip(f.values, positive, strict=True)])
+    explained = F.array(*[F.lit(float(e / f.trace) if p else 0.0) for e, p in zip(f.values, positive, strict=True)]).cast("array<double>")
     place = F.explode(F.sequence(F.lit(0), F.lit(len(f.values) - 1))).alias("place")
     out = table.select(id_col, "deviation", "white", place)
     return out.select(id_col, (F.col("place") + 1).alias("component"), F.lit(f.n).cast("long").alias("n"), "deviation", F.get("white", F.col("place")).alias("whitened"), F.get(explained, F.col("place")).alias("explained"), F.lit(error).cast("double").alias("identity_error"))
