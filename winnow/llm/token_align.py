@@ -35,8 +35,8 @@ from winnow.llm import store
 from winnow.llm.nbest_pieces import ragged
 from winnow.llm.words import blocks, byte_codes, prefix_hash, span_hash
 
-BLOCK = 1 << 21
-REMEMBERED, REMEMBERED_BYTES = 200_000, 1 << 24  # chunks and their bytes, and as many windows, for each worker
+BLOCK = 1 << 20
+REMEMBERED, REMEMBERED_BYTES = 120_000, 1 << 24  # chunks and their bytes, and as many windows, for each worker
 FREQUENT = 1_000_000
 _LONG = 50_000  # bytes of a chunk from which A's own library takes over, whose time grows with the length only
 
@@ -111,10 +111,8 @@ class Tokenizers:
     def __init__(self, a_path: str, b_path: str):
         import sentencepiece
         import tiktoken
-        import tokenizers
 
-        self.a_own = tokenizers.Tokenizer.from_file(a_path)
-        self.a_own.encode_special_tokens = True
+        self.a_path = a_path
         with open(a_path, encoding="utf-8") as f:
             model = json.load(f)["model"]
         back, vocab = byte_level(), model["vocab"]
@@ -140,6 +138,15 @@ class Tokenizers:
         self.digits, self.digit_end = np.frombuffer(b"".join(decimal), np.uint8), np.cumsum([0, *map(len, decimal)])
         self.forget()
 
+    @functools.cached_property
+    def a_own(self):
+        """A's own library, which takes more memory and time."""
+        import tokenizers
+
+        own = tokenizers.Tokenizer.from_file(self.a_path)
+        own.encode_special_tokens = True
+        return own
+
     def forget(self) -> None:
         self.chunk: dict[bytes, int] = {}
         self.held = 0
