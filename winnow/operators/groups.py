@@ -7,23 +7,33 @@ group.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import unicodedata
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from winnow.functions.scalars import content_digest
 from winnow.operators.digest import with_file_digest
+from winnow.sources import shared
 
+FILTER_BITS = 1 << 26  # 8 MB in words of 64 bits, a broadcast of fixed size
 QUICK = ("name", "size_bytes")
 DEEP = ("name", "size_bytes", "sha256")
 
 
+@F.pandas_udf(T.StringType())
+def _decomposed(name: pd.Series) -> pd.Series:
+    return name.map(lambda n: None if n is None else n if n.isascii() else unicodedata.normalize("NFD", n))
+
+
 def canonical_names(inventory: DataFrame) -> DataFrame:
-    """Gives names that are canonically equal in Unicode one spelling (the smallest), as column name; paths stay as they are."""
-    spelling = inventory.select("name").distinct().withColumn("key", F.collate("name", "UNICODE"))
-    first = spelling.groupBy("key").agg(F.min(F.col("name")).alias("one"), F.count("*").alias("spellings")).where("spellings > 1")
-    table = spelling.join(first, "key").select("name", F.col("one").cast("string").alias("one")).where("name <> one")
-    joined = inventory.join(table, "name", "left")
-    return joined.select(*[F.coalesce("one", "name").alias("name") if c == "name" else F.col(f"`{c}`") for c in inventory.columns])
+    """Gives names that are canonically equal in Unicode one spelling, the decomposed one (NFD), as column name; paths stay as they are.
+
+    That spelling is the key to group and join by: it follows from the name alone, so no names meet each other, and a very frequent one costs nothing.
+    """
+    return inventory.withColumn("name", _decomposed("name"))
 
 
 def quick_groups(inventory: DataFrame) -> DataFrame:
@@ -32,18 +42,77 @@ def quick_groups(inventory: DataFrame) -> DataFrame:
     return files.groupBy(*QUICK).agg(F.count("*").alias("copies"), F.min("full_path").alias("first_path")).where("copies > 1")
 
 
+def key_filter(keys: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """A Bloom filter of (name, size_bytes) keys as a table (word, set): the 64-bit words that have a bit set. At most bits / 64 rows, whatever the number of keys."""
+    places = keys.select(F.explode(F.array(*_places(bits))).alias("place"))
+    return places.groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(_bit(F.col("place"))).alias("set"))
+
+
+def maybe_in(rows: DataFrame, table: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """The rows whose (name, size_bytes) may be in the filter, none that is in it left out; nothing is shuffled, as the filter goes to every task."""
+    out = rows
+    for i, place in enumerate(_places(bits)):
+        one = table.select(F.col("word").alias(f"filter_word_{i}"), F.col("set").alias(f"filter_set_{i}"))
+        out = out.join(F.broadcast(one), F.shiftright(place, 6) == F.col(f"filter_word_{i}")).where(F.col(f"filter_set_{i}").bitwiseAND(_bit(place)) != 0)
+    return out.select(*[F.col(f"`{c}`") for c in rows.columns])
+
+
+def _places(bits: int) -> list[Column]:
+    return [F.pmod(F.xxhash64(F.lit(i), "name", "size_bytes"), F.lit(bits)) for i in range(2)]
+
+
+def _bit(place: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))
+
+
 def with_digest(inventory: DataFrame) -> DataFrame:
-    """The files of quick groups with their sha256; only these are digested. Unreadable content stays null."""
-    candidates = inventory.where(~F.col("is_dir")).join(quick_groups(inventory).select(*QUICK), list(QUICK), "left_semi")
-    if "content" in inventory.columns:
-        return candidates.withColumn("sha256", content_digest(F.col("content")))
-    return with_file_digest(candidates)
+    """The files of quick groups with their sha256, without their content, as a saved table; unreadable content stays null.
+
+    Only candidates are digested, and only once, whatever reads the table. Rows with a content column pass a Bloom filter of the colliding keys in place, so contents are never shuffled; the few
+    others that pass by chance are left out afterwards, by their digest rows. The paths of files meet the exact keys first, before any file is opened.
+    """
+    files = inventory.where(~F.col("is_dir"))
+    total = files.count()
+    with shared.for_a_while(quick_groups(inventory).select(*QUICK, F.col("copies").alias("n")), "quick") as keys:
+        if "content" not in inventory.columns:
+            return shared.saved(with_file_digest(_of(files, keys, total)), "digested")
+        rest = [F.col(f"`{c}`") for c in inventory.columns if c not in ("content", "sha256")]
+        digested = maybe_in(files, key_filter(keys)).select(*rest, content_digest(F.col("content")).alias("sha256"))
+        return shared.saved(_of(digested, keys, total), "digested")
+
+
+def _of(rows: DataFrame, groups: DataFrame, total: int) -> DataFrame:
+    return met(rows, groups, total).where("group IS NOT NULL").select(*[F.col(f"`{c}`") for c in rows.columns])
+
+
+def met(rows: DataFrame, groups: DataFrame, total: int) -> DataFrame:
+    """rows with the struct ``group`` of the one row of groups (name, size_bytes, n, ..) that has their key, else null.
+
+    Groups with more than a 2,000th of all ``total`` members, so fewer than 2,000 of them, are broadcast; their rows are not dealt by group.
+    """
+    what = F.struct(*[c for c in groups.columns if c not in QUICK])
+    large = groups.where(F.col("n") * 2000 > total).select(*QUICK, what.alias("large"))
+    other = groups.where(F.col("n") * 2000 <= total).select(F.col("name").alias("spread"), "size_bytes", what.alias("other"))
+    out = rows.join(F.broadcast(large), list(QUICK), "left")
+    out = out.withColumn("spread", F.when(F.col("large").isNotNull(), F.col("full_path")).otherwise(F.col("name")))
+    return out.join(other, ["spread", "size_bytes"], "left").withColumn("group", F.coalesce("large", "other")).drop("spread", "large", "other")
 
 
 def deep_groups(inventory: DataFrame) -> DataFrame:
     """(name, size_bytes, sha256, copies, first_path); files without a digest are in no group."""
-    found = with_digest(inventory).where("sha256 IS NOT NULL")
-    return found.groupBy(*DEEP).agg(F.count("*").alias("copies"), F.min("full_path").alias("first_path")).where("copies > 1")
+    if "content" not in inventory.columns:
+        return digest_groups(with_digest(inventory))
+    # files that pass the filter by chance share their key with no other, so they are in no group
+    readable = inventory.where(~F.col("is_dir") & F.col("content").isNotNull())
+    candidates = maybe_in(readable, key_filter(quick_groups(inventory)))
+    return digest_groups(candidates.select("full_path", *QUICK, content_digest(F.col("content")).alias("sha256")))
+
+
+def digest_groups(digested: DataFrame) -> DataFrame:
+    """The deep groups of files with their sha256."""
+    # null digests are not counted; a condition on the digest would be moved in front of the filter, and digest every row
+    grouped = digested.groupBy(*DEEP).agg(F.count("sha256").alias("copies"), F.min("full_path").alias("first_path"))
+    return grouped.where("copies > 1")
 
 
 def members_of(inventory: DataFrame, groups: DataFrame) -> DataFrame:
@@ -79,18 +148,18 @@ def any_removable(groups_with_remaining: DataFrame) -> DataFrame:
 def ranked(groups: DataFrame, by: str = "name", descending: bool = False) -> DataFrame:
     """groups with rank, by name, size (of one file) or copies (those remaining, where known); ties by name, size, digest, first path.
 
-    A global rank needs one order of all groups: rows are range-partitioned and sorted, and ranks are counted up from the sizes
-    of the ranges before, so no task sees them all.
+    A global rank needs one order of all groups. They are dealt to ranges and sorted inside them once, and written with their places; ranks follow from the places and the sizes of the ranges
+    before, read from these same rows. So no task sees all groups, and no second dealing can draw other borders. shared.forget() deletes the table behind the result.
     """
     column = {"name": "name", "size": "size_bytes", "copies": "remaining" if "remaining" in groups.columns else "copies"}[by]
     lead = F.col(column).desc() if descending else F.col(column).asc()
-    ties = [F.col(c).asc() for c in (*DEEP, "first_path") if c in groups.columns and c != column]
-    order = [lead, *ties]
-    spark = groups.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    ranges = groups.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id())
-    inside = ranges.withColumn("inside", F.row_number().over(Window.partitionBy("part").orderBy(*order)))
-    sizes = ranges.groupBy("part").agg(F.count("*").alias("size"))
-    before = sizes.withColumn("before", F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    out = inside.join(F.broadcast(before.select("part", "before")), "part")  # one row for each partition
-    return out.withColumn("rank", F.col("before") + F.col("inside")).drop("part", "inside", "before")
+    order = [lead, *[F.col(c).asc() for c in (*DEEP, "first_path") if c in groups.columns and c != column]]
+    parts = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    # the id is the number of the partition, in the order of ranges, and from its 33rd bit down the place inside it
+    dealt = groups.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("rank_id", F.monotonically_increasing_id())
+    table = shared.saved(dealt, "ranges")
+    part = F.shiftright("rank_id", 33)
+    sizes = table.groupBy(part.alias("rank_part")).agg(F.count("*").alias("size"))
+    before = sizes.select("rank_part", F.coalesce(F.sum("size").over(Window.orderBy("rank_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    out = table.withColumn("rank_part", part).join(F.broadcast(before), "rank_part")  # one row for each range
+    return out.withColumn("rank", F.col("before") + F.col("rank_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("rank_part", "rank_id", "before")

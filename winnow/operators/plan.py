@@ -9,29 +9,27 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from winnow.functions.scalars import content_digest
-from winnow.operators.digest import with_file_verdict
-from winnow.operators.groups import QUICK, active
+from winnow.operators.digest import with_file_verdict, with_reference_verdict
+from winnow.operators.groups import QUICK, active, met
 
 
 def batch_plan(members: DataFrame, removed: DataFrame | None = None) -> DataFrame:
     """(full_path, name, size_bytes, reference_path, action) for groups with two or more members left.
 
     The first member is kept; every other one is compared with that one only, and removed if equal, else skipped. Contents in a column are compared by their
-    SHA-256 (or by a column sha256), so that no content is shuffled; files byte by byte. Members without a name are in no group.
+    SHA-256 (or by a column sha256), so that no content is shuffled; files in rounds, each read once. Members without a name are in no group.
     """
     left = members.where("name IS NOT NULL")
     left = left if removed is None else active(left, removed)
     total = left.count()
     if not {"content", "sha256"} & set(members.columns):
-        groups = left.groupBy(*QUICK).agg(F.count("*").alias("n"), F.min("full_path").alias("reference_path")).where("n > 1")
-        rows = _met(left.select("full_path", *QUICK), groups, total).where("group IS NOT NULL").withColumn("reference_path", F.col("group.reference_path"))
-        judged = with_file_verdict(rows.select("full_path", "name", "size_bytes", "reference_path"))
+        judged = with_reference_verdict(_with_reference(left, total), lambda rows, heads: met(rows, heads, total))
         action = F.when(F.col("full_path") == F.col("reference_path"), "keep").when(F.col("identical"), "remove").otherwise("skip")
-        return judged.withColumn("action", action).drop("identical")
+        return judged.select("full_path", "name", "size_bytes", "reference_path", action.alias("action"))
     sha256 = F.col("sha256") if "sha256" in members.columns else content_digest(F.col("content"))
     left = left.select("full_path", *QUICK, sha256.alias("sha256"))
     groups = left.groupBy(*QUICK).agg(F.count("*").alias("n"), F.min(F.struct("full_path", "sha256")).alias("first")).where("n > 1")
-    rows = _met(left, groups, total).where("group IS NOT NULL")
+    rows = met(left, groups, total).where("group IS NOT NULL")
     first = F.col("group.first")
     same = F.coalesce(F.col("sha256") == first["sha256"], F.lit(False))
     action = F.when(F.col("full_path") == first["full_path"], "keep").when(same, "remove").otherwise("skip")
@@ -65,9 +63,10 @@ def lost_groups(members: DataFrame, gone: DataFrame) -> DataFrame:
 def request_plan(members: DataFrame, requests: DataFrame, removed: DataFrame | None = None) -> DataFrame:
     """Outcome of single removals, at most one request in a group: (full_path, name, size_bytes, reference_path, outcome).
 
-    members need sha256. The reference is the first other member that is left. requests: (full_path).
+    The reference is the first other member that is left. Members are compared by their sha256; without that column they are files, and each pair is compared byte by byte. requests: (full_path).
     """
-    marked = members.select("full_path", *QUICK, "sha256").where("name IS NOT NULL")
+    by_digest = "sha256" in members.columns
+    marked = members.select("full_path", *QUICK, F.col("sha256") if by_digest else F.lit(None).cast("string").alias("sha256")).where("name IS NOT NULL")
     gone = (removed if removed is not None else members.limit(0)).select("full_path").distinct().withColumn("gone", F.lit(True))
     marked = marked.join(gone, "full_path", "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
     asked = requests.select("full_path").distinct().join(marked, "full_path", "left")
@@ -77,27 +76,42 @@ def request_plan(members: DataFrame, requests: DataFrame, removed: DataFrame | N
     heads = heads.agg(*[F.max(F.when(F.col("place") == i, F.struct("full_path", "sha256"))).alias(f"head{i}") for i in (1, 2)])
     ref = F.when(F.col("head1.full_path") == F.col("full_path"), F.col("head2")).otherwise(F.col("head1"))
     rows = asked.join(heads, list(QUICK), "left").withColumn("ref", ref)
+    same = F.coalesce(F.col("sha256") == F.col("ref.sha256"), F.lit(False))
+    if not by_digest:
+        pairs = rows.where("NOT gone AND ref IS NOT NULL").select("full_path", F.col("ref.full_path").alias("reference_path"))
+        rows = rows.join(with_file_verdict(pairs).select("full_path", "identical"), "full_path", "left")
+        same = F.coalesce("identical", F.lit(False))
     outcome = (
         F.when(F.col("name").isNull(), "not_found")
         .when(F.col("gone"), "already_removed")
         .when(F.col("ref").isNull(), "refused_last_copy")
-        .when(~F.coalesce(F.col("sha256") == F.col("ref.sha256"), F.lit(False)), "refused_differs")
+        .when(~same, "refused_differs")
         .otherwise("removed")
     )
     return rows.select("full_path", "name", "size_bytes", F.col("ref.full_path").alias("reference_path"), outcome.alias("outcome"))
 
 
-def _met(rows: DataFrame, groups: DataFrame, total: int) -> DataFrame:
-    """rows with the struct ``group`` of the one row of groups (name, size_bytes, n, ..) that has their key, else null.
+def _with_reference(left: DataFrame, total: int) -> DataFrame:
+    """(full_path, name, size_bytes, n, reference_path) of the members of groups of two or more that are left; the reference is a group's first path."""
+    groups = left.groupBy(*QUICK).agg(F.count("*").alias("n"), F.min("full_path").alias("reference_path")).where("n > 1")
+    rows = met(left.select("full_path", *QUICK), groups, total).where("group IS NOT NULL")
+    return rows.select("full_path", *QUICK, "group.n", "group.reference_path")
 
-    Groups with more than a 2,000th of all ``total`` members, so fewer than 2,000 of them, are broadcast; their rows are not dealt by group.
+
+def _verified(members: DataFrame, requests: DataFrame, removed: DataFrame | None) -> DataFrame:
+    """The files of the groups asked for, with a sha256 that is the same for all that equal the group's first file left, byte for byte, and null for the others.
+
+    Only those files can ever go, so no other comparison decides a request.
     """
-    what = F.struct(*[c for c in groups.columns if c not in QUICK])
-    large = groups.where(F.col("n") * 2000 > total).select(*QUICK, what.alias("large"))
-    other = groups.where(F.col("n") * 2000 <= total).select(F.col("name").alias("spread"), "size_bytes", what.alias("other"))
-    out = rows.join(F.broadcast(large), list(QUICK), "left")
-    out = out.withColumn("spread", F.when(F.col("large").isNotNull(), F.col("full_path")).otherwise(F.col("name")))
-    return out.join(other, ["spread", "size_bytes"], "left").withColumn("group", F.coalesce("large", "other")).drop("spread", "large", "other")
+    files = members.where("name IS NOT NULL AND size_bytes IS NOT NULL").select("full_path", *QUICK)
+    asked = requests.select("full_path").distinct().withColumn("asked", F.lit(True))
+    groups = files.join(asked, "full_path", "left").groupBy(*QUICK).agg(F.count("*").alias("n"), F.count("asked").alias("asked")).where("asked > 0")
+    files = met(files, groups, files.count()).where("group IS NOT NULL").drop("group")
+    left = files if removed is None else active(files, removed)
+    total = left.count()
+    judged = with_reference_verdict(_with_reference(left, total), lambda rows, heads: met(rows, heads, total))
+    same = judged.where("identical").select("full_path", F.lit("same").alias("sha256"))
+    return files.join(same, "full_path", "left")
 
 
 def request_plan_ordered(members: DataFrame, requests: DataFrame, removed: DataFrame | None = None) -> DataFrame:
@@ -107,7 +121,9 @@ def request_plan_ordered(members: DataFrame, requests: DataFrame, removed: DataF
     equal to the first one left ever go, so a group's reference digest stays the same. The leading copies are those before the first member of
     another digest. While two of them are left, each of them finds an equal reference, as every later copy always does. So all copies go when they are
     first asked for, except the leading one that is asked for last if all leading ones are. Requests of equal seq follow the order of their paths.
+    Members without sha256 are files; those of the groups asked for are verified first, byte for byte.
     """
+    members = members if "sha256" in members.columns else _verified(members, requests, removed)
     total = members.count()
     marked = members.select("full_path", *QUICK, "sha256").where("name IS NOT NULL AND size_bytes IS NOT NULL")
     marked = marked.groupBy("full_path", *QUICK).agg(F.min("sha256").alias("sha256"))
@@ -124,11 +140,11 @@ def request_plan_ordered(members: DataFrame, requests: DataFrame, removed: DataF
     heads = heads.agg(F.max(F.when(F.col("place") == 1, F.struct("sha256"))).alias("head"), F.max(F.when(F.col("place") == 2, F.col("path"))).alias("differing"))
     heads = heads.join(firsts.groupBy(*QUICK).agg(F.sum("n").alias("n")), list(QUICK))
     leading = F.coalesce((F.col("sha256") == F.col("group.head.sha256")) & (F.col("group.differing").isNull() | (F.col("full_path") < F.col("group.differing"))), F.lit(False))
-    counted = _met(left, heads, total).withColumn("leading", leading).groupBy(*QUICK)
+    counted = met(left, heads, total).withColumn("leading", leading).groupBy(*QUICK)
     last = F.max(F.when(F.col("leading"), F.struct("first_seq", "full_path")))
     counted = counted.agg(F.max("group.n").alias("n"), F.max("group.head").alias("head"), F.max("group.differing").alias("differing"), last.alias("last"), F.count_if(F.col("leading") & F.col("first_seq").isNull()).alias("unasked"))
 
-    rows = _met(marked.where("first_seq IS NOT NULL").join(asked, "full_path"), counted, total)
+    rows = met(marked.where("first_seq IS NOT NULL").join(asked, "full_path"), counted, total)
     group = F.col("group")
     stays = (group["unasked"] == 0) & (group["last"]["full_path"] == F.col("full_path"))
     rows = rows.withColumn("again", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))

@@ -77,12 +77,8 @@ def size_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scan_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = _part(spark, sf_dir)
-    none = inv.scan_summary(part).withColumn("filter", F.lit("none"))
-    hidden = inv.scan_summary(part, skip_hidden=True).withColumn("filter", F.lit("hidden"))
-    media = inv.scan_summary(part, media_only=True).withColumn("filter", F.lit("media"))
-    both = inv.scan_summary(part, skip_hidden=True, media_only=True).withColumn("filter", F.lit("both"))
-    return none.unionByName(hidden).unionByName(media).unionByName(both)
+    filters = {"none": {}, "hidden": {"skip_hidden": True}, "media": {"media_only": True}, "both": {"skip_hidden": True, "media_only": True}}
+    return inv.scan_summaries(_part(spark, sf_dir), filters)
 
 
 def _filtered(**how: bool) -> Query:
@@ -127,9 +123,8 @@ def any_removable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _digested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Members with digests made before anything is shuffled, so that no content is."""
-    docs = _documents(spark, sf_dir)
-    return _members(docs.withColumn("sha256", scalars.content_digest(F.col("content"))).drop("content"))
+    """The members of quick groups with their digests, made once and saved for all that reads them."""
+    return g.with_digest(_documents(spark, sf_dir))
 
 
 def _plan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,6 +161,14 @@ def request_plan_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.request_plan_ordered(members, requests)
 
 
+def savings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the quick groups seem to waste beside what a batch that compares contents frees, and what deep groups waste."""
+    members = _digested(spark, sf_dir)
+    freed = plan.batch_outcome(plan.batch_plan(members)).select("recovered_bytes")
+    deep = g.totals(g.digest_groups(members)).select("potential_savings")
+    return g.totals(g.quick_groups(members)).select("groups", "potential_savings", freed.scalar().alias("verified_savings"), deep.scalar().alias("deep_savings"))
+
+
 def recovered_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     return ledger.recovered(ledger.add(_removed(docs), plan.removals(_plan(spark, sf_dir))))
@@ -198,6 +201,7 @@ QUERIES: dict[str, Query] = {
     "lost_groups": lost_groups,
     "request_plan": request_plan,
     "request_plan_ordered": request_plan_ordered,
+    "savings": savings,
     "recovered_total": recovered_total,
     "export_listing": export_listing,
 }
@@ -271,6 +275,9 @@ ORACLE_SQL: dict[str, str] = {
       v AS (SELECT *, coalesce(content = head, false) AS same, count(*) FILTER (full_path <> head_path AND NOT coalesce(content = head, false)) OVER (PARTITION BY name, size_bytes) AS differing FROM m WHERE n > 1)
       SELECT -doc_id AS seq, full_path, name, size_bytes, CASE WHEN full_path = head_path THEN CASE WHEN differing > 0 THEN 'refused_differs' ELSE 'refused_last_copy' END
         WHEN same THEN 'removed' ELSE 'refused_differs' END AS outcome FROM v""",
+    "savings": f"""WITH {_PLAN}, {_DEEP}, quick AS ({_QUICK.format("docs")})
+      SELECT (SELECT count(*) FROM quick) AS groups, (SELECT CAST(coalesce(sum(size_bytes * (copies - 1)), 0) AS BIGINT) FROM quick) AS potential_savings,
+      (SELECT CAST(coalesce(sum(size_bytes), 0) AS BIGINT) FROM plan WHERE action = 'remove') AS verified_savings, (SELECT CAST(coalesce(sum(size_bytes * (copies - 1)), 0) AS BIGINT) FROM deep) AS deep_savings""",
     "recovered_total": f"""WITH {_PLAN}, l AS (SELECT full_path, size_bytes FROM docs WHERE doc_id % 7 = 0 UNION SELECT full_path, size_bytes FROM plan WHERE action = 'remove')
       SELECT count(*) AS removed, CAST(coalesce(sum(size_bytes), 0) AS BIGINT) AS recovered_bytes FROM l""",
     "export_listing": f"WITH {_PART} SELECT parent AS path, name, {_LABEL} AS size, 'File' AS type FROM p",
