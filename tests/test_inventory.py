@@ -7,7 +7,7 @@ from winnow.functions import scalars
 from winnow.operators import digest, ledger, plan
 from winnow.operators import groups as g
 from winnow.sources import inventory as inv
-from winnow.sources.listing import append_ledger, write_listing
+from winnow.sources.listing import read_ledger, write_ledger_batch, write_listing
 
 
 @pytest.fixture(scope="module")
@@ -27,7 +27,7 @@ def tree(tmp_path_factory):
 
 @pytest.fixture(scope="module")
 def scanned(spark, tree):
-    return inv.scan_tree(spark, tree, fan_out=3).cache()
+    return inv.scan_tree(spark, tree, tasks=3).cache()
 
 
 def test_scan_lists_every_entry_once(spark, tree, scanned):
@@ -36,7 +36,7 @@ def test_scan_lists_every_entry_once(spark, tree, scanned):
     assert len({r.full_path for r in rows}) == 19
     link = next(r for r in rows if r.name == "link.JPG")
     assert link.size_bytes == len(os.path.join(tree, "a/x.JPG"))
-    one, deep = (inv.scan_tree(spark, tree, fan_out=n).count() for n in (1, 100))
+    one, deep = (inv.scan_tree(spark, tree, tasks=n, budget=b).count() for n, b in ((1, 1), (100, 10**6)))
     assert one == deep == 19
 
 
@@ -80,9 +80,9 @@ def test_listing_and_ledger(spark, scanned, tmp_path):
     lines = [r.value for r in spark.read.text(str(tmp_path / "list")).collect()]
     assert len(lines) == 19 and all(x.count(";") == 3 for x in lines) and sum(x.endswith(";Folder") for x in lines) == 5
     rows = spark.createDataFrame([("/a", 5), ("/b", 7)], "full_path string, size_bytes long")
-    append_ledger(rows, str(tmp_path / "ledger"))
-    append_ledger(rows.limit(1), str(tmp_path / "ledger"))
-    held = ledger.add(spark.read.parquet(str(tmp_path / "ledger")), rows)
+    write_ledger_batch(rows, str(tmp_path / "ledger"), "first")
+    write_ledger_batch(rows.limit(1), str(tmp_path / "ledger"), "second")
+    held = ledger.add(read_ledger(spark, str(tmp_path / "ledger")), rows)
     assert ledger.recovered(held).first() == (2, 12)
 
 
