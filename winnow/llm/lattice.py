@@ -29,8 +29,29 @@ def char_codes(points: np.ndarray) -> np.ndarray:
     return mix(points.astype(np.uint64) * np.uint64(2) + np.uint64(1)) | np.uint64(1)
 
 
+def _is_bpe(path: str) -> bool:
+    from sentencepiece import sentencepiece_model_pb2
+
+    model = sentencepiece_model_pb2.ModelProto()
+    with open(path, "rb") as f:
+        model.ParseFromString(f.read())
+    return model.trainer_spec.model_type == model.trainer_spec.BPE
+
+
+def log_scores(score: np.ndarray, bpe: bool) -> np.ndarray:
+    """Scores as natural log probabilities, in steps of 2**-24, so that their sums are exact in any order.
+
+    A unigram model's scores are such already. Those of a BPE model only order its merges; the piece of rank r gets the share 1 / (r + 2), as in Zipf's law.
+    """
+    if bpe:
+        rank = len(score) - np.searchsorted(np.sort(score), score, side="right")
+        score = -np.log(rank + 2.0)
+        score -= np.log(np.exp(score).sum())
+    return np.round(score * 2.0**24) / 2.0**24
+
+
 class Pieces:
-    """hash, id, score and length of the ordinary pieces, sorted by hash; ids of the byte pieces; the characters covered."""
+    """hash, id, score (see log_scores) and length of the ordinary pieces, sorted by hash; ids of the byte pieces; the characters covered."""
 
     def __init__(self, path: str):
         import sentencepiece
@@ -52,7 +73,7 @@ class Pieces:
         order = np.argsort(h)
         self.hash = h[order]
         self.id = np.array(own, np.int64)[order]
-        self.score = np.array([model.get_score(i) for i in own])[order]
+        self.score = log_scores(np.array([model.get_score(i) for i in own]), _is_bpe(path))[order]
         self.longest = int(np.diff(cut).max())
         self.chars = np.unique(flat)
         self.single = np.zeros(0x110000 + 1, bool)  # characters that are pieces; the last place stands for all others

@@ -1,7 +1,7 @@
 """SentencePiece encoding to the N best segmentations, and decoding.
 
-A text is encoded as the model prescribes: a blank is put in front, blanks become U+2581, and pieces are chosen so that the sum of
-their scores is largest. Characters that no piece holds become byte pieces. A U+2581 in the text itself becomes
+As in the model's own encoder a blank is put in front and blanks become U+2581. Pieces are chosen so that their probabilities have the largest product. A unigram model has these probabilities; a BPE model has merge
+ranks, from which they are made (lattice.log_scores). A BPE model's own encoder merges greedily by rank instead, so its pieces often differ from the best segmentation, though either decodes to the text. Characters that no piece holds become byte pieces. A U+2581 in the text itself becomes
 byte pieces as well, so decoding returns every text exactly.
 
 No piece reaches from other characters into a blank, so a text falls into chunks (blanks and what follows them) whose lattices are
