@@ -21,16 +21,6 @@ CHUNK = 64 * 1024
 RANGE = 64 << 20
 
 
-def _digest(path: str) -> str | None:
-    try:
-        if not os.path.isfile(path):
-            return None
-        with open(path, "rb") as f:
-            return hashlib.file_digest(f, "sha256").hexdigest()
-    except OSError:
-        return None
-
-
 def _chunks(f, length: int | None) -> Iterator[bytes]:
     """The next ``length`` bytes of a file, or all that follow."""
     left = length
@@ -79,14 +69,31 @@ def range_digest(path: str, offset: int, length: int | None) -> tuple[int | None
         return None, None, read
 
 
-def with_file_digest(inventory: DataFrame, path_col: str = "full_path") -> DataFrame:
-    """Adds sha256, null for files that cannot be read."""
+def with_file_digest(inventory: DataFrame, path_col: str = "full_path", range_bytes: int = RANGE) -> DataFrame:
+    """Adds sha256, null for files that cannot be read.
+
+    Where sizes are known, a file beyond ``range_bytes`` is digested in ranges that are dealt over all tasks; its sha256 is then that of its size and its ranges' digests. Files of one size have the same kind of
+    digest, so equal ones still mean equal bytes. Such a file that no longer has the size it was listed with has none.
+    """
+    base = inventory.drop("sha256")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            yield part.assign(sha256=[_digest(p) for p in part[path_col]])
-
-    return inventory.mapInPandas(run, T.StructType([*inventory.schema.fields, T.StructField("sha256", T.StringType())]))
+            yield part.assign(sha256=[range_digest(p, 0, None)[1] for p in part[path_col]])
+
+    def whole(files: DataFrame) -> DataFrame:
+        return files.mapInPandas(run, T.StructType([*files.schema.fields, T.StructField("sha256", T.StringType())]))
+
+    if "size_bytes" not in base.columns:
+        return whole(base)
+    large = base.where(F.col("size_bytes") > range_bytes)
+    step = F.lit(range_bytes).cast("long")
+    ranges = large.select(F.col(path_col).alias("path"), F.col("size_bytes").alias("listed")).distinct()
+    ranges = ranges.select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("listed") - 1, step)).alias("offset"), step.alias("length"))
+    keys = _keyed(ranges).select(F.col("path").alias(path_col), F.col("actual").alias("digest_size"), F.col("key").alias("digest_key"))
+    met = large.join(keys, path_col, "left")
+    digest = F.when(F.col("digest_size") == F.col("size_bytes"), F.sha2(F.concat_ws(",", F.col("digest_size").cast("string"), "digest_key"), 256))
+    return whole(base.where(F.coalesce(F.col("size_bytes"), F.lit(0)) <= range_bytes)).unionByName(met.select(*[F.col(f"`{c}`") for c in base.columns], F.when(F.col("digest_key").isNotNull(), digest).alias("sha256")))
 
 
 def _dealt(ranges: DataFrame) -> DataFrame:

@@ -81,21 +81,22 @@ def with_digest(inventory: DataFrame) -> DataFrame:
         return shared.saved(_of(digested, keys, total), "digested")
 
 
-def _of(rows: DataFrame, groups: DataFrame, total: int) -> DataFrame:
-    return met(rows, groups, total).where("group IS NOT NULL").select(*[F.col(f"`{c}`") for c in rows.columns])
+def _of(rows: DataFrame, groups: DataFrame, total: int, keys: tuple[str, ...] = QUICK) -> DataFrame:
+    return met(rows, groups, total, keys).where("group IS NOT NULL").select(*[F.col(f"`{c}`") for c in rows.columns])
 
 
-def met(rows: DataFrame, groups: DataFrame, total: int) -> DataFrame:
-    """rows with the struct ``group`` of the one row of groups (name, size_bytes, n, ..) that has their key, else null.
+def met(rows: DataFrame, groups: DataFrame, total: int, keys: tuple[str, ...] = QUICK) -> DataFrame:
+    """rows with the struct ``group`` of the one row of groups (the keys, n, ..) that has their key, else null.
 
     Groups with more than a 2,000th of all ``total`` members, so fewer than 2,000 of them, are broadcast; their rows are not dealt by group.
     """
-    what = F.struct(*[c for c in groups.columns if c not in QUICK])
-    large = groups.where(F.col("n") * 2000 > total).select(*QUICK, what.alias("large"))
-    other = groups.where(F.col("n") * 2000 <= total).select(F.col("name").alias("spread"), "size_bytes", what.alias("other"))
-    out = rows.join(F.broadcast(large), list(QUICK), "left")
-    out = out.withColumn("spread", F.when(F.col("large").isNotNull(), F.col("full_path")).otherwise(F.col("name")))
-    return out.join(other, ["spread", "size_bytes"], "left").withColumn("group", F.coalesce("large", "other")).drop("spread", "large", "other")
+    what = F.struct(*[c for c in groups.columns if c not in keys])
+    rest = list(keys[1:])
+    large = groups.where(F.col("n") * 2000 > total).select(*keys, what.alias("large"))
+    other = groups.where(F.col("n") * 2000 <= total).select(F.col(keys[0]).alias("spread"), *rest, what.alias("other"))
+    out = rows.join(F.broadcast(large), list(keys), "left")
+    out = out.withColumn("spread", F.when(F.col("large").isNotNull(), F.col("full_path")).otherwise(F.col(keys[0])))
+    return out.join(other, ["spread", *rest], "left").withColumn("group", F.coalesce("large", "other")).drop("spread", "large", "other")
 
 
 def deep_groups(inventory: DataFrame) -> DataFrame:
@@ -117,8 +118,20 @@ def digest_groups(digested: DataFrame) -> DataFrame:
 
 def members_of(inventory: DataFrame, groups: DataFrame) -> DataFrame:
     """The files of the groups; deep groups take the digested inventory."""
-    keys = [k for k in DEEP if k in groups.columns]
-    return inventory.where(~F.col("is_dir")).join(groups.select(*keys), keys, "left_semi")
+    keys = tuple(k for k in DEEP if k in groups.columns)
+    files = inventory.where(~F.col("is_dir"))
+    return _of(files, groups.select(*keys, F.col("copies").alias("n")), files.count(), keys)
+
+
+def with_files(groups: DataFrame, members: DataFrame, most: int = 10_000) -> DataFrame:
+    """groups with page, pages and files: the sorted paths of their members. A group of up to ``most`` members has one row; the members of a larger one are dealt to pages of about ``most`` by a hash of their
+    paths, a row for each page, so no row grows with its group and none of its members is left out."""
+    keys = tuple(k for k in DEEP if k in groups.columns)
+    paged = groups.select(*keys, F.col("copies").alias("n"), F.ceil(F.col("copies") / most).alias("pages"))
+    rows = met(members.select("full_path", *keys), paged, members.count(), keys).where("group IS NOT NULL")
+    page = F.pmod(F.xxhash64("full_path"), F.col("group.pages")).alias("page")
+    lists = rows.groupBy(*keys, page).agg(F.sort_array(F.collect_list("full_path")).alias("files"), F.max("group.pages").alias("pages"))
+    return groups.join(lists, list(keys))
 
 
 def totals(groups: DataFrame) -> DataFrame:

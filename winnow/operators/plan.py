@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from winnow.functions.scalars import content_digest
 from winnow.operators.digest import with_file_verdict, with_reference_verdict
-from winnow.operators.groups import QUICK, active, met
+from winnow.operators.groups import QUICK, active, digest_groups, met
 
 
 def batch_plan(members: DataFrame, removed: DataFrame | None = None) -> DataFrame:
@@ -43,6 +43,19 @@ def batch_outcome(plan: DataFrame) -> DataFrame:
     return out.withColumn("outcome", F.when(F.col("removed") > 0, "removed").when(F.col("skipped") > 0, "only_skipped").otherwise("nothing"))
 
 
+def savings(members: DataFrame) -> DataFrame:
+    """(name, size_bytes, copies, potential_savings, verified_savings, deep_savings) of each quick group of digested members.
+
+    potential_savings takes all members for copies; verified_savings is what batch_plan() frees, which compares with the reference only; deep_savings is what repeated runs on deep groups would free.
+    """
+    freed = F.count_if(F.col("action") == "remove")
+    size = F.col("size_bytes")
+    quick = batch_plan(members).groupBy(*QUICK).agg(F.count("*").alias("copies"), freed.alias("freed"))
+    deep = digest_groups(members).groupBy(*QUICK).agg(F.sum(size * (F.col("copies") - 1)).alias("deep_savings"))
+    out = quick.join(deep, list(QUICK), "left")
+    return out.select(*QUICK, "copies", (size * (F.col("copies") - 1)).alias("potential_savings"), (size * F.col("freed")).alias("verified_savings"), F.coalesce("deep_savings", F.lit(0)).alias("deep_savings"))
+
+
 def removals(plan: DataFrame) -> DataFrame:
     """The ledger rows of a batch or request plan."""
     flag = "action = 'remove'" if "action" in plan.columns else "outcome = 'removed'"

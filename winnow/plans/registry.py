@@ -93,6 +93,15 @@ def quick_groups_large(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.quick_groups(_lineitem(spark, sf_dir)).select("name", "size_bytes", "copies")
 
 
+def group_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The deep groups with the paths of their members, at most about a thousand in a row."""
+    members = _digested(spark, sf_dir)
+    out = g.with_files(g.digest_groups(members), members, 1000).withColumn("n_files", F.size("files").cast("long"))
+    first, last = F.element_at("files", 1), F.element_at("files", -1)
+    lines = F.sum(F.length(F.array_join("files", "\n"))).cast("long")
+    return out.groupBy("name", "size_bytes", "sha256", "copies").agg(F.sum("n_files").alias("files"), F.min(first).alias("first_file"), F.max(last).alias("last_file"), (lines + F.count("*") - 1).alias("listing_chars"))
+
+
 def deep_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.deep_groups(_documents(spark, sf_dir)).select("name", "size_bytes", "sha256", "copies", "first_path")
 
@@ -107,7 +116,7 @@ def deep_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _with_remaining(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
-    return g.with_remaining(g.quick_groups(docs), _members(docs), _removed(docs))
+    return g.with_remaining(g.quick_groups(docs), docs, _removed(docs))
 
 
 def _rank(by: str, descending: bool) -> Query:
@@ -162,11 +171,8 @@ def request_plan_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def savings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the quick groups seem to waste beside what a batch that compares contents frees, and what deep groups waste."""
-    members = _digested(spark, sf_dir)
-    freed = plan.batch_outcome(plan.batch_plan(members)).select("recovered_bytes")
-    deep = g.totals(g.digest_groups(members)).select("potential_savings")
-    return g.totals(g.quick_groups(members)).select("groups", "potential_savings", freed.scalar().alias("verified_savings"), deep.scalar().alias("deep_savings"))
+    """What each quick group seems to waste, beside what a batch that compares contents frees of it, and what its deep groups waste."""
+    return plan.savings(_digested(spark, sf_dir))
 
 
 def recovered_total(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,6 +194,7 @@ QUERIES: dict[str, Query] = {
     "quick_groups": quick_groups,
     "quick_groups_large": quick_groups_large,
     "deep_groups": deep_groups,
+    "group_files": group_files,
     "quick_totals": quick_totals,
     "deep_totals": deep_totals,
     "rank_by_name": _rank("name", False),
@@ -249,6 +256,8 @@ ORACLE_SQL: dict[str, str] = {
     "quick_groups": f"WITH {_DOCS} " + _QUICK.format("docs"),
     "quick_groups_large": f"WITH {_LINES} SELECT name, size_bytes, count(*) AS copies FROM items GROUP BY name, size_bytes HAVING count(*) > 1",
     "deep_groups": f"WITH {_DOCS}, {_DEEP} SELECT * FROM deep",
+    "group_files": f"""WITH {_DOCS} SELECT name, size_bytes, sha256(content) AS sha256, count(*) AS copies, count(*) AS files, min(full_path) AS first_file, max(full_path) AS last_file,
+      CAST(length(string_agg(full_path, chr(10))) AS BIGINT) AS listing_chars FROM docs WHERE content IS NOT NULL GROUP BY name, size_bytes, sha256(content) HAVING count(*) > 1""",
     "quick_totals": f"WITH {_DOCS}, quick AS ({_QUICK.format('docs')}) {_TOTALS.format('quick')}",
     "deep_totals": f"WITH {_DOCS}, {_DEEP} {_TOTALS.format('deep')}",
     "rank_by_name": _ranked("name"),
@@ -275,9 +284,9 @@ ORACLE_SQL: dict[str, str] = {
       v AS (SELECT *, coalesce(content = head, false) AS same, count(*) FILTER (full_path <> head_path AND NOT coalesce(content = head, false)) OVER (PARTITION BY name, size_bytes) AS differing FROM m WHERE n > 1)
       SELECT -doc_id AS seq, full_path, name, size_bytes, CASE WHEN full_path = head_path THEN CASE WHEN differing > 0 THEN 'refused_differs' ELSE 'refused_last_copy' END
         WHEN same THEN 'removed' ELSE 'refused_differs' END AS outcome FROM v""",
-    "savings": f"""WITH {_PLAN}, {_DEEP}, quick AS ({_QUICK.format("docs")})
-      SELECT (SELECT count(*) FROM quick) AS groups, (SELECT CAST(coalesce(sum(size_bytes * (copies - 1)), 0) AS BIGINT) FROM quick) AS potential_savings,
-      (SELECT CAST(coalesce(sum(size_bytes), 0) AS BIGINT) FROM plan WHERE action = 'remove') AS verified_savings, (SELECT CAST(coalesce(sum(size_bytes * (copies - 1)), 0) AS BIGINT) FROM deep) AS deep_savings""",
+    "savings": f"""WITH {_PLAN}, {_DEEP}, d AS (SELECT name, size_bytes, sum(size_bytes * (copies - 1)) AS deep_savings FROM deep GROUP BY ALL)
+      SELECT name, size_bytes, count(*) AS copies, size_bytes * (count(*) - 1) AS potential_savings, CAST(size_bytes * count(*) FILTER (action = 'remove') AS BIGINT) AS verified_savings,
+      CAST(coalesce(any_value(deep_savings), 0) AS BIGINT) AS deep_savings FROM plan LEFT JOIN d USING (name, size_bytes) GROUP BY name, size_bytes""",
     "recovered_total": f"""WITH {_PLAN}, l AS (SELECT full_path, size_bytes FROM docs WHERE doc_id % 7 = 0 UNION SELECT full_path, size_bytes FROM plan WHERE action = 'remove')
       SELECT count(*) AS removed, CAST(coalesce(sum(size_bytes), 0) AS BIGINT) AS recovered_bytes FROM l""",
     "export_listing": f"WITH {_PART} SELECT parent AS path, name, {_LABEL} AS size, 'File' AS type FROM p",
