@@ -60,7 +60,7 @@ def test_ranks_are_dealt_once(spark, many_groups):
     assert "rangepartitioning" not in out._jdf.queryExecution().executedPlan().toString()
 
 
-CONTENT_QUERIES = ["deep_groups", "deep_totals", "batch_plan", "batch_outcome", "survivors", "lost_groups", "request_plan", "request_plan_ordered", "recovered_total", "savings"]
+CONTENT_QUERIES = ["deep_groups", "group_files", "deep_totals", "batch_plan", "batch_outcome", "survivors", "lost_groups", "request_plan", "request_plan_ordered", "recovered_total", "savings"]
 
 
 def exchanged(df):
@@ -128,9 +128,33 @@ def test_a_hot_name_is_dealt_by_path(spark):
     assert counts == {"keep": 15_001, "remove": 44_999}
 
 
+def test_files_of_groups_in_pages(spark):
+    rows = [(f"/a{i:03}", "big") for i in range(500)] + [("/x", "n"), ("/y", "n"), ("/z", "alone")]
+    items = spark.createDataFrame(rows, "full_path string, name string").selectExpr("*", "1L as size_bytes", "false as is_dir")
+    groups = g.quick_groups(items)
+    found = g.with_files(groups, g.members_of(items, groups), 50).collect()
+    big = [r for r in found if r.name == "big"]
+    assert len(big) == 10 and {r.pages for r in big} == {10} and max(len(r.files) for r in big) < 100
+    assert sorted(p for r in big for p in r.files) == [p for p, n in rows if n == "big"] and all(list(r.files) == sorted(r.files) for r in big)
+    assert [(r.page, r.pages, list(r.files), r.copies) for r in found if r.name == "n"] == [(0, 1, ["/x", "/y"], 2)] and len(found) == 11
+
+
 # files
 
 
+def test_large_files_are_digested_in_ranges(spark, disk, tmp_path):
+    (tmp_path / "grown").write_bytes(bytes(9000))
+    files = scanned(spark, disk).where("NOT is_dir").select("full_path", "size_bytes").withColumn("sha256", F.lit("old"))
+    files = files.unionByName(spark.createDataFrame([(f"{tmp_path}/grown", 8999, ""), (f"{disk}/none", 10**6, "")], "full_path string, size_bytes long, sha256 string"))
+    whole, parts = ({(os.path.relpath(r.full_path, disk) if "grown" not in r.full_path else "grown", r.size_bytes): r.sha256 for r in digest.with_file_digest(files, range_bytes=n).collect()} for n in (10**9, 7000))
+    assert set(whole) == set(parts) and len(whole) == 15
+    big = [(f"{x}/big", 300_000) for x in "abcde"]
+    for found in (whole, parts):
+        assert found[big[0]] == found[big[1]] == found[big[4]] and len({found[b] for b in big}) == 3 and found["none", 10**6] is None
+    assert parts["grown", 8999] is None and whole["grown", 8999] is not None  # it has grown since it was listed
+    assert all(parts[k] == whole[k] for k in whole if k[1] <= 7000 or k[1] == 10**6) and all(parts[b] != whole[b] for b in big)
+
+
 @pytest.fixture(scope="module")
 def disk(tmp_path_factory):
     root = tmp_path_factory.mktemp("disk")
