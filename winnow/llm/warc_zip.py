@@ -3,9 +3,12 @@
 A package has three stored (not compressed) members: ``archive/data.warc.gz`` with one gzip member for each record,
 ``indexes/index.cdxj`` with the place of each record, and ``datapackage.json``. The reader never unpacks a package: it
 reads the end of the file, follows the ZIP64 locator if there is one, reads the central directory, finds the data
-of the stored members behind their local headers, reads the index, and then reads ranges of the archive.
+of the stored members behind their local headers, reads the indexes, and then reads ranges of the archives.
 
-Packages lie in a folder that all executors can open (``pyarrow.fs``: local or mounted folders, object stores, HDFS). A task
+Packages made elsewhere are read as well: any number of archives and indexes, whose lines name the archive of each record; indexes packed with gzip; archives of gzip members or of plain records.
+Members that are compressed inside the ZIP cannot be read by ranges: an archive or index of that kind is an error that names it.
+
+Packages lie in a folder that all executors can open (``pyarrow.fs``: local or mounted folders, object stores, HDFS). Paths without a scheme belong to Hadoop's default file system, as they do for Spark; ``s3a`` is read as ``s3``. A task
 names its package freshly at each attempt and returns the name, so packages of failed attempts are never read.
 
 Null html is an empty payload, a null url is ``urn:none``. A payload that several pages share (at least ``min_bytes``) is stored once, as the
@@ -20,6 +23,7 @@ import base64
 import gzip
 import hashlib
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -27,7 +31,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from winnow.llm import store
@@ -41,8 +45,29 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 DATE = "2024-01-01T00:00:00Z"
 
 
+_SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*:/")
+_INDEXES = re.compile(r"indexes/.*\.cdxj?(\.gz)?")
+
+
 def _open(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    if not _SCHEME.match(path):
+        return fs.LocalFileSystem(), path
+    return fs.FileSystem.from_uri(_uri(path))
+
+
+def _uri(path: str) -> str:
+    """Spark's names of schemes in pyarrow's."""
+    return re.sub(r"^s3[an]://", "s3://", path)
+
+
+def _root(spark: SparkSession) -> str:
+    """What to put in front of paths without a scheme: Hadoop's default file system."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.FileSystem.getDefaultUri(conf).toString().rstrip("/")
+
+
+def _qualified(path: str, root: str) -> str:
+    return path if _SCHEME.match(path) or root.startswith("file:") else root + path
 
 
 class ZipWriter:
@@ -87,6 +112,11 @@ class ZipWriter:
 
 def directory(file) -> dict[str, tuple[int, int]]:
     """(first byte, size) of the data of each stored member of an open ZIP file; only its directories are read."""
+    return {name: place for name, place in members(file).items() if place is not None}
+
+
+def members(file) -> dict[str, tuple[int, int] | None]:
+    """As directory(), with None for members that are compressed."""
     total = file.size()
     tail_at = max(0, total - (22 + FULL16 + 20))
     tail = file.read_at(total - tail_at, tail_at)
@@ -101,7 +131,7 @@ def directory(file) -> dict[str, tuple[int, int]]:
         sig, _, _, _, _, _, _, count, size, start = struct.unpack("<IQHHIIQQQQ", file.read_at(56, where))
         if sig != END64:
             raise ValueError("the ZIP64 locator points to no directory")
-    raw, p, found = file.read_at(size, start), 0, {}
+    raw, p, found = file.read_at(size, start), 0, dict[str, tuple[int, int] | None]()
     for _ in range(count):
         sig, _, _, _, method, _, _, _, packed, plain, n_name, n_extra, n_note, _, _, _, offset = struct.unpack_from("<IHHHHHHIIIHHHHHII", raw, p)
         if sig != CENTRAL:
@@ -118,6 +148,7 @@ def directory(file) -> dict[str, tuple[int, int]]:
                 offset = next(wide) if offset == FULL32 else offset
             q += 4 + length
         p += 46 + n_name + n_extra + n_note
+        found[name] = None
         if method == 0:
             head = file.read_at(30, offset)
             if struct.unpack_from("<I", head)[0] != LOCAL:
@@ -146,15 +177,17 @@ def parse(raw: bytes) -> dict:
         raise ValueError("no WARC record")
     headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
     block = rest[: int(headers["content-length"])]
+    if not block.startswith(b"HTTP/"):
+        return {"headers": headers, "http": {}, "payload": block}
     http, _, payload = block.partition(b"\r\n\r\n")
-    fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in http.decode().split("\r\n")[1:])}
+    fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in http.decode("latin-1").split("\r\n")[1:])}
     return {"headers": headers, "http": fields, "payload": payload}
 
 
 def write_packages(pages: DataFrame, folder: str | None = None, *, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", zip64: bool = False) -> DataFrame:
     """Writes one package for each partition of pages; (path, records) of those written, saved."""
     spark = pages.sparkSession
-    folder = folder or store.new_path(spark, "packages")
+    folder = _qualified(folder or store.new_path(spark, "packages"), _root(spark))
     rows = pages.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").alias("url"), F.coalesce(F.col(f"`{html_col}`"), F.lit("")).alias("html"))
     rows = rows.withColumn("sha", F.sha1(F.col("html").cast("binary")))
     same = rows.where(F.octet_length("html") >= min_bytes).groupBy("sha").agg(F.count("*").alias("n"), F.max("id").alias("keeper")).where("n > 1 and keeper is not null").select("sha", "keeper")
@@ -190,36 +223,78 @@ def write_packages(pages: DataFrame, folder: str | None = None, *, min_bytes: in
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([len(entries)], pa.int64())], ["path", "records"])
 
-    return store.saved(rows.mapInArrow(run, "path string, records long"), "manifest")
-
-
-def _ranges(read_bytes: int):
-    """(path) -> (path, start, length, ends): neighbouring records of a package, about read_bytes at a time."""
+    try:
+        return store.saved(rows.mapInArrow(run, "path string, records long"), "manifest")
+    finally:
+        store.forget(shared)
+
+
+def places(file) -> dict[str, list[tuple[int, int]]]:
+    """(offset, length) of the records of each archive of an open package, by the member's name, as its indexes have them."""
+    held, out = members(file), dict[str, set[tuple[int, int]]]()
+    indexes = [name for name in held if _INDEXES.fullmatch(name)]
+    if not indexes:
+        raise ValueError("the package has no index")
+
+    def stored(name: str) -> tuple[int, int]:
+        if name not in held:
+            raise ValueError(f"the package has no member {name}")
+        if held[name] is None:
+            raise ValueError(f"{name} is compressed in the package; only stored members can be read by ranges")
+        return held[name]
+
+    for name in indexes:
+        at, size = stored(name)
+        raw = file.read_at(size, at)
+        for line in (gzip.decompress(raw) if name.endswith(".gz") else raw).decode().splitlines():
+            if "{" in line:  # others are comments or headers
+                entry = json.loads(line[line.index("{") :])
+                archive = entry["filename"] if entry["filename"] in held else f"archive/{entry['filename']}"
+                stored(archive)
+                out.setdefault(archive, set()).add((int(entry["offset"]), int(entry["length"])))
+    return {archive: sorted((held[archive][0] + offset, length) for offset, length in found) for archive, found in out.items()}
+
+
+def _ranges(read_bytes: int, root: str):
+    """(path) -> (path, start, length, ends): neighbouring records of an archive, about read_bytes at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch.column("path").to_pylist():
+                path = _qualified(path, root)
                 system, local = _open(path)
                 with system.open_input_file(local) as file:
-                    members = directory(file)
-                    first, _ = members[ARCHIVE]
-                    at, size = members[INDEX]
-                    index = file.read_at(size, at).decode()
-                places = sorted((int(e["offset"]), int(e["length"])) for e in (json.loads(line.split(" ", 2)[2]) for line in index.splitlines()))
+                    found = places(file)
                 rows: list[tuple[int, list[int]]] = []
-                for offset, length in places:
-                    if not rows or rows[-1][0] + rows[-1][1][-1] != first + offset or rows[-1][1][-1] + length > read_bytes:
-                        rows.append((first + offset, [length]))
-                    else:
-                        rows[-1][1].append(rows[-1][1][-1] + length)
+                for records in found.values():
+                    begun = len(rows)
+                    for at, length in records:
+                        if len(rows) == begun or rows[-1][0] + rows[-1][1][-1] != at or rows[-1][1][-1] + length > read_bytes:
+                            rows.append((at, [length]))
+                        else:
+                            rows[-1][1].append(rows[-1][1][-1] + length)
                 yield pa.RecordBatch.from_arrays([pa.array([path] * len(rows)), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int64()))], ["path", "start", "ends"])
 
     return run
 
 
 def _number(urn: str | None) -> int | None:
-    text = (urn or "").removeprefix("<urn:x-page:").removesuffix(">")
-    return int(text) if text else None
+    """The page of a record's name; null for records that were not written here."""
+    found = re.fullmatch(r"<urn:x-page:(-?\d+)>", urn or "")
+    return int(found[1]) if found else None
+
+
+def _content(found: dict) -> tuple[int | None, str | None, bytes | None]:
+    """(size, digest, payload) of a parsed record. What the record says of its payload is compared with it; a revisit has no payload, and a payload in chunks is given as it is."""
+    h, http, payload = found["headers"], found["http"], found["payload"]
+    digest = h["warc-payload-digest"].removeprefix("sha1:") if h.get("warc-payload-digest", "").startswith("sha1:") else None
+    size = int(http["content-length"]) if http.get("content-length", "").isdigit() else None
+    if h["warc-type"] == "revisit":
+        return size, digest, None
+    own = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+    if h["warc-type"] == "response" and "transfer-encoding" not in http and (size not in (None, len(payload)) or digest not in (None, own)):
+        raise ValueError(f"record {h['warc-record-id']} does not match its digest")
+    return len(payload), own, payload
 
 
 def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,32 +305,30 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 raw = file.read_at(row["ends"][-1], row["start"])
             out = []
             for a, b in zip([0, *row["ends"][:-1]], row["ends"], strict=True):
-                found = parse(gzip.decompress(raw[a:b]))
-                h, payload = found["headers"], found["payload"]
-                digest, size = h["warc-payload-digest"].removeprefix("sha1:"), int(found["http"]["content-length"])
-                if h["warc-type"] == "response":
-                    if (len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode()) != (size, digest):
-                        raise ValueError(f"record {h['warc-record-id']} does not match its digest")
-                out.append((_number(h["warc-record-id"]), h["warc-target-uri"], size, digest, h["warc-type"], _number(h.get("warc-refers-to")), payload if h["warc-type"] == "response" else None))
-            names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], kinds[i]) for i in range(7)], names)
+                found = parse(gzip.decompress(raw[a:b]) if raw[a : a + 2] == b"\x1f\x8b" else raw[a:b])
+                h = found["headers"]
+                size, digest, payload = _content(found)
+                out.append((_number(h["warc-record-id"]), h.get("warc-target-uri"), size, digest, h["warc-type"], _number(h.get("warc-refers-to")), payload, h["warc-record-id"]))
+            names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload", "record_id"]
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], kinds[i]) for i in range(len(kinds))], names)
 
 
 def read_packages(packages: DataFrame, *, read_bytes: int = 4 << 20) -> DataFrame:
-    """packages (path) -> (page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload) of every record.
+    """packages (path) -> (page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload, record_id) of every record that the indexes list.
 
-    payload is null for revisits; size and digest are those of the full payload.
+    payload is null for revisits; size and digest are those of the full payload. page_id and refers_to are null where records bear other names; record_id has the name as it is.
     """
-    ranges = packages.select("path").mapInArrow(_ranges(read_bytes), "path string, start long, ends array<long>")
-    ranges = store.saved(ranges, "ranges")
     spark = packages.sparkSession
-    return ranges.repartition(store.partitions(spark), "path", "start").mapInArrow(_records, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    ranges = store.saved(packages.select("path").mapInArrow(_ranges(read_bytes, _root(spark)), "path string, start long, ends array<long>"), "ranges")
+    return ranges.repartition(store.partitions(spark), "path", "start").mapInArrow(_records, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary, record_id string")
 
 
 def op9_warc_zip(spark, sf_dir: str) -> DataFrame:
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return read_packages(write_packages(pages)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    written = write_packages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    found = read_packages(written)
+    store.forget(written)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 #: Five hex digits of the SHA-1 are four base32 digits.
