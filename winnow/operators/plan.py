@@ -1,6 +1,9 @@
 """Cleanup plans: tables that say which files to keep, remove or skip. Nothing is deleted.
 
 Every plan leaves at least one copy in every group. The reference of a group is its first remaining member by full_path.
+
+Groups are quick ones (name, size_bytes) unless ``deep`` is set: then members that share their sha256 as well are a group, each set of equal files keeps a copy of its own, and members need the column
+sha256 (files without a digest are in no group). Give the members of the groups in question, groups.members_of().
 """
 
 from __future__ import annotations
@@ -13,12 +16,23 @@ from winnow.operators.digest import with_file_verdict, with_reference_verdict
 from winnow.operators.groups import QUICK, active, digest_groups, met
 
 
-def batch_plan(members: DataFrame, removed: DataFrame | None = None) -> DataFrame:
+def _by_digest(members: DataFrame) -> DataFrame:
+    """Members whose deep groups are quick groups: the digest is part of the name."""
+    return members.where("sha256 IS NOT NULL").withColumn("name", F.concat("name", F.lit("\n"), "sha256"))
+
+
+def _as_before(plan: DataFrame) -> DataFrame:
+    return plan.withColumn("name", F.expr("left(name, length(name) - 65)"))
+
+
+def batch_plan(members: DataFrame, removed: DataFrame | None = None, deep: bool = False) -> DataFrame:
     """(full_path, name, size_bytes, reference_path, action) for groups with two or more members left.
 
     The first member is kept; every other one is compared with that one only, and removed if equal, else skipped. Contents in a column are compared by their
     SHA-256 (or by a column sha256), so that no content is shuffled; files in rounds, each read once. Members without a name are in no group.
     """
+    if deep:
+        return _as_before(batch_plan(_by_digest(members), removed))
     left = members.where("name IS NOT NULL")
     left = left if removed is None else active(left, removed)
     total = left.count()
@@ -67,17 +81,21 @@ def survivors(inventory: DataFrame, gone: DataFrame) -> DataFrame:
     return inventory.join(gone.select("full_path").distinct(), "full_path", "left_anti")
 
 
-def lost_groups(members: DataFrame, gone: DataFrame) -> DataFrame:
+def lost_groups(members: DataFrame, gone: DataFrame, deep: bool = False) -> DataFrame:
     """Groups of which nothing is left; a sound plan has none."""
+    if deep:
+        return _as_before(lost_groups(_by_digest(members), gone))
     left = active(members, gone).select(*QUICK).distinct()
     return members.select(*QUICK).distinct().join(left, list(QUICK), "left_anti")
 
 
-def request_plan(members: DataFrame, requests: DataFrame, removed: DataFrame | None = None) -> DataFrame:
+def request_plan(members: DataFrame, requests: DataFrame, removed: DataFrame | None = None, deep: bool = False) -> DataFrame:
     """Outcome of single removals, at most one request in a group: (full_path, name, size_bytes, reference_path, outcome).
 
     The reference is the first other member that is left. Members are compared by their sha256; without that column they are files, and each pair is compared byte by byte. requests: (full_path).
     """
+    if deep:
+        return _as_before(request_plan(_by_digest(members), requests, removed))
     by_digest = "sha256" in members.columns
     marked = members.select("full_path", *QUICK, F.col("sha256") if by_digest else F.lit(None).cast("string").alias("sha256")).where("name IS NOT NULL")
     gone = (removed if removed is not None else members.limit(0)).select("full_path").distinct().withColumn("gone", F.lit(True))
@@ -127,7 +145,7 @@ def _verified(members: DataFrame, requests: DataFrame, removed: DataFrame | None
     return files.join(same, "full_path", "left")
 
 
-def request_plan_ordered(members: DataFrame, requests: DataFrame, removed: DataFrame | None = None) -> DataFrame:
+def request_plan_ordered(members: DataFrame, requests: DataFrame, removed: DataFrame | None = None, deep: bool = False) -> DataFrame:
     """Outcome of any number of requests (full_path, seq), decided in the order of seq: (seq, full_path, name, size_bytes, outcome).
 
     The reference of a request is the first other member that is left when its turn comes. No group is gathered: only members
@@ -136,6 +154,8 @@ def request_plan_ordered(members: DataFrame, requests: DataFrame, removed: DataF
     first asked for, except the leading one that is asked for last if all leading ones are. Requests of equal seq follow the order of their paths.
     Members without sha256 are files; those of the groups asked for are verified first, byte for byte.
     """
+    if deep:
+        return _as_before(request_plan_ordered(_by_digest(members), requests, removed))
     members = members if "sha256" in members.columns else _verified(members, requests, removed)
     total = members.count()
     marked = members.select("full_path", *QUICK, "sha256").where("name IS NOT NULL AND size_bytes IS NOT NULL")

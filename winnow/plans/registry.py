@@ -140,6 +140,19 @@ def _plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.batch_plan(_digested(spark, sf_dir))
 
 
+def deep_batch_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members = _digested(spark, sf_dir)
+    return plan.batch_plan(g.members_of(members, g.digest_groups(members)), deep=True)
+
+
+def deep_request_plan_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests for every member of every deep group, highest document first, after every seventh document went."""
+    digested = _digested(spark, sf_dir)
+    members = g.members_of(digested, g.digest_groups(digested))
+    requests = members.select("full_path", (-F.element_at(F.split("parent", "/"), 2).cast("long")).alias("seq"))
+    return plan.request_plan_ordered(members, requests, _removed(_documents(spark, sf_dir)), deep=True)
+
+
 def batch_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.batch_outcome(_plan(spark, sf_dir))
 
@@ -203,6 +216,8 @@ QUERIES: dict[str, Query] = {
     "remaining_copies": remaining_copies,
     "any_removable": any_removable,
     "batch_plan": _plan,
+    "deep_batch_plan": deep_batch_plan,
+    "deep_request_plan_ordered": deep_request_plan_ordered,
     "batch_outcome": batch_outcome,
     "survivors": survivors,
     "lost_groups": lost_groups,
@@ -266,6 +281,12 @@ ORACLE_SQL: dict[str, str] = {
     "remaining_copies": f"WITH {_LEFT} SELECT name, size_bytes, copies, remaining, remaining <= 1 AS locked FROM remaining",
     "any_removable": f"WITH {_LEFT} SELECT coalesce(bool_or(remaining > 1), false) AS removable FROM remaining",
     "batch_plan": f"WITH {_PLAN} SELECT * FROM plan",
+    "deep_batch_plan": f"""WITH {_DOCS}, r AS (SELECT *, count(*) OVER w AS n, min(full_path) OVER w AS reference_path FROM docs WHERE content IS NOT NULL WINDOW w AS (PARTITION BY name, size_bytes, content))
+      SELECT full_path, name, size_bytes, reference_path, CASE WHEN full_path = reference_path THEN 'keep' ELSE 'remove' END AS action FROM r WHERE n > 1""",
+    # the highest document comes first, so of what is left each but the first goes, and the first is the last copy
+    "deep_request_plan_ordered": f"""WITH {_DOCS}, m AS (SELECT *, doc_id % 7 = 0 AS gone, count(*) OVER (PARTITION BY name, size_bytes, content) AS n FROM docs WHERE content IS NOT NULL),
+      v AS (SELECT *, min(full_path) FILTER (NOT gone) OVER (PARTITION BY name, size_bytes, content) AS head FROM m WHERE n > 1)
+      SELECT -doc_id AS seq, full_path, name, size_bytes, CASE WHEN gone THEN 'already_removed' WHEN full_path = head THEN 'refused_last_copy' ELSE 'removed' END AS outcome FROM v""",
     "batch_outcome": f"""WITH {_PLAN}, n AS (SELECT count(*) FILTER (action = 'remove') AS removed, count(*) FILTER (action = 'skip') AS skipped,
       CAST(coalesce(sum(size_bytes) FILTER (action = 'remove'), 0) AS BIGINT) AS recovered_bytes FROM plan)
       SELECT *, CASE WHEN removed > 0 THEN 'removed' WHEN skipped > 0 THEN 'only_skipped' ELSE 'nothing' END AS outcome FROM n""",
