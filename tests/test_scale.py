@@ -60,7 +60,7 @@ def test_ranks_are_dealt_once(spark, many_groups):
     assert "rangepartitioning" not in out._jdf.queryExecution().executedPlan().toString()
 
 
-CONTENT_QUERIES = ["deep_groups", "group_files", "deep_totals", "batch_plan", "batch_outcome", "survivors", "lost_groups", "request_plan", "request_plan_ordered", "recovered_total", "savings"]
+CONTENT_QUERIES = ["deep_groups", "group_files", "deep_batch_plan", "deep_request_plan_ordered", "deep_totals", "batch_plan", "batch_outcome", "survivors", "lost_groups", "request_plan", "request_plan_ordered", "recovered_total", "savings"]
 
 
 def exchanged(df):
