@@ -18,7 +18,7 @@ from winnow.functions.scalars import content_digest
 from winnow.operators.digest import with_file_digest
 from winnow.sources import shared
 
-FILTER_BITS = 1 << 26  # 8 MB in words of 64 bits, a broadcast of fixed size
+FILTER_BITS = 1 << 26  # 8 MB in words of 64 bits, at most a million rows to broadcast
 QUICK = ("name", "size_bytes")
 DEEP = ("name", "size_bytes", "sha256")
 
@@ -43,26 +43,26 @@ def quick_groups(inventory: DataFrame) -> DataFrame:
 
 
 def key_filter(keys: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
-    """A Bloom filter of (name, size_bytes) keys as a table (word, set): the 64-bit words that have a bit set. At most bits / 64 rows, whatever the number of keys."""
-    places = keys.select(F.explode(F.array(*_places(bits))).alias("place"))
-    return places.groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(_bit(F.col("place"))).alias("set"))
+    """A Bloom filter of (name, size_bytes) keys as a table (word, set): a key sets up to three bits of one 64-bit word, and words without any are left out. At most bits / 64 rows, whatever the number of keys; a
+    filter that fills up lets more other keys pass, and still all of its own."""
+    return keys.select(_word(bits).alias("word"), _mask().alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("set"))
 
 
 def maybe_in(rows: DataFrame, table: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
     """The rows whose (name, size_bytes) may be in the filter, none that is in it left out; nothing is shuffled, as the filter goes to every task."""
-    out = rows
-    for i, place in enumerate(_places(bits)):
-        one = table.select(F.col("word").alias(f"filter_word_{i}"), F.col("set").alias(f"filter_set_{i}"))
-        out = out.join(F.broadcast(one), F.shiftright(place, 6) == F.col(f"filter_word_{i}")).where(F.col(f"filter_set_{i}").bitwiseAND(_bit(place)) != 0)
+    words = table.select(F.col("word").alias("filter_word"), F.col("set").alias("filter_set"))
+    out = rows.join(F.broadcast(words), _word(bits) == F.col("filter_word")).where(F.col("filter_set").bitwiseAND(_mask()) == _mask())
     return out.select(*[F.col(f"`{c}`") for c in rows.columns])
 
 
-def _places(bits: int) -> list[Column]:
-    return [F.pmod(F.xxhash64(F.lit(i), "name", "size_bytes"), F.lit(bits)) for i in range(2)]
+def _word(bits: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(0), "name", "size_bytes"), F.lit(bits // 64))
 
 
-def _bit(place: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))
+def _mask() -> Column:
+    h = F.xxhash64(F.lit(1), "name", "size_bytes")
+    bits = [F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(h, 6 * i).bitwiseAND(F.lit(63)).cast("int")) for i in range(3)]
+    return bits[0].bitwiseOR(bits[1]).bitwiseOR(bits[2])
 
 
 def with_digest(inventory: DataFrame) -> DataFrame:

@@ -5,7 +5,6 @@ Columns: parent, name, full_path, ext, is_dir, is_hidden, size_bytes, size_label
 
 from __future__ import annotations
 
-import functools
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -125,32 +124,35 @@ def _expanded(budget: int):
     return run
 
 
-def tree_listing(spark: SparkSession, root: str, tasks: int = 64, budget: int = 100_000) -> list[DataFrame]:
-    """The entries below root, (parent, name, is_dir, size_bytes, todo), as saved tables, one for each round.
+LISTED = RAW + ", todo string"
 
-    The frontier, the directories still to be listed, is a table. Each round deals it evenly to ``tasks`` tasks, each of which goes down from its directories for ``budget`` entries and puts back what it has
-    not reached. So a sub-tree that dominates is dealt anew every round, and the driver lists nothing.
+
+def tree_listing(spark: SparkSession, root: str, tasks: int | None = None, budget: int = 100_000) -> list[str]:
+    """Lists what lies below root: the paths of tables (parent, name, is_dir, size_bytes, todo) in the shared folder, one for each round.
+
+    The frontier, the directories still to be listed, is a table. Each round deals it evenly to ``tasks`` tasks (by default four for each core), each of which goes down from its directories for
+    ``budget`` entries and puts back what it has not reached, as rows with todo. So a sub-tree that dominates is dealt anew every round, and the driver lists nothing.
     """
-    rounds: list[DataFrame] = []
+    tasks = tasks or 4 * spark.sparkContext.defaultParallelism
+    rounds: list[str] = []
     frontier = spark.createDataFrame([(root,)], "path string")
     while True:
-        found = shared.saved(frontier.repartition(tasks).mapInPandas(_expanded(budget), RAW + ", todo string"), "listing")
-        rounds.append(found)
-        frontier = found.where("todo IS NOT NULL").select(F.col("todo").alias("path"))
+        rounds.append(shared.new_path(spark, "listing"))
+        frontier.repartition(tasks).mapInPandas(_expanded(budget), LISTED).write.parquet(rounds[-1])
+        frontier = spark.read.schema(LISTED).parquet(rounds[-1]).where("todo IS NOT NULL").select(F.col("todo").alias("path"))
         if frontier.isEmpty():
             return rounds
 
 
-def scan_tree(spark: SparkSession, root: str, tasks: int = 64, canonical: bool = True, budget: int = 100_000) -> DataFrame:
+def scan_tree(spark: SparkSession, root: str, tasks: int | None = None, canonical: bool = True, budget: int = 100_000) -> DataFrame:
     """The inventory of a directory tree, listed once, when this is called. Hidden entries and directories are included, links not followed; the root must be mounted on every executor.
 
     canonical: names that are canonically equal in Unicode get one spelling; full_path keeps its own.
     """
     if not os.path.isdir(root):
         raise ValueError(f"no directory: {root}")
-    rounds = tree_listing(spark, root, tasks, budget)
-    raw = functools.reduce(DataFrame.unionAll, [r.where("todo IS NULL").drop("todo") for r in rounds])
-    found = with_columns(raw)
+    listed = spark.read.schema(LISTED).parquet(*tree_listing(spark, root, tasks, budget))
+    found = with_columns(listed.where("todo IS NULL").drop("todo"))
     return canonical_names(found) if canonical else found
 
 

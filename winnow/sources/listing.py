@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +27,12 @@ def ledger_rows(removals: DataFrame, reason: str | None = None) -> DataFrame:
 
 
 def write_ledger_batch(removals: DataFrame, path: str, batch: str, reason: str | None = None) -> None:
-    """Writes removals as the batch of that id of the ledger at path. Writing a batch again replaces it, so a job that is run twice leaves one copy, and other batches stay as they are."""
+    """Writes removals as the batch of that id of the ledger at path. Writing a batch again replaces it, so a job that is run twice leaves one copy, and other batches stay as they are.
+
+    An id consists of letters, digits, dots, dashes and underscores.
+    """
+    if not re.fullmatch(r"[A-Za-z0-9._-]+", batch):
+        raise ValueError(f"no name for a batch: {batch!r}")
     rows = ledger_rows(removals, reason)
     if rows.isEmpty():
         rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")

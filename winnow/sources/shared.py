@@ -27,10 +27,13 @@ def folder(spark: SparkSession) -> str:
     return _own[app]
 
 
+def new_path(spark: SparkSession, label: str) -> str:
+    return f"{folder(spark)}/winnow/{label}-{uuid.uuid4().hex}"
+
+
 def saved(rows: DataFrame, label: str) -> DataFrame:
     """Writes the rows once and reads them back, so that everything built on them sees the same rows and no lost executor brings back the work before."""
-    spark = rows.sparkSession
-    path = f"{folder(spark)}/winnow/{label}-{uuid.uuid4().hex}"
+    spark, path = rows.sparkSession, new_path(rows.sparkSession, label)
     rows.write.parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
 
