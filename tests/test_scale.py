@@ -242,7 +242,7 @@ def test_listing_is_even(spark, tmp_path):
         (tmp_path / "wide" / f"{i:05}").mkdir(parents=True)
         if i % 10 == 0:
             (tmp_path / "wide" / f"{i:05}" / "x").touch()
-    rounds = inv.tree_listing(spark, str(tmp_path), tasks=8, budget=500)
+    rounds = [spark.read.schema(inv.LISTED).parquet(p) for p in inv.tree_listing(spark, str(tmp_path), tasks=8, budget=500)]
     entries = [r.where("todo IS NULL").groupBy(F.input_file_name()).count().collect() for r in rounds]
     assert sum(r["count"] for e in entries for r in e) == 120 * 2 + 1 + 10_000 + 1000
     assert len(rounds) < 12 and all(len(e) <= 8 for e in entries)
@@ -290,6 +290,8 @@ def test_a_batch_written_twice_is_there_once(spark, tmp_path):
     held = read_ledger(spark, path)
     assert sorted((r.full_path, r.batch, r.reason) for r in held.collect()) == [("/a", "one", "duplicate"), ("/a", "two", None), ("/b", "one", "duplicate")]
     assert held.where("recorded_at IS NULL").isEmpty() and ledger.recovered(ledger.add(held, rows)).first() == (2, 12)
+    with pytest.raises(ValueError):
+        write_ledger_batch(rows, path, "a/b")
     write_ledger_batch(rows.limit(0), path, "two")
     assert {r.batch for r in read_ledger(spark, path).collect()} == {"one"}
 
