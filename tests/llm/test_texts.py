@@ -548,3 +548,11 @@ def test_pipeline_equals_brute_force(spark):
 
 def test_folds():
     assert zlib.crc32(b"1") % 5 == 3  # the fold is that of the text of the id
+
+
+def test_scores_do_not_depend_on_which_words_are_rare(spark):
+    rng = random.Random(8)
+    docs = spark.createDataFrame([(i, " ".join(f"w{chr(97 + rng.randrange(26))}{rng.randrange(40)}" for _ in range(30)), "en") for i in range(60)], "doc_id long, text string, lang string")
+    on = F.col("doc_id") % 3 != 0
+    rare, often = ({r.doc_id: r.score for r in lattice_lm.score_documents(docs, on, frequent=n).collect()} for n in (1, 10**9))
+    assert rare == pytest.approx(often, rel=1e-12)

@@ -190,7 +190,7 @@ class Spelling:
         known = self.h[at] == h if len(self.h) else np.zeros(len(h), bool)
         out = np.where(known, self.spelt[at], 0.0) if len(self.h) else np.zeros(len(h))
         new = np.flatnonzero(~known)
-        out[new] = self.model.log_prob([word(i) for i in new])
+        out[new] = self.model.log_prob([word(i) for i in new]).astype("<f4")  # as they are packed for rare words, so that it makes no difference which words are rare
         if len(self.h) + len(new) > self.most:
             self.h, self.spelt = h, out
         elif len(new):
