@@ -83,8 +83,11 @@ class Pieces:
         starts = np.concatenate([np.full(len(p), a) for p, a in zip(points, cut[:-1], strict=True)])
         self._prefix = np.zeros(1 << _BITS, bool)
         self._prefix[span_hash(prefix, starts, np.arange(1, len(flat) + 1)) >> np.uint64(64 - _BITS)] = True
-        self._maybe = np.zeros(1 << _BITS, bool)
-        self._maybe[self.hash >> np.uint64(64 - _BITS)] = True
+        # the place of the piece by the leading bits of its hash; where several share these, the last one's, and the others in a table of their own
+        top = self.hash >> np.uint64(64 - _BITS)
+        self._slot = np.full(1 << _BITS, -1, np.int32)
+        self._slot[top] = np.arange(len(top))
+        self._crowded = np.flatnonzero(self._slot[top] != np.arange(len(top)))
         #: What a piece decodes to.
         self.bytes = [t.replace("▁", " ").encode() for t in self.text]
         for b, i in enumerate(self.byte_id):
@@ -93,12 +96,16 @@ class Pieces:
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Index of the piece with each hash, or -1."""
+        at = self._slot[h >> np.uint64(64 - _BITS)]
+        near = np.flatnonzero(at >= 0)
         out = np.full(len(h), -1, np.int64)
-        maybe = np.flatnonzero(self._maybe[h >> np.uint64(64 - _BITS)])
-        at = np.searchsorted(self.hash, h[maybe])
-        at[at == len(self.hash)] = 0
-        hit = self.hash[at] == h[maybe]
-        out[maybe[hit]] = at[hit]
+        hit = self.hash[at[near]] == h[near]
+        out[near[hit]] = at[near[hit]]
+        rest = near[~hit]
+        if len(rest) and len(self._crowded):
+            place = np.minimum(np.searchsorted(self.hash[self._crowded], h[rest]), len(self._crowded) - 1)
+            found = self.hash[self._crowded[place]] == h[rest]
+            out[rest[found]] = self._crowded[place[found]]
         return out
 
     def can_grow(self, h: np.ndarray) -> np.ndarray:

@@ -256,6 +256,15 @@ def changed(best: list[int], changes: list[tuple[int, int, list[int]]]) -> list[
     return out + best[end:]
 
 
+def replaced(best: np.ndarray, changes: list[tuple[int, int, list[int]]]) -> np.ndarray:
+    """As changed(), for an array of little-endian ids."""
+    parts, end = [], 0
+    for start, size, ids in changes:
+        parts += [best[end:start], np.array(ids, "<i4")]
+        end = start + size
+    return np.concatenate([*parts, best[end:]])
+
+
 def ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """start[0] .. start[0]+size[0]-1, start[1] .. and so on."""
     total = int(size.sum())
@@ -265,8 +274,12 @@ def ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(start - (ends - size), size)
 
 
+def spelt(p: Pieces, ids: list[int]) -> bytes:
+    return b"".join([p.bytes[i] for i in ids])
+
+
 def decode_ids(p: Pieces, ids: list[int]) -> bytes:
-    return b"".join([p.bytes[i] for i in ids])[1:]
+    return spelt(p, ids)[1:]
 
 
 def encode(docs: DataFrame, text_col: str = "text", *, n: int = 4, model: str | None = None) -> DataFrame:
@@ -339,13 +352,15 @@ def _round_trip(path: str, n: int):
                 for d, text in enumerate(texts):
                     ids = block.doc_ids(d)
                     best = block.n_best(d, n)
-                    first = ids.tolist()
-                    every = [first, *[changed(first, c) for c in block.alternatives(d, best)]]
-                    all_ids = hashlib.sha256()
-                    for one in every:
-                        all_ids.update(np.array([len(one), *one], "<i4").tobytes())
-                    fits = None if null[a + d] else all(decode_ids(p, one) == text for one in every)
-                    rows.append((len(ids), best[0][0], len(best), best[-1][0], hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest(), all_ids.hexdigest(), fits))
+                    first = ids.astype("<i4")
+                    fits = None if null[a + d] else decode_ids(p, ids.tolist()) == text
+                    all_ids = hashlib.sha256(np.int32(len(ids)).tobytes() + first.tobytes())
+                    for changes in block.alternatives(d, best):
+                        # it decodes to the text if the best does and what it changes stands for the same bytes
+                        fits = fits and all(spelt(p, new) == spelt(p, first[start : start + size].tolist()) for start, size, new in changes)
+                        other = replaced(first, changes)
+                        all_ids.update(np.int32(len(other)).tobytes() + other.tobytes())
+                    rows.append((len(ids), best[0][0], len(best), best[-1][0], hashlib.sha256(first.tobytes()).hexdigest(), all_ids.hexdigest(), fits))
                 kinds = [("n_pieces", pa.int64()), ("score", pa.float64()), ("n_best", pa.int32()), ("last_score", pa.float64()), ("pieces_sha256", pa.string()), ("n_best_sha256", pa.string()), ("round_trip", pa.bool_())]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), *[pa.array([r[i] for r in rows], k) for i, (_, k) in enumerate(kinds)]], ["doc_id", *[k for k, _ in kinds]])
 
