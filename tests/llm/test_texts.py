@@ -97,6 +97,15 @@ def test_line_dedup_edges(spark):
     assert line_dedup.drop_recurring_lines(docs.limit(0)).isEmpty()
 
 
+@pytest.mark.parametrize("strict", [False, True])
+def test_texts_are_shuffled_once_at_every_size(spark, strict):
+    docs = spark.createDataFrame([(i, f"own text of document {i}\nthe same line in all of them") for i in range(12)], "doc_id long, text string")
+    out = line_dedup.drop_recurring_lines(docs, strict=strict)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 1 and "BroadcastHashJoin" not in plan
+    assert sorted(r.text.count("\n") for r in out.collect()) == [0] * 11 + [1]
+
+
 def test_clean_lines_stay_in_the_pipeline(spark):
     import corpus_pipeline
 

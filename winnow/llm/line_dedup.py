@@ -118,7 +118,8 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     out = [stay.alias(c) if c == text_col else F.col(f"own_{i}").alias(c) for i, c in enumerate(own)]
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).cast("long")
     n_dropped = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long")
-    return numbered.join(gone, "row", "left").select(*out, n_lines.alias("n_lines"), n_dropped.alias("n_dropped"))
+    # a shuffle at every size: how much is moved must not jump where gone outgrows a broadcast
+    return numbered.join(gone.hint("merge"), "row", "left").select(*out, n_lines.alias("n_lines"), n_dropped.alias("n_dropped"))
 
 
 def op7_line_dedup(spark, sf_dir: str) -> DataFrame:
