@@ -233,3 +233,25 @@ def test_clusters_need_a_shared_folder():
         store.shared_dir(Session)
     Session.conf = {"spark.checkpoint.dir": "hdfs://shared/"}
     assert store.shared_dir(Session) == "hdfs://shared"
+
+
+def test_bucket_gaps_take_a_byte_a_token_however_many_buckets_there_are():
+    rng = np.random.default_rng(5)
+    for bits in (20, 24, 28):
+        places = np.sort(rng.integers(0, 1 << bits, 1_500_000, dtype=np.uint32))
+        coded = ngram_join._coded(np.diff(places, prepend=np.uint32(0)))
+        assert (ngram_join._decoded(coded) == places).all() and len(coded) < 1.4 * len(places)
+    for places in ([], [0], [0, 0, 254, 255, 255, 510], [255], [3 * 255, 3 * 255, 4 * 255 - 1]):
+        assert ngram_join._decoded(ngram_join._coded(np.diff(np.array(places, np.uint32), prepend=np.uint32(0)))).tolist() == places
+
+
+def test_arrow_batches_stay_small(spark):
+    store.narrow_batches(spark)
+    docs = spark.range(0, 6_000, 1, 1).selectExpr("id AS doc_id", "repeat('word ', 1000) AS text")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["size"])
+
+    assert max(r.size for r in docs.mapInArrow(sizes, "size long").collect()) < 5 << 20
+    assert ngram_join.jaccard_components(docs.limit(10), k=4, percent=85).where("component_id <> 0").isEmpty()

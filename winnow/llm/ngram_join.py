@@ -74,8 +74,22 @@ def _sizes(k: int):
     return run
 
 
+def _coded(gaps: np.ndarray) -> bytes:
+    """Gaps as bytes, each 255 standing for 255 more: about one byte a token however many buckets there are."""
+    more = gaps // 255
+    out = np.full(len(gaps) + int(more.sum()), 255, np.uint8)
+    out[np.cumsum(more.astype(np.int64) + 1) - 1] = gaps % 255
+    return out.tobytes()
+
+
+def _decoded(coded: bytes) -> np.ndarray:
+    """The sums of the gaps so far, so the places of the buckets."""
+    x = np.frombuffer(coded, np.uint8)
+    return np.cumsum(x, dtype=np.int64)[x < 255]
+
+
 def _bucket_counts(k: int, bits: int, parts: int):
-    """Each task's token buckets, sorted and stored as gaps, dealt by bucket range: (part, width, gaps)."""
+    """Each task's token buckets, sorted and stored as gaps, dealt by bucket range: (part, gaps)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -87,14 +101,8 @@ def _bucket_counts(k: int, bits: int, parts: int):
             per = (1 << bits) // parts
             cut = np.searchsorted(all_, np.arange(parts + 1, dtype=np.uint32) * np.uint32(per))
             cut[-1] = len(all_)
-            rows: list[tuple[int, int, bytes]] = []
-            for p in range(parts):
-                own = all_[cut[p] : cut[p + 1]]
-                if len(own):
-                    gaps = np.diff(own, prepend=np.uint32(p * per))
-                    width = next(w for w in (1, 2, 4) if int(gaps.max()) < 1 << (8 * w))
-                    rows.append((p, width, gaps.astype(f"<u{width}").tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["part", "width", "gaps"])
+            rows = [(p, _coded(np.diff(all_[cut[p] : cut[p + 1]], prepend=np.uint32(p * per)))) for p in range(parts) if cut[p] < cut[p + 1]]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["part", "gaps"])
 
         for batch in batches:
             for _, _, texts in blocks(batch, "text"):
@@ -125,8 +133,8 @@ def _bucket_maps(bits: int, parts: int, over: list[float]):
         per = (1 << bits) // parts
         counts = np.zeros(per, np.uint32)
         for batch in rows:
-            for width, gaps in zip(batch.column("width").to_pylist(), batch.column("gaps").to_pylist(), strict=True):
-                np.add(counts, np.bincount(np.cumsum(np.frombuffer(gaps, f"<u{width}"), dtype=np.int64), minlength=per).astype(np.uint32), out=counts)
+            for gaps in batch.column("gaps").to_pylist():
+                np.add(counts, np.bincount(_decoded(gaps), minlength=per).astype(np.uint32), out=counts)
         most = counts.reshape(-1, FOLD).max(axis=1)
         maps = [np.packbits(counts > 1), *[np.packbits(most > limit) for limit in over]]
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([[m.tobytes() for m in maps]], pa.list_(pa.binary()))], ["part", "maps"])
@@ -145,7 +153,7 @@ class TokenClasses:
         bits, parts = min(max(20, tokens.bit_length()), most_bits), 64
         load = tokens / (1 << bits)
         over = [load + 4 * math.sqrt(load) + frequent**c for c in (1, 2)]
-        gaps = texts.mapInArrow(_bucket_counts(k, bits, parts), "part int, width int, gaps binary")
+        gaps = texts.mapInArrow(_bucket_counts(k, bits, parts), "part int, gaps binary")
         maps = gaps.groupBy("part").applyInArrow(_bucket_maps(bits, parts, over), "part int, maps array<binary>")
         sizes = [(1 << bits) // parts // 8 // fold for fold in (1, FOLD, FOLD)]
         out = [np.zeros(parts * size, np.uint8) for size in sizes]
@@ -411,6 +419,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     if not 1 <= percent <= 100:
         raise ValueError("percent goes from 1 to 100")
     spark = docs.sparkSession
+    store.narrow_batches(spark)
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("hash"), F.col(f"`{text_col}`").alias("text"))
     id_type = texts.schema["id"].dataType.simpleString()
     base = store.saved(texts.mapInArrow(_sizes(k), f"id {id_type}, hash long, n long, key long, sketch binary"), "sets")
@@ -422,6 +431,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     index = texts.select("text").mapInArrow(_index(k, percent, classes), "sig long, key long, n int")
     index = index.repartition("sig").sortWithinPartitions("sig", "n", "key")
     index = store.saved(index.mapInArrow(_shared_entries, "sig long, key long, n int, key2 long, n2 int"), "index")
+    classes.destroy()
 
     size_ok = f"100 * least(n, n2) >= {percent} * greatest(n, n2)"
     pairs = _candidates(index.where(f"key <> key2 and {size_ok}").select(F.col("key2").alias("a"), F.col("key").alias("b")), nodes, percent)

@@ -50,6 +50,13 @@ def forget(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def narrow_batches(spark: SparkSession) -> None:
+    """From now on this session's Arrow batches hold about 4 MB at most, unless a limit is set already: a task has several copies of a batch at a time, in the JVM and in Python."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(4 << 20))
+
+
 def is_small(df: DataFrame, most: int = 32 << 20) -> bool:
     """Whether a saved table holds at most ``most`` bytes."""
     sizes = [F.lit(8) if isinstance(f.dataType, (T.NumericType, T.BooleanType)) else F.coalesce(F.octet_length(F.col(f"`{f.name}`").cast("string")), F.lit(0)) + 16 for f in df.schema]
