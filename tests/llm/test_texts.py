@@ -106,6 +106,24 @@ def test_texts_are_shuffled_once_at_every_size(spark, strict):
     assert sorted(r.text.count("\n") for r in out.collect()) == [0] * 11 + [1]
 
 
+@pytest.mark.parametrize("name", ["toxicity", "near_duplicates", "pieces"])
+def test_stages_that_send_texts_to_python_use_small_batches(spark, name):
+    import corpus_pipeline
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(20)
+    spark.conf.unset(key)
+    try:
+        out = dict(corpus_pipeline.STAGES)[name](spark, docs, SF)
+        assert int(spark.conf.get(key)) <= 4 << 20
+        assert 0 < out.count() <= 20
+        spark.conf.set(key, "1m")
+        dict(corpus_pipeline.STAGES)["pieces"](spark, docs, SF)
+        assert spark.conf.get(key) == "1m"  # a limit that is set stays
+    finally:
+        spark.conf.unset(key)
+
+
 def test_clean_lines_stay_in_the_pipeline(spark):
     import corpus_pipeline
 

@@ -27,11 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from winnow.llm import store
 from winnow.llm.lattice import BLANK, LITERAL, Pieces, char_codes, default_model, edges, groups, pieces
 from winnow.llm.words import blocks, prefix_hash, span_hash
 
 
-BLOCK = 3 << 19
+BLOCK = 3 << 19  # of the query, which returns digests only
+ENCODED = 1 << 19  # of encode(), whose ids and texts are in memory beside the block
 CHANGES = pa.list_(pa.list_(pa.struct([("start", pa.int32()), ("size", pa.int32()), ("pieces", pa.list_(pa.int32()))])))
 
 
@@ -288,13 +290,14 @@ def encode(docs: DataFrame, text_col: str = "text", *, n: int = 4, model: str |
     alternatives: for each of the second to nth best its changes to pieces, (start, size, pieces); segmentations() has them in full.
     """
     path = model or default_model()
+    store.narrow_batches(docs.sparkSession)
     base = docs.drop("pieces", "scores", "n_pieces", "alternatives")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(path)
         for batch in batches:
             null = batch.column(text_col).is_null().to_numpy(zero_copy_only=False)
-            for a, b, texts in blocks(batch, text_col, BLOCK):
+            for a, b, texts in blocks(batch, text_col, ENCODED):
                 block = Block(p, texts)
                 block.search(n)
                 ids = [None if null[a + d] else block.doc_ids(d) for d in range(b - a)]

@@ -144,6 +144,7 @@ class Model:
 def train(docs: DataFrame, labels: DataFrame, *, usable: Column | None = None, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", train_rows: int = 12_000, bits: int = 20, rounds: int = 4, passes: int = 1, shard_rows: int = 1_500, alpha: float = 1.0, beta: float = 1.0, l1: float = 8.0, l2: float = 0.1) -> Model:
     """Fits on at most about ``train_rows`` of the labelled rows whose id meets ``usable`` (a condition on the id column)."""
     spark = docs.sparkSession
+    store.narrow_batches(spark)
     named = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("label")).where("id is not null and label is not null")
     if usable is not None:
         named = named.withColumnRenamed("id", id_col).where(usable).withColumnRenamed(id_col, "id")
@@ -180,6 +181,7 @@ def train(docs: DataFrame, labels: DataFrame, *, usable: Column | None = None, l
 
 def with_score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "toxic_score") -> DataFrame:
     """docs with the score as column ``name`` (a column of that name is replaced)."""
+    store.narrow_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
     base = docs.drop(name)
 
